@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from parcelworks.llm import line_dedup, mixing, url_filter
+from parcelworks.llm import line_dedup, mixing, simhash, url_filter
 
 QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op7_mixing": mixing.op7_mixing,
+    "op9_simhash": simhash.op9_simhash,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 
