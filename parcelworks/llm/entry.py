@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from parcelworks.llm import line_dedup, mixing, simhash, url_filter
+from parcelworks.llm import line_dedup, mixing, simhash, token_files, url_filter
 
 QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op6_token_files": token_files.op6_token_files,
     "op7_mixing": mixing.op7_mixing,
     "op9_simhash": simhash.op9_simhash,
     "op10_url_filter": url_filter.op10_url_filter,
