@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from parcelworks.llm import line_dedup, mixing, simhash, token_files, url_filter
+from parcelworks.llm import line_crf, line_dedup, mixing, quality, simhash, token_files, url_filter
 
 QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op5_line_quality": line_crf.op5_line_quality,
     "op6_token_files": token_files.op6_token_files,
     "op7_mixing": mixing.op7_mixing,
+    "op8_quality": quality.op8_quality,
     "op9_simhash": simhash.op9_simhash,
     "op10_url_filter": url_filter.op10_url_filter,
 }

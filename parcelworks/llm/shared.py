@@ -55,3 +55,12 @@ def lower_ascii(text: Column) -> Column:
 def word_count(text: Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` in a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
+
+
+def labelled_sample(labels: DataFrame, column: str, most: int) -> DataFrame:
+    """(doc_id, label) of at most ``most`` // 2 documents of either label (0 or 1), those of the smallest hashes of
+    their ids; of several labels of one document the majority counts (ties: 1). Small by construction, so it may be broadcast."""
+    known = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull())
+    known = known.groupBy("doc_id").agg((F.avg(column) >= 0.5).cast("int").alias("label"))
+    halves = [known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2) for y in (0, 1)]
+    return halves[0].unionByName(halves[1])
