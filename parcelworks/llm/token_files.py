@@ -21,6 +21,7 @@ from parcelworks.llm.shared import shared_dir, table
 
 #: Id appended to each document.
 END_ID = 1
+PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
 
 class WordCache:
@@ -29,7 +30,7 @@ class WordCache:
     token holds, so a text's ids are its words' ids in order. Missing words are encoded together, each as a
     text of its own."""
 
-    def __init__(self, vocabulary: str, most: int = 400_000):
+    def __init__(self, vocabulary: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
@@ -45,9 +46,15 @@ class WordCache:
         raise ValueError("no token is a word")
 
     def encode(self, words: list[str]) -> None:
-        """Adds words, 200 a call with a rare word between them; if its token turns up in a word, too, the
-        words of that call are encoded alone."""
+        """Adds words. One of small ASCII letters only is one piece that the normalizer leaves as it is, so it
+        goes straight to the library's model. The others are encoded 200 a call with a rare word between them;
+        if its token turns up in a word, too, the words of that call are encoded alone."""
         alone, between = [], f" {self.marker} "
+        model = self.tokenizer.model
+        plain = [w for w in words if w.isascii() and w.isalpha() and w.islower()]
+        for word in plain:
+            self.new[word.encode()] = np.array([t.id for t in model.tokenize(word)], "<u4").tobytes()
+        words = [w for w in words if not (w.isascii() and w.isalpha() and w.islower())]
         parts = [words[low : low + 200] for low in range(0, len(words), 200)]
         for part, encoded in zip(parts, self.tokenizer.encode_batch_fast([between.join(x) for x in parts], add_special_tokens=False), strict=True):
             ids = np.array(encoded.ids, "<u4")
@@ -64,24 +71,27 @@ class WordCache:
                 self.new[word.encode()] = np.array(one.ids, "<u4").tobytes()
 
     def _stem(self, word: bytes) -> bytes:
-        """The word without a comma or full stop after a letter: those are always tokens of their own."""
-        return word[:-1] if word[-1:] in (b",", b".") and word[:-1].decode()[-1:].isalpha() else word
+        """The word without the ASCII punctuation that follows its last letter: letters and other signs are
+        never in one token. Words that may hold a special token stay whole."""
+        stem = word.rstrip(PUNCTUATION)
+        return stem if b"<" not in word and stem.decode()[-1:].isalpha() else word
 
     def _add(self, need: set[bytes]) -> None:
         stems = {w: self._stem(w) for w in need}
         new = self.new
+        tails = {w[len(stem) :] for w, stem in stems.items()}
         missing = []
-        for stem in {*stems.values(), b",", b"."} - {b""}:
-            if stem not in new:
-                if stem in self.old:
-                    new[stem] = self.old[stem]
-                else:
-                    missing.append(stem.decode())
+        for part in tails.union(stems.values()):
+            if part not in new:
+                if part in self.old:
+                    new[part] = self.old[part]
+                elif part:
+                    missing.append(part.decode())
         self.encode(sorted(missing))
         new[b""] = b""
         for word, stem in stems.items():
             if word != stem:
-                new[word] = new[stem] + new[word[-1:]]
+                new[word] = new[stem] + new[word[len(stem) :]]
 
     def ids(self, text: str) -> bytes:
         """Ids of a text as little-endian integers. The vocabulary is of lower case; A-Z are lowered here
