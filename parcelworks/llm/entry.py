@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from parcelworks.llm import line_crf, line_dedup, mixing, quality, sentencepiece_nbest, simhash, token_files, url_filter
+from parcelworks.llm import embedding_dedup, line_crf, line_dedup, mixing, quality, sentencepiece_nbest, simhash, token_files, url_filter
 
 QUERIES = {
     "op2_sentencepiece": sentencepiece_nbest.op2_sentencepiece,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
     "op5_line_quality": line_crf.op5_line_quality,
     "op6_token_files": token_files.op6_token_files,
     "op7_mixing": mixing.op7_mixing,
