@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from parcelworks.llm import embedding_dedup, line_crf, line_dedup, mixing, quality, sentencepiece_nbest, simhash, token_files, url_filter
+from parcelworks.llm import embedding_dedup, line_crf, line_dedup, mixing, quality, secrets, sentencepiece_nbest, simhash, token_files, url_filter
 
 QUERIES = {
+    "op1_secret_scan": secrets.op1_secret_scan,
     "op2_sentencepiece": sentencepiece_nbest.op2_sentencepiece,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
