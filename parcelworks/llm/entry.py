@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from parcelworks.llm import embedding_dedup, line_crf, line_dedup, mixing, quality, secrets, sentencepiece_nbest, simhash, token_files, url_filter
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_simhash": simhash.op9_simhash,
     "op10_url_filter": url_filter.op10_url_filter,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
