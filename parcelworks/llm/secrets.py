@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from parcelworks.llm.shared import stash, table
 
-#: Characters of a candidate; a run of these of the least length, with a digit or a change of case inside.
-RUN = r"([A-Za-z0-9+/_\-]{12,})"
+#: Characters of a candidate; a run of these of the least length, with a digit, a change of case or sixteen capitals inside.
+RUN = r"((?=[A-Za-z+/_\-]*(?:[0-9]|[a-z][A-Z])|[A-Z]{16})[A-Za-z0-9+/_\-]{12,})"
 KEYWORDS = r"(?i)(passw|secret|token|api|key|auth|credential)"
 FEATURES = (
     "f_length", "f_switches", "f_digits", "f_upper", "f_vowels", "f_consonants", "f_covered", "f_path", "f_keyword", "f_assigned", "f_before", "f_after",
@@ -29,8 +29,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     word. ``key`` is what precedes it in the word; before and after are the words beside it."""
     words = docs.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), F.split(F.coalesce(F.col(text_col), F.lit("")), "[ \\t\\n\\x0B\\f\\r]+").alias("__words"))
     each = words.select("doc_id", "path", "__words", F.posexplode("__words").alias("word_no", "__word")).where((F.octet_length("__word") >= 12) & F.col("__word").rlike(RUN))
-    runs = F.filter(F.regexp_extract_all("__word", F.lit(RUN), F.lit(1)), lambda x: x.rlike(r"[0-9]|[a-z][A-Z]"))
-    each = each.where(F.size(runs) > 0).select("doc_id", "path", "__words", "word_no", "__word", F.explode(runs).alias("__value"))
+    # regular expressions only, which Spark compiles together with the explode, so that no row carries a copy of all words
+    each = each.select("doc_id", "path", "__words", "word_no", "__word", F.explode(F.regexp_extract_all("__word", F.lit(RUN), F.lit(1))).alias("__value"))
     value = F.col("__value")
     near = lambda i: F.coalesce(F.get(F.col("__words"), i), F.lit(""))
     return each.select(
