@@ -67,13 +67,13 @@ def balance(counts: DataFrame, targets: DataFrame, cap: float = 2.0, tolerance:
     state = stash(start, "mix-dual")
     for _ in range(max_steps):
         at = state.select(F.col("source").alias("__s"), "__lambda", "__mean")
-        rows = counts.join(at, F.equal_null(counts["source"], at["__s"])).where("size > 0").withColumn("__x", F.col("size") / F.col("__mean"))
+        rows = counts.join(at, F.equal_null(counts["source"], at["__s"])).where("size > 0").withColumn("__x", F.try_divide("size", "__mean"))
         words = F.col("n") * F.col("__x") * _rate(cap)
         bend = F.when(_rate(cap) < cap, words * F.col("__x")).otherwise(0.0)
         sums = rows.groupBy("source").agg(F.sum(words.cast("decimal(38,12)")).alias("__words"), F.sum(bend.cast("decimal(38,12)")).alias("__bend"))
         sums = sums.select(F.col("source").alias("__s"), F.col("__words").cast("double"), F.col("__bend").cast("double"))
         joined = state.join(sums, F.equal_null(state["source"], sums["__s"]), "left").drop("__s")
-        goal = F.coalesce(F.col("target") / F.col("__mean"), F.lit(0.0))
+        goal = F.coalesce(F.try_divide("target", "__mean"), F.lit(0.0))
         gap = F.coalesce("__words", F.lit(0.0)) - goal
         lo = F.when(gap < 0, F.col("__lambda")).otherwise(F.col("__lo"))
         hi = F.when(gap > 0, F.col("__lambda")).otherwise(F.col("__hi"))
