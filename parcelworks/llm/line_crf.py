@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelworks.llm.text_stats import SYMBOLS, base_counts
-from parcelworks.llm.shared import labelled_sample, table
+from parcelworks.llm.shared import labelled_sample, small_batches, table
 
 N_FEATURES = 9
 CONTENT, BOILERPLATE = 0, 1
@@ -79,7 +79,7 @@ def fit_crf(chains: list[tuple[np.ndarray, int]], steps: int = 500, rate: float
     for i, (f, _) in enumerate(chains):
         x[i, : len(f)], live[i, : len(f)] = f, True
     spread = x[live].std(0)
-    spread[spread == 0] = 1.0
+    spread[spread < 1e-6] = 1.0  # a feature that does not vary
     x /= spread
     label = np.array([y for _, y in chains])
     weight = np.where(label == 1, 0.5 / max(1, (label == 1).sum()), 0.5 / max(1, (label == 0).sum()))
@@ -169,7 +169,7 @@ def judge_quality(
     Defined cases: a null, empty or blank text has no words, fails the base rules, and has share 0. Lines
     without words are no part of the chain. Ids may be null or repeat. Extra columns are ignored. One scan, no
     shuffle; a text is held once, whatever its length."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(judged(model, min_words, max_repeat, min_content), SCHEMA)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from parcelworks.llm.empirical_bayes import global_mean, shrunk
-from parcelworks.llm.shared import labelled_sample, stash, table
+from parcelworks.llm.shared import labelled_sample, small_batches, stash, table
 from parcelworks.llm.text_stats import SYMBOLS
 
 N_FEATURES = 9
@@ -49,7 +49,7 @@ class Evidence:
 
     def __init__(self, x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, steps: int = 50):
         self.mean, self.spread = x.mean(0), x.std(0)
-        self.spread[self.spread == 0] = 1.0
+        self.spread[self.spread < 1e-6] = 1.0  # a feature that does not vary
         z = np.c_[np.ones(len(x)), (x - self.mean) / self.spread]
         weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)  # equal priors: the site's prior comes later
         self.w = np.zeros(z.shape[1])
@@ -118,12 +118,12 @@ def classify(
     kinds all evidence is 0 and the rates decide. Repeated rows are judged alike. Texts are not shuffled
     unless the site table outgrows Spark's broadcast limit."""
     new = ("evidence", "host_rate", "path_rate", "p_good", "kept")
-    rows = docs.select(*[c for c in docs.columns if c not in new])
+    rows = small_batches(docs).select(*[c for c in docs.columns if c not in new])
     sites = rows.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), F.col(path_col).alias("path"))
     texts = rows.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     model = fit_evidence(texts, labels, max_docs)
     rates, _ = site_rates(sites, labels)
-    rates = rates.select(F.col("host").alias("__host"), F.col("path").alias("__path"), "host_rate", "path_rate")
+    rates = stash(rates.select(F.col("host").alias("__host"), F.col("path").alias("__path"), "host_rate", "path_rate"), "site-rates")  # of known size, so that a small one is broadcast
     scored = rows.withColumn("evidence", evidence_column(model, F.col(text_col)))
     joined = scored.join(rates, F.equal_null(F.col(host_col), F.col("__host")) & F.equal_null(F.col(path_col), F.col("__path"))).drop("__host", "__path")
     odds = F.col("evidence") + F.log(F.col("path_rate") / (1 - F.col("path_rate")))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelworks.llm.shared import table
+from parcelworks.llm.shared import small_batches, table
 
 BLANK = "▁"
 FAR = 1 << 60
@@ -297,7 +297,7 @@ def encode_documents(docs: DataFrame, model: str, n: int = 4, with_ids: bool = T
     text (``round_trip`` compares with the empty text for null); a text that holds U+2581 decodes with
     blanks in its place, so its ``round_trip`` is false; every other text comes back exactly. Ids may be null or
     repeat. Extra columns are ignored. One scan, no shuffle; words seen before are kept in a bounded cache."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_encoded(model, n, with_ids), SCHEMA + (", ids array<int>" if with_ids else ""))
 
 

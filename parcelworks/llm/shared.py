@@ -46,6 +46,15 @@ def drop_stash(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(df: DataFrame, rows: int = 500) -> DataFrame:
+    """``df``, with the session's Arrow batches cut to ``rows`` rows: what a Python worker holds of long texts at
+    once, and keeps as its memory afterwards, stays small. A smaller setting stays as it is."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
+        df.sparkSession.conf.set(key, str(rows))
+    return df
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased and nothing else. ``lower`` does that to ASCII text; other text goes by ``translate``."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

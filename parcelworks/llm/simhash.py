@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelworks.llm.components import connected_components, star_links
-from parcelworks.llm.shared import NO_ID, stash, table
+from parcelworks.llm.shared import NO_ID, small_batches, stash, table
 
 RADIUS = 3
 #: Bit ranges (start, width); any two of them are the key of a table.
@@ -160,7 +160,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Texts are read once, without a shuffle; what is shuffled are fingerprints. Equal fingerprints, and so
     exact copies, are one row before the search.
     """
-    sized = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("__id"), F.col(text_col).alias("__text"))
+    sized = small_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("__id"), F.col(text_col).alias("__text"))
     prints = stash(sized.mapInArrow(_fingerprints, "__id long, __fp long"), "simhash")
     distinct = stash(prints.groupBy("__fp").agg(F.min("__id").alias("__rep")), "simhash-distinct")
     found = connected_components(link_fingerprints(distinct))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parcelworks.llm.shared import shared_dir, table
+from parcelworks.llm.shared import shared_dir, small_batches, table
 
 #: Id appended to each document.
 END_ID = 1
@@ -146,7 +146,7 @@ def write_tokens(
     Texts are shuffled once, by ranges of doc_id, and encoded after it, batch by batch. A null text is
     empty; an empty table gives files without rows. Rows of one id stay together, in the order of their
     texts' hashes. Extra columns are not written."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ranges = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     tokens = ranges.mapInArrow(encoder(vocabulary), "doc_id long, ids array<int>")
     options = {
