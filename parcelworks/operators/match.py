@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelworks.functions.maps import names_pair
+from parcelworks.functions.maps import normalize_municipality
 from parcelworks.functions.numbers import branch_of, joined_number, match_level, parent_of
 
 LEVELS = ("exact", "parent", "near")
@@ -65,6 +65,30 @@ def best_matches(matches: DataFrame) -> DataFrame:
     return matches.groupBy("xml_meta_id", "fude_id", "chiban").agg(least.alias("m")).select("xml_meta_id", "fude_id", "chiban", F.col("m.lot_id").alias("lot_id"), F.col("m.level").alias("level"))
 
 
+def mutual_matches(best: DataFrame, parcels: DataFrame, lots: DataFrame) -> DataFrame:
+    """(xml_meta_id, lot_id, fude_id, chiban, level): parcels of the same map that match the best lot of a parcel. An
+    exact pivot takes exact and parent matches, a parent pivot exact ones, reported as parent; a near one none."""
+    q = lots.select("lot_id", F.coalesce("parent_no", F.lit("")).alias("q_parent"), F.coalesce("branch_no", F.lit("")).alias("q_branch"))
+    pivots = best.where("level <> 'near'").select("xml_meta_id", "lot_id", F.col("level").alias("pivot")).distinct().join(q, "lot_id")
+    q_all = joined_number(F.col("q_parent"), F.col("q_branch"))
+    exact = F.array(F.concat(F.lit("="), q_all))
+    pivots = pivots.withColumn("key", F.explode(F.when(F.col("pivot") == "exact", F.array_append(exact, F.concat(F.lit("~"), F.col("q_parent")))).otherwise(exact)))
+    p = parcels.select("xml_meta_id", "fude_id", "chiban", parent_of(F.col("chiban")).alias("p_parent"), branch_of(F.col("chiban")).alias("p_branch")).where("p_parent <> ''")
+    p_all = joined_number(F.col("p_parent"), F.col("p_branch"))
+    p = p.withColumn("key", F.explode(F.array(F.concat(F.lit("="), p_all), F.concat(F.lit("~"), F.col("p_parent")))))
+    level = F.when((F.col("pivot") == "exact") & (p_all == q_all), "exact").otherwise("parent")
+    return p.join(pivots, ["xml_meta_id", "key"]).select("xml_meta_id", "lot_id", "fude_id", "chiban", level.alias("level")).distinct()
+
+
+def municipality_matches(names: DataFrame, references: DataFrame) -> DataFrame:
+    """(name, ref) of (name) and (ref, ord): the reference of the same name, else the first by ``ord`` that equals the normalized name or
+    of which one ends with the other. Both lists hold distinct names; Spark broadcasts the smaller one."""
+    key = normalize_municipality(F.col("name"))
+    fits = (F.col("name") == F.col("ref")) | key.endswith(F.col("ref")) | F.col("ref").endswith(key)
+    best = F.min(F.struct((F.col("name") != F.col("ref")).alias("other"), "ord", "ref"))
+    return names.join(references, fits).groupBy("name").agg(best.alias("m")).select("name", "m.ref")
+
+
 def export_names(parcels: DataFrame) -> DataFrame:
     """(xml_meta_id, oaza_name, export_name): the youngest number of each set names it."""
     parent, branch = parent_of(F.col("chiban")), branch_of(F.col("chiban"))

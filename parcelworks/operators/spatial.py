@@ -32,3 +32,10 @@ def largest_overlap(boxes: DataFrame, areas: DataFrame, size: float = 100.0) ->
     met = b.join(with_cells(areas, size), "cell").where((wide > 0) & (high > 0)).select("key", "admin_id", (wide * high).alias("overlap")).distinct()
     best = met.groupBy("key").agg(F.min(F.struct((-F.round("overlap", 6)).alias("o"), "admin_id", "overlap")).alias("m"))
     return best.select("key", "m.admin_id", "m.overlap")
+
+
+def meeting(boxes: DataFrame, areas: DataFrame, size: float = 100.0) -> DataFrame:
+    """Keys of the boxes that meet an area, borders included."""
+    b = with_cells(boxes, size).select("key", "cell", F.col("min_x").alias("x0"), F.col("min_y").alias("y0"), F.col("max_x").alias("x1"), F.col("max_y").alias("y1"))
+    met = b.join(with_cells(areas, size), "cell").where("x1 >= min_x AND x0 <= max_x AND y1 >= min_y AND y0 <= max_y")
+    return met.select("key").distinct()

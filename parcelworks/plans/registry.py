@@ -529,6 +529,100 @@ def _(meta, parcel):
     return pick(maps.is_arbitrary(F.col("crs_type"))).intersect(pick(~maps.is_arbitrary(F.col("crs_type"))))
 
 
+_PARCEL_KEYS = _MATCH + """,
+  best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY xml_meta_id, fude_id, chiban ORDER BY CASE level WHEN 'exact' THEN 0 WHEN 'parent' THEN 1 ELSE 2 END, lot_id) AS k FROM matched) WHERE k = 1),
+  chosen AS (SELECT DISTINCT b.xml_meta_id, b.lot_id, b.level AS how, l.parent_no AS qp, CASE WHEN l.branch_no <> '' THEN l.parent_no || '-' || l.branch_no ELSE l.parent_no END AS qj FROM best b JOIN lot l ON l.lot_id = b.lot_id WHERE b.level <> 'near'),
+  mutual AS (SELECT v.xml_meta_id, v.lot_id, r.fude_id, r.chiban, CASE WHEN how = 'parent' THEN 'parent' WHEN r.pj = v.qj THEN 'exact' ELSE 'parent' END AS level
+    FROM chosen v JOIN pj r ON r.xml_meta_id = v.xml_meta_id AND (r.pj = v.qj OR (how = 'exact' AND r.pp = v.qp)))"""
+
+
+@query("j8_mutual_match", "meta parcel lot", _PARCEL_KEYS + " SELECT DISTINCT xml_meta_id, lot_id, fude_id, chiban, level FROM mutual")
+def _(meta, parcel, lot):
+    return match.mutual_matches(match.best_matches(_matches(meta, parcel, lot)), parcel, lot)
+
+
+@query(
+    "j12_district_differs",
+    "parcel admin",
+    f""", {_DOMINANT}, hit AS (SELECT key, name FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY round(overlap, 6) DESC, admin_id) AS k FROM (
+      SELECT xml_meta_id AS key, admin_id, name, (least(x1, max_x) - greatest(x0, min_x)) * (least(y1, max_y) - greatest(y0, min_y)) AS overlap FROM {_BOXES} JOIN admin
+      ON least(x1, max_x) > greatest(x0, min_x) AND least(y1, max_y) > greatest(y0, min_y))) WHERE k = 1)
+    SELECT xml_meta_id, oaza_name, name FROM dominant JOIN hit ON key = xml_meta_id WHERE name <> oaza_name""",
+)
+def _(parcel, admin):
+    boxes = align.map_bounds(parcel).withColumnRenamed("xml_meta_id", "key")
+    hit = spatial.largest_overlap(boxes, admin).join(admin.select("admin_id", "name"), "admin_id").select(F.col("key").alias("xml_meta_id"), "name")
+    return stats.dominant_oaza(parcel).join(hit, "xml_meta_id").where("name <> oaza_name").select("xml_meta_id", "oaza_name", "name")
+
+
+@query(
+    "j13_lots_in_oaza",
+    "lot admin",
+    """SELECT lot_id FROM lot WHERE EXISTS (SELECT 1 FROM admin WHERE (starts_with(name, '大字3') OR starts_with('大字3', name))
+      AND cx + 5 >= min_x AND cx - 5 <= max_x AND cy + 5 >= min_y AND cy - 5 <= max_y)""",
+)
+def _(lot, admin):
+    areas = admin.where(maps.names_pair(F.col("name"), F.lit("大字3")))
+    boxes = lot.select(F.col("lot_id").alias("key"), (F.col("cx") - 5).alias("min_x"), (F.col("cy") - 5).alias("min_y"), (F.col("cx") + 5).alias("max_x"), (F.col("cy") + 5).alias("max_y"))
+    return spatial.meeting(boxes, areas).select(F.col("key").alias("lot_id"))
+
+
+@query(
+    "j15_municipality_match",
+    "meta lot",
+    r""", n AS (SELECT DISTINCT municipality_name AS name, regexp_replace(regexp_replace(municipality_name, '^.*?郡', ''), '^.*?県', '') AS key FROM meta),
+    r AS (SELECT municipality_name AS ref, min(lot_id) AS ord FROM lot GROUP BY 1)
+    SELECT name, ref FROM (SELECT name, ref, row_number() OVER (PARTITION BY name ORDER BY name <> ref, ord) AS k FROM n JOIN r ON name = ref OR key = ref OR ends_with(key, ref) OR ends_with(ref, key)) WHERE k = 1""",
+)
+def _(meta, lot):
+    return match.municipality_matches(meta.select(F.col("municipality_name").alias("name")).distinct(), lot.groupBy(F.col("municipality_name").alias("ref")).agg(F.min("lot_id").alias("ord")))
+
+
+@query(
+    "o2_suggestions",
+    "parcel",
+    rf"""SELECT chiban, oaza_name FROM (SELECT chiban, min(oaza_name) AS oaza_name FROM parcel WHERE starts_with(chiban, '1') AND oaza_name <> '' GROUP BY 1)
+      ORDER BY oaza_name, list_transform({_PARTS}, lambda p: CASE WHEN regexp_extract(p, '^[0-9]+') <> '' THEN row(0, regexp_extract(p, '^[0-9]+')::BIGINT, regexp_replace(p, '^[0-9]+', ''))
+      ELSE row(1, 0::BIGINT, p) END), chiban LIMIT 10""",
+)
+def _(parcel):
+    return search.suggestions(parcel, "1")
+
+
+@query("o3_natural_order", "parcel", rf"""SELECT chiban, row_number() OVER (ORDER BY list_transform({_PARTS}, lambda p: CASE WHEN regexp_extract(p, '^[0-9]+') <> '' THEN row(0, regexp_extract(p, '^[0-9]+')::BIGINT, regexp_replace(p, '^[0-9]+', ''))
+      ELSE row(1, 0::BIGINT, p) END), chiban) AS n FROM (SELECT DISTINCT chiban FROM parcel WHERE xml_meta_id = 3)""")
+def _(parcel):
+    from pyspark.sql import Window
+
+    one = parcel.where("xml_meta_id = 3").select("chiban").distinct()
+    return one.withColumn("n", F.row_number().over(Window.orderBy(numbers.natural_key(F.col("chiban")), "chiban")))
+
+
+@query("s9_export", "meta parcel", "SELECT fude_id, chiban, x0, file_name, crs_type FROM parcel JOIN meta ON id = xml_meta_id WHERE oaza_name = '大字3' AND xml_meta_id IN (3, 25, 47)")
+def _(meta, parcel):
+    return store.with_map(parcel.where(F.col("oaza_name") == "大字3").where(F.col("xml_meta_id").isin(3, 25, 47)), meta, "file_name", "crs_type").select("fude_id", "chiban", "x0", "file_name", "crs_type")
+
+
+@query("f11_label", "parcel", "SELECT DISTINCT chiban, w, chiban || chr(10) || format('{:,}', round(w * 1000)::BIGINT) || ' m²' AS label FROM parcel")
+def _(parcel):
+    label = F.concat_ws("\n", "chiban", F.concat(F.format_number(F.col("w") * 1000, 0), F.lit(" m²")))
+    return parcel.select("chiban", "w", label.alias("label")).distinct()
+
+
+@query("f13_scale_mixing", "meta", "SELECT DISTINCT a.scale_denominator AS a, b.scale_denominator AS b, (a.scale_denominator / b.scale_denominator::DOUBLE) * (a.scale_denominator / b.scale_denominator::DOUBLE) AS area_factor FROM meta a JOIN meta b ON a.scale_denominator > b.scale_denominator")
+def _(meta):
+    scales = meta.where("scale_denominator IS NOT NULL").select("scale_denominator").distinct()
+    ratio = F.col("a") / F.col("b")
+    return scales.select(F.col("scale_denominator").alias("a")).join(scales.select(F.col("scale_denominator").alias("b")), F.col("a") > F.col("b")).select("a", "b", (ratio * ratio).alias("area_factor"))
+
+
+@query("g5_affine", "parcel", "SELECT xml_meta_id, fude_id, x0, x0 * 2 + 5 AS x, (y0 + h) * 2 - 7 AS y FROM parcel")
+def _(parcel):
+    box = geom.affine(geom.rectangle(F.col("x0"), F.col("y0"), F.col("x0") + F.col("w"), F.col("y0") + F.col("h")), F.lit(2.0), F.lit(5.0), F.lit(-7.0))
+    corner = F.get(F.get(box, F.lit(0)), F.lit(3))
+    return parcel.select("xml_meta_id", "fude_id", "x0", corner["x"].alias("x"), corner["y"].alias("y"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best lot of every parcel by number."""
     return _QUERIES["w1_best_match"](spark, sf_dir)
