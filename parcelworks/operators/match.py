@@ -103,3 +103,15 @@ def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row for each key, the first in ``order``."""
     at = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in order])
     return rows.withColumn("__n", F.row_number().over(at)).where("__n = 1").drop("__n")
+
+
+def export_rows(parcels: DataFrame, matches: DataFrame) -> DataFrame:
+    """The matched parcels of maps that have matches, all parcels of the others."""
+    hits = matches.select("xml_meta_id", "fude_id").distinct()
+    return parcels.join(hits, ["xml_meta_id", "fude_id"], "left_semi").unionByName(parcels.join(hits.select("xml_meta_id").distinct(), "xml_meta_id", "left_anti").select(parcels.columns))
+
+
+def best_maps(matches: DataFrame) -> DataFrame:
+    """(lot_id, xml_meta_id, fude_id, level): for each lot the map and parcel of the best level, then of the smallest ids."""
+    least = F.min(F.struct(priority(F.col("level")).alias("p"), "xml_meta_id", "fude_id", "level")).alias("m")
+    return matches.groupBy("lot_id").agg(least).select("lot_id", "m.xml_meta_id", "m.fude_id", "m.level")

@@ -39,3 +39,15 @@ def meeting(boxes: DataFrame, areas: DataFrame, size: float = 100.0) -> DataFram
     b = with_cells(boxes, size).select("key", "cell", F.col("min_x").alias("x0"), F.col("min_y").alias("y0"), F.col("max_x").alias("x1"), F.col("max_y").alias("y1"))
     met = b.join(with_cells(areas, size), "cell").where("x1 >= min_x AND x0 <= max_x AND y1 >= min_y AND y0 <= max_y")
     return met.select("key").distinct()
+
+
+def locate(points: DataFrame, areas: DataFrame, tolerance: float, size: float = 100.0) -> DataFrame:
+    """(key, admin_id): the area that holds each point (key, x, y), else the nearest of those that meet the square of
+    ``tolerance`` round it; the smallest id on ties, no row where there is none."""
+    t = F.lit(tolerance)
+    boxes = points.select("key", "x", "y", (F.col("x") - t).alias("min_x"), (F.col("y") - t).alias("min_y"), (F.col("x") + t).alias("max_x"), (F.col("y") + t).alias("max_y"))
+    b = with_cells(boxes, size).select("key", "x", "y", "cell")
+    met = b.join(with_cells(areas, size), "cell").where((F.col("x") + t >= F.col("min_x")) & (F.col("x") - t <= F.col("max_x")) & (F.col("y") + t >= F.col("min_y")) & (F.col("y") - t <= F.col("max_y")))
+    off = lambda v: F.greatest(F.col(f"min_{v}") - F.col(v), F.lit(0.0), F.col(v) - F.col(f"max_{v}"))
+    best = F.min(F.struct((off("x") * off("x") + off("y") * off("y")).alias("d"), "admin_id")).alias("m")
+    return met.groupBy("key").agg(best).select("key", "m.admin_id")

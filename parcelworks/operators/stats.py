@@ -87,3 +87,17 @@ def off_map_only(meta: DataFrame, parcels: DataFrame, value: str = "地図外")
 
 def listed_maps(meta: DataFrame) -> DataFrame:
     return meta.select("id", "file_name", crs_short(F.col("crs_type")).alias("crs"))
+
+
+def import_summary(files: DataFrame) -> DataFrame:
+    """(processed, failed, parcels, success) of (failed, parcels), a row for each file."""
+    failed = F.count_if("failed")
+    return files.agg(F.count(F.lit(1)).alias("processed"), failed.alias("failed"), F.sum(F.col("parcels").cast("bigint")).alias("parcels"), (failed == 0).alias("success"))
+
+
+def index_statistics(parcels: DataFrame, meta: DataFrame) -> DataFrame:
+    """(oaza, entries, chiban): districts, and sums of their entries and of their distinct numbers."""
+    rows = parcels.join(meta.select(F.col("id").alias("xml_meta_id"), "file_name"), "xml_meta_id").where("oaza_name <> ''")
+    numbers = rows.select("oaza_name", "chiban", "file_name").distinct().groupBy("oaza_name", "chiban").agg(F.count(F.lit(1)).alias("n"))
+    districts = numbers.groupBy("oaza_name").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("c"))
+    return districts.agg(F.count(F.lit(1)).alias("oaza"), F.sum("n").alias("entries"), F.sum("c").alias("chiban"))

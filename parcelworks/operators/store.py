@@ -49,3 +49,11 @@ def update_by_id(rows: DataFrame, changes: DataFrame, key: list[str], columns: l
 
 def write_parcels(parcels: DataFrame, path: str, *partition: str) -> None:
     parcels.write.mode("append").partitionBy(*partition).parquet(path)
+
+
+def review_queue(parcels: DataFrame, oaza: str | None = None) -> DataFrame:
+    """Parcels that need a review, by reason and number, nulls first; optionally of one district."""
+    found = parcels.where("needs_review = 1")
+    if oaza is not None:
+        found = found.where(F.col("oaza_name") == oaza)
+    return found.orderBy(F.col("review_reason").asc_nulls_first(), F.col("chiban").asc_nulls_first())

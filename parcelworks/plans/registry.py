@@ -623,6 +623,86 @@ def _(parcel):
     return parcel.select("xml_meta_id", "fude_id", "x0", corner["x"].alias("x"), corner["y"].alias("y"))
 
 
+@query(
+    "p4_review_queue",
+    "parcel",
+    "SELECT xml_meta_id, fude_id, chiban, CASE WHEN w * h < 10 THEN 'small' ELSE 'narrow' END AS review_reason FROM parcel WHERE oaza_name = '大字3' AND (w * h < 10 OR h < 1.02)",
+)
+def _(parcel):
+    small, narrow = F.col("w") * F.col("h") < 10, F.col("h") < 1.02
+    flagged = parcel.withColumn("needs_review", (small | narrow).cast("int")).withColumn("review_reason", F.when(small, "small").otherwise("narrow"))
+    return store.review_queue(flagged, "大字3").select("xml_meta_id", "fude_id", "chiban", "review_reason")
+
+
+@query(
+    "p9_set_reliability",
+    "parcel lot",
+    "SELECT xml_meta_id, fude_id, x0, CASE WHEN lot_id IS NULL THEN 'LOW' ELSE 'HIGH' END AS reliability FROM parcel LEFT JOIN (SELECT lot_id FROM lot WHERE lot_id % 2 = 0) ON lot_id = xml_meta_id",
+)
+def _(parcel, lot):
+    changes = lot.where("lot_id % 2 = 0").select(F.col("lot_id").alias("xml_meta_id"), F.lit("HIGH").alias("reliability"))
+    rows = parcel.select("xml_meta_id", "fude_id", "x0", F.lit("LOW").alias("reliability"))
+    return store.update_by_id(rows, changes, ["xml_meta_id"], ["reliability"])
+
+
+@query(
+    "a5_import_summary",
+    "xml_file",
+    """SELECT count(*) AS processed, count(*) FILTER (content IS NULL OR length(content) < 40) AS failed, sum(CASE WHEN length(content) >= 40 THEN length(content) - length(replace(content, chr(10), '')) ELSE 0 END)::BIGINT AS parcels,
+      count(*) FILTER (content IS NULL OR length(content) < 40) = 0 AS success FROM xml_file""",
+)
+def _(xml_file):
+    size = F.coalesce(F.length("content"), F.lit(0))
+    lines = F.length("content") - F.length(F.replace(F.col("content"), F.lit("\n"), F.lit("")))
+    return stats.import_summary(xml_file.select((size < 40).alias("failed"), F.when(size >= 40, lines).otherwise(0).alias("parcels")))
+
+
+@query(
+    "a8_index_statistics",
+    "meta parcel",
+    """, rows AS (SELECT DISTINCT oaza_name, chiban, file_name FROM parcel JOIN meta ON id = xml_meta_id WHERE oaza_name <> '')
+    SELECT count(*) AS oaza, sum(n)::BIGINT AS entries, sum(c)::BIGINT AS chiban FROM (SELECT oaza_name, count(*) AS n, count(DISTINCT chiban) AS c FROM rows GROUP BY 1)""",
+)
+def _(meta, parcel):
+    return stats.index_statistics(parcel, meta)
+
+
+@query("s8_stored_rows", "parcel", "SELECT xml_meta_id, count(DISTINCT fude_id) AS kept FROM parcel GROUP BY 1")
+def _(parcel):
+    return match.first_wins(parcel, ["xml_meta_id", "fude_id"], ["chiban", "x0", "y0"]).groupBy("xml_meta_id").agg(F.count(F.lit(1)).alias("kept"))
+
+
+@query(
+    "s10_export_matched",
+    "meta parcel lot",
+    _MATCH
+    + """, hit_maps AS (SELECT DISTINCT xml_meta_id FROM matched WHERE level = 'exact'), hits AS (SELECT DISTINCT xml_meta_id, fude_id FROM matched WHERE level = 'exact')
+    SELECT xml_meta_id, fude_id, oaza_name, chiban FROM parcel WHERE xml_meta_id NOT IN (SELECT xml_meta_id FROM hit_maps) OR (xml_meta_id, fude_id) IN (SELECT xml_meta_id, fude_id FROM hits)""",
+)
+def _(meta, parcel, lot):
+    return match.export_rows(parcel, _matches(meta, parcel, lot).where("level = 'exact'")).select("xml_meta_id", "fude_id", "oaza_name", "chiban")
+
+
+@query(
+    "j9_lot_best_map",
+    "meta parcel lot",
+    _MATCH
+    + """ SELECT lot_id, xml_meta_id, fude_id, level FROM (SELECT *, row_number() OVER (PARTITION BY lot_id ORDER BY CASE level WHEN 'exact' THEN 0 WHEN 'parent' THEN 1 ELSE 2 END, xml_meta_id, fude_id) AS k FROM matched) WHERE k = 1""",
+)
+def _(meta, parcel, lot):
+    return match.best_maps(_matches(meta, parcel, lot))
+
+
+@query(
+    "j14_locate",
+    "lot admin",
+    """SELECT lot_id, admin_id FROM (SELECT lot_id, admin_id, row_number() OVER (PARTITION BY lot_id ORDER BY greatest(min_x - cx, 0, cx - max_x) * greatest(min_x - cx, 0, cx - max_x) + greatest(min_y - cy, 0, cy - max_y) * greatest(min_y - cy, 0, cy - max_y), admin_id) AS k
+      FROM lot JOIN admin ON cx + 30 >= min_x AND cx - 30 <= max_x AND cy + 30 >= min_y AND cy - 30 <= max_y) WHERE k = 1""",
+)
+def _(lot, admin):
+    return spatial.locate(lot.select(F.col("lot_id").alias("key"), F.col("cx").alias("x"), F.col("cy").alias("y")), admin, 30.0).select(F.col("key").alias("lot_id"), "admin_id")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best lot of every parcel by number."""
     return _QUERIES["w1_best_match"](spark, sf_dir)
