@@ -1,6 +1,7 @@
 """Rows of a query against its SQL in DuckDB, in any order."""
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SMALL = "/root/testdata/sf0.001"
@@ -8,7 +9,7 @@ SMALL = "/root/testdata/sf0.001"
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    text = lambda v: "null" if v is None or v != v else f"{v:.6g}" if isinstance(v, float) else str(v)
+    text = lambda v: "null" if pd.isna(v) else f"{v:.6g}" if isinstance(v, float) else str(v)
     return sorted(tuple(text(v) for v in row) for row in frame.itertuples(index=False))
 
 
