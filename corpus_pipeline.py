@@ -10,11 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelworks.llm import line_dedup, mixing, quality, sentencepiece_nbest, simhash
-from parcelworks.llm.shared import stash, table, word_count
+from parcelworks.llm.shared import NO_ID, stash, table, word_count
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+#: A row: its id and two hashes. Rows that share all three are alike in every column.
+KEY = ["__row_id", "__h1", "__h2"]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the columns of ``KEY``."""
+    rest = F.to_json(F.struct("lang", "source", "n_chars"))
+    return docs.withColumns({"__row_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__h1": F.xxhash64("text"), "__h2": F.xxhash64(F.lit("row"), "text", rest)})
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
     return quality.classify(docs, table(spark, sf_dir, "labels")).where("kept").select(COLUMNS)
@@ -28,19 +38,21 @@ def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each SimHash group. Documents of no words say nothing and are all
-    alike, so one of them stays as well. Of rows with one id, one stays: the first by hash of the text."""
-    groups = simhash.simhash_components(docs.select("doc_id", "text"))
-    first = groups.where("doc_id <=> component_id").select("doc_id").distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(COLUMNS)
+    """One row of each SimHash group: the smallest id (null last), then the first by hash of the text. Documents of
+    no words say nothing and are all alike, so one of them stays as well. Rows of one id, or of none, stay if
+    their groups differ."""
+    rows = keyed(docs)
+    groups = simhash.simhash_groups(rows, keys=("__h1", "__h2"))
+    first = groups.groupBy("__group").agg(F.min(F.struct(F.col("__id").alias("__row_id"), "__h1", "__h2")).alias("first")).select("first.*")
+    return rows.join(first, KEY, "left_semi").dropDuplicates(KEY).select(COLUMNS)
 
 
 def target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
-    sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    copies = mixing.mix_to_weights(sizes).where("copies > 0").select(F.col("doc_id").alias("__id"), "copies")
-    mixed = docs.join(copies, docs["doc_id"].eqNullSafe(copies["__id"])).drop("__id")
+    rows = keyed(docs)
+    sizes = rows.select(F.struct(KEY).alias("doc_id"), "source", word_count(F.col("text")).alias("size"))
+    copies = mixing.mix_to_weights(sizes).where("copies > 0").groupBy(*[F.col(f"doc_id.{c}").alias(c) for c in KEY]).agg(F.sum("copies").cast("int").alias("copies"))
+    mixed = rows.dropDuplicates(KEY).join(copies, KEY)  # rows that are alike share their copies
     return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies"))).select(COLUMNS)
 
 

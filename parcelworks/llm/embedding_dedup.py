@@ -22,11 +22,11 @@ def _unit(data: bytes, rows: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _build(part: pd.DataFrame) -> pd.DataFrame:
-    part = part.sort_values("__rep", kind="stable")
+    part = part.sort_values(["__rep", "__h1", "__h2"], kind="stable")
     x = np.stack(part["__vec"].to_numpy()).astype("<f8")
     graph = Hnsw(x / np.sqrt((x * x).sum(1))[:, None]).to_bytes()
     first = part.iloc[0]
-    return pd.DataFrame([(first["__label"], first["__dim"], first["__shard"], len(part), part["__rep"].to_numpy("<i8").tobytes(), x.tobytes(), graph)], columns=["label", "dim", "shard", "rows", "reps", "vectors", "graph"])
+    return pd.DataFrame([(first["__label"], first["__dim"], first["__shard"], len(part), part["__node"].to_numpy("<i8").tobytes(), x.tobytes(), graph)], columns=["label", "dim", "shard", "rows", "reps", "vectors", "graph"])
 
 
 def _searcher(threshold: float, beam: int, audits: int):
@@ -95,12 +95,12 @@ def link_embeddings(
     every = every.withColumn("__ok", F.coalesce(fits, F.lit(False))).withColumn("__vec", F.transform("__vec", lambda x: x + 0.0))  # -0.0 equals 0.0
     every = every.withColumns({"__h1": F.xxhash64("__vec"), "__h2": F.xxhash64(F.lit("vector"), "__vec")})
     nodes = every.where("__ok").groupBy("__label", "__h1", "__h2").agg(F.min("__id").alias("__rep"), F.count(F.lit(1)).alias("__n"), F.first("__vec").alias("__vec"))
-    nodes = stash(nodes.withColumn("__dim", F.size("__vec")), "vectors")
+    nodes = stash(nodes.withColumns({"__dim": F.size("__vec"), "__node": F.monotonically_increasing_id()}), "vectors")  # numbers are fixed once written
 
     sizes = nodes.groupBy("__label", "__dim").agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("__shards"))
     dealt = nodes.join(sizes, ["__label", "__dim"]).withColumn("__shard", F.pmod(F.col("__h2"), F.col("__shards")))
     label = nodes.schema["__label"].dataType.simpleString()
-    index = dealt.select("__label", "__dim", "__shard", "__rep", "__vec").groupBy("__label", "__dim", "__shard").applyInPandas(
+    index = dealt.select("__label", "__dim", "__shard", "__node", "__rep", "__h1", "__h2", "__vec").groupBy("__label", "__dim", "__shard").applyInPandas(
         _build, f"label {label}, dim int, shard long, rows int, reps binary, vectors binary, graph binary"
     )
     index = stash(index, "graphs")
@@ -109,7 +109,7 @@ def link_embeddings(
     links = pairs.groupBy("label", "dim", "shard", "q_shard").applyInPandas(_searcher(threshold, beam, audits), "u long, v long")
     found = connected_components(links)
 
-    member = nodes.join(found, nodes["__rep"] == found["node"]).select("__label", "__dim", "component", F.struct("__label", "__h1", "__h2").alias("__key"), "__n", "__vec", "__h1")
+    member = nodes.join(found, nodes["__node"] == found["node"]).select("__label", "__dim", "component", F.struct("__label", "__h1", "__h2").alias("__key"), "__n", "__vec", "__h1")
     parts = member.groupBy("__label", "__dim", "component").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("__c"))
     split = member.join(parts, ["__label", "__dim", "component"]).withColumn("__p", F.pmod("__h1", "__c").cast("int"))
     both = F.transform(F.sequence(F.lit(0), F.col("__c") - 1), lambda x: F.struct(F.least(x, F.col("__p")).alias("i"), F.greatest(x, F.col("__p")).alias("j")))
@@ -119,8 +119,11 @@ def link_embeddings(
     counted = counted.groupBy("__key").agg(F.sum("__links").alias("__links"))
     counted = counted.select(*[F.col(f"__key.{c}").alias(c) for c in ("__label", "__h1", "__h2")], "__links")
 
-    named = nodes.drop("__vec").join(found, nodes["__rep"] == found["node"], "left").join(counted, ["__label", "__h1", "__h2"], "left")
-    named = named.select("__label", "__h1", "__h2", F.coalesce("component", "__rep").alias("__component"), (F.coalesce("__links", F.lit(0)) + F.col("__n") - 1).alias("__total"), F.lit(True).alias("__ok"))
+    grouped = nodes.drop("__vec").join(found, nodes["__node"] == found["node"], "left").withColumn("__group", F.coalesce("component", "__node"))
+    grouped = stash(grouped.select("__label", "__h1", "__h2", "__rep", "__n", "__group"), "vector-groups")
+    names = stash(grouped.groupBy("__group").agg(F.min("__rep").alias("__component")), "vector-names")
+    named = grouped.join(names, "__group").join(counted, ["__label", "__h1", "__h2"], "left")
+    named = named.select("__label", "__h1", "__h2", "__component", (F.coalesce("__links", F.lit(0)) + F.col("__n") - 1).alias("__total"), F.lit(True).alias("__ok"))
     out = every.select("__id", "__label", "__h1", "__h2", "__ok").join(named, ["__label", "__h1", "__h2", "__ok"], "left")
     component = F.coalesce("__component", "__id")
     real = lambda c: F.when(c != NO_ID, c)

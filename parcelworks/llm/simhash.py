@@ -55,8 +55,9 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = np.array([fingerprint(shingle_hashes(t.as_py())) for t in batch.column(1)], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64), pa.int64())], names=["__id", "__fp"])
+        *others, texts = batch.columns
+        prints = np.array([fingerprint(shingle_hashes(t.as_py())) for t in texts], np.uint64)
+        yield pa.RecordBatch.from_arrays([*others, pa.array(prints.view(np.int64), pa.int64())], names=[*batch.schema.names[:-1], "__fp"])
 
 
 def close_pairs(fp: np.ndarray, start: np.ndarray, radius: int = RADIUS, slots: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -149,6 +150,22 @@ def link_fingerprints(prints: DataFrame, chunk: int = 2048) -> DataFrame:
     return groups.mapInArrow(_links, "u long, v long")
 
 
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys: tuple[str, ...] = ()) -> DataFrame:
+    """(__id, keys, __fp, __group, __component), a row for each row of ``docs``; ``keys`` are long columns that are
+    passed on. __group is the smallest fingerprint that a chain of links reaches, so groups stay apart whatever their
+    ids are; __component is the smallest id of the group. In both id columns NO_ID stands for null.
+    """
+    sized = small_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("__id"), *keys, F.col(text_col).alias("__text"))
+    prints = stash(sized.mapInArrow(_fingerprints, ", ".join(f"{c} long" for c in ("__id", *keys, "__fp"))), "simhash")
+    distinct = stash(prints.groupBy("__fp").agg(F.min("__id").alias("__least")), "simhash-distinct")
+    found = connected_components(link_fingerprints(distinct.select("__fp", F.col("__fp").alias("__rep"))))
+    grouped = distinct.join(found, distinct["__fp"] == found["node"], "left").select("__fp", F.coalesce("component", "__fp").alias("__group"), "__least")
+    grouped = stash(grouped, "simhash-groups")
+    names = stash(grouped.groupBy("__group").agg(F.min("__least").alias("__component")), "simhash-names")
+    named = stash(grouped.join(names, "__group").select("__fp", "__group", "__component"), "simhash-named")
+    return prints.join(named, "__fp")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint as 16 hex digits, component_id), a row for each row of ``docs``; component_id is the
     smallest id among all rows that a chain of links (three differing bits or fewer) joins.
@@ -160,13 +177,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Texts are read once, without a shuffle; what is shuffled are fingerprints. Equal fingerprints, and so
     exact copies, are one row before the search.
     """
-    sized = small_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("__id"), F.col(text_col).alias("__text"))
-    prints = stash(sized.mapInArrow(_fingerprints, "__id long, __fp long"), "simhash")
-    distinct = stash(prints.groupBy("__fp").agg(F.min("__id").alias("__rep")), "simhash-distinct")
-    found = connected_components(link_fingerprints(distinct))
-    named = distinct.join(found, distinct["__rep"] == found["node"], "left").select("__fp", F.coalesce("component", "__rep").alias("__component"))
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return prints.join(named, "__fp").select(
+    return simhash_groups(docs, id_col, text_col).select(
         real("__id").alias(id_col), F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), real("__component").alias("component_id")
     )
 

@@ -378,3 +378,43 @@ def test_pipeline(spark):
     mixed = corpus_pipeline.target_weights(spark, one, sf_dir)
     assert mixed.columns == docs.columns and max(r["count"] for r in mixed.groupBy("doc_id").count().collect()) <= 2
     assert corpus_pipeline.encoded(spark, mixed, sf_dir).where("NOT round_trip").count() == 0
+
+
+def near_texts(n):
+    """Two texts whose fingerprints differ by one to three bits."""
+    while True:
+        words = prose(n).split()
+        other = [*words[:-1], "changed"]
+        if 0 < (brute_print(" ".join(words)) ^ brute_print(" ".join(other))).bit_count() <= 3:
+            return " ".join(words), " ".join(other)
+
+
+def test_missing_and_repeated_ids_bridge_nothing(spark):
+    """Groups stay apart where their fingerprints are held by rows of null ids, or of one id, only."""
+    import corpus_pipeline
+
+    (a, near_a), (b, near_b), (c, d) = near_texts(150), near_texts(150), (prose(90), prose(95))
+    rows = [(1, a), (None, near_a), (500, b), (None, near_b), (None, c), (7, d), (7, prose(99)), (7, d)]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.simhash_components(frame).collect()}
+    want = {(i, t): n for (i, t), n in zip(rows, [1, 1, 500, 500, None, 7, 7, 7], strict=True)}
+    assert got == {(i, f"{brute_print(t):016x}"): n for (i, t), n in want.items()}
+    one = corpus_pipeline.one_of_each_group(spark, frame, "")
+    assert sorted(map(str, ((r.doc_id, r.text) for r in one.collect()))) == sorted(map(str, [rows[0], rows[2], rows[4], rows[5], rows[6]]))
+    assert corpus_pipeline.one_of_each_group(spark, frame.where("doc_id IS NULL"), "").count() == 3
+    nulls = spark.createDataFrame([(None, prose(n), "en", "s", n) for n in range(1, 81)] * 2, frame.schema)
+    words = sum(len(r.text.split()) for r in corpus_pipeline.target_weights(spark, nulls, "").collect())
+    assert abs(words - 1.5 * 2 * sum(range(1, 81))) <= 80
+
+
+def test_embeddings_missing_ids_bridge_nothing(spark):
+    base = np.eye(4)
+    close = lambda i: [float(x) for x in base[i] + 0.1 * base[3]]
+    rows = [(1, [1.0, 0, 0, 0], 0), (None, close(0), 0), (500, [0, 1.0, 0, 0], 0), (None, close(1), 0), (900, [0, 0, 1.0, 0], 1), (None, close(2), 1), (None, [0, 0, 0, 1.0], 1)]
+    rows += [(7, [1.0, 1, 0, 0], 2), (7, [0, 0, 1.0, 1], 2), (8, [1.0, 1, 0.1, 0], 2), (9, [0, 0.1, 1.0, 1], 2)]
+    rows = [(i, [float(x) for x in v], y) for i, v, y in rows]
+    out = embedding_dedup.link_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in out) == sorted(
+        [("1", 1, "1"), ("None", 1, "1"), ("500", 1, "500"), ("None", 1, "500"), ("900", 1, "900"), ("None", 1, "900"), ("None", 0, "None")]
+        + [("7", 1, "7"), ("7", 1, "7"), ("8", 1, "7"), ("9", 1, "7")]
+    )
