@@ -29,3 +29,20 @@ def first_hits(parcels: DataFrame, texts: DataFrame) -> DataFrame:
     query table is joined by containment, so it should be small; Spark broadcasts it if it is."""
     hits = parcels.join(texts, F.contains(parcels["chiban"], texts["query"]))
     return hits.groupBy("query").agg(F.min(F.struct("xml_meta_id", "fude_id")).alias("m")).select("query", "m.xml_meta_id", "m.fude_id")
+
+
+def first_places(parcels: DataFrame, texts: DataFrame) -> DataFrame:
+    """(query, xml_meta_id, fude_id, cx, cy, min_x, min_y, max_x, max_y): for each query text, the first map and parcel
+    whose number contains it, with the parcel's centroid and box; an empty query finds none. Each distinct number is
+    cut into all of its substrings, which are joined by equality, so neither table need be small."""
+    hit = F.struct("xml_meta_id", "fude_id", "x0", "y0", "w", "h")
+    listed = parcels.groupBy(ascii_lower(F.col("chiban")).alias("__number")).agg(F.min(hit).alias("m")).where("length(__number) > 0")
+    size = F.length("__number")
+    parts = F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.substring("__number", i, n)))
+    cut = listed.select("m", F.explode(F.array_distinct(F.flatten(parts))).alias("__part"))
+    hits = cut.join(texts.select("query", ascii_lower(F.col("query")).alias("__part")), "__part")
+    first = hits.groupBy("query").agg(F.min("m").alias("m")).select("query", "m.*")
+    x0, y0, w, h = (F.col(c) for c in ("x0", "y0", "w", "h"))
+    return first.select(
+        "query", "xml_meta_id", "fude_id", (x0 + w / 2).alias("cx"), (y0 + h / 2).alias("cy"), x0.alias("min_x"), y0.alias("min_y"), (x0 + w).alias("max_x"), (y0 + h).alias("max_y")
+    )

@@ -522,6 +522,18 @@ def _(parcel, lot):
     return search.first_hits(parcel, lot.where("lot_id % 50 = 0").select(F.concat("parent_no", F.lit("-3")).alias("query")).distinct())
 
 
+@query(
+    "o4_search_places",
+    "parcel lot",
+    """SELECT query, r.m AS xml_meta_id, r.f AS fude_id, r.x + r.w / 2 AS cx, r.y + r.h / 2 AS cy, r.x AS min_x, r.y AS min_y, r.x + r.w AS max_x, r.y + r.h AS max_y
+      FROM (SELECT query, min(row(xml_meta_id, fude_id, x0, y0, w, h)::STRUCT(m BIGINT, f VARCHAR, x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE)) AS r FROM parcel
+      JOIN (SELECT DISTINCT CASE WHEN branch_no <> '' THEN parent_no || '-' || branch_no ELSE parent_no END AS query FROM lot WHERE lot_id % 20 = 0) ON contains(chiban, query) GROUP BY 1)""",
+)
+def _(parcel, lot):
+    texts = lot.where("lot_id % 20 = 0").select(numbers.joined_number(F.col("parent_no"), F.col("branch_no")).alias("query")).distinct()
+    return search.first_places(parcel, texts)
+
+
 @query("u2_shared_chiban", "meta parcel", f"SELECT oaza_name, chiban FROM parcel JOIN meta ON id = xml_meta_id WHERE {_ARBITRARY} INTERSECT SELECT oaza_name, chiban FROM parcel JOIN meta ON id = xml_meta_id WHERE NOT ({_ARBITRARY})")
 def _(meta, parcel):
     rows = store.with_map(parcel, meta, "crs_type")
