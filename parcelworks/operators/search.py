@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelworks.functions.numbers import natural_key
@@ -24,6 +24,12 @@ def suggestions(parcels: DataFrame, prefix: str, limit: int = 10) -> DataFrame:
     return first.orderBy("oaza_name", natural_key(F.col("chiban")), "chiban").limit(limit)
 
 
+def natural_order(parcels: DataFrame) -> DataFrame:
+    """(xml_meta_id, chiban, n): the place of each distinct number in its map, in natural order. A window holds one map."""
+    by_map = Window.partitionBy("xml_meta_id").orderBy(natural_key(F.col("chiban")), "chiban")
+    return parcels.select("xml_meta_id", "chiban").distinct().withColumn("n", F.row_number().over(by_map))
+
+
 def first_hits(parcels: DataFrame, texts: DataFrame) -> DataFrame:
     """(query, xml_meta_id, fude_id): for each query text, the first map and parcel whose number contains it. The
     query table is joined by containment, so it should be small; Spark broadcasts it if it is."""

@@ -610,6 +610,12 @@ def _(parcel):
     return one.withColumn("n", F.row_number().over(Window.orderBy(numbers.natural_key(F.col("chiban")), "chiban")))
 
 
+@query("o3_map_order", "parcel", rf"""SELECT xml_meta_id, chiban, row_number() OVER (PARTITION BY xml_meta_id ORDER BY list_transform({_PARTS}, lambda p: CASE WHEN regexp_extract(p, '^[0-9]+') <> '' THEN row(0, regexp_extract(p, '^[0-9]+')::BIGINT, regexp_replace(p, '^[0-9]+', ''))
+      ELSE row(1, 0::BIGINT, p) END), chiban) AS n FROM (SELECT DISTINCT xml_meta_id, chiban FROM parcel)""")
+def _(parcel):
+    return search.natural_order(parcel)
+
+
 @query("s9_export", "meta parcel", "SELECT fude_id, chiban, x0, file_name, crs_type FROM parcel JOIN meta ON id = xml_meta_id WHERE oaza_name = '大字3' AND xml_meta_id IN (3, 25, 47)")
 def _(meta, parcel):
     return store.with_map(parcel.where(F.col("oaza_name") == "大字3").where(F.col("xml_meta_id").isin(3, 25, 47)), meta, "file_name", "crs_type").select("fude_id", "chiban", "x0", "file_name", "crs_type")

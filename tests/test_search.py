@@ -15,3 +15,12 @@ def test_all_due_numbers_are_searched(spark):
             want[text] = first
     got = {r.query: (r.xml_meta_id, r.fude_id, r.min_x, r.min_y, r.max_x, r.max_y) for r in registry.queries()["o4_search_places"](spark, SMALL).collect()}
     assert got == want and any("-" in q for q in want) and any("-" not in q for q in want)
+
+
+def test_every_map_is_ordered(spark):
+    rows = registry.queries()["o3_map_order"](spark, SMALL).collect()
+    assert {(r.xml_meta_id, r.chiban) for r in rows} == {(p.xml_meta_id, p.chiban) for p in view(spark, SMALL, "parcel").collect()}
+    for m in {r.xml_meta_id for r in rows}:
+        mine = sorted((r.n, r.chiban) for r in rows if r.xml_meta_id == m)
+        plain = [int(c) for _, c in mine if c.isdigit()]
+        assert [n for n, _ in mine] == list(range(1, len(mine) + 1)) and plain == sorted(plain)
