@@ -1,4 +1,4 @@
-"""Spatial joins of rectangles and polygons by grid cells."""
+"""Spatial joins of rectangles (min_x, min_y, max_x, max_y) by grid cells. Polygons count as their boxes."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Map XML out of archives within archives, and its parcels, points, curves and rings."""
+"""Map XML out of archives within archives, and its parcels, points and scales; no header, curves or rings."""
 
 from __future__ import annotations
 
