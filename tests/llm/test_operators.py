@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -261,8 +263,40 @@ def test_token_files(spark, docs, empty, tmp_path):
     token_files.write_tokens(empty, f"file://{tmp_path}/e", vocabulary)
     assert token_files.token_index(spark, f"file://{tmp_path}/e").count() == 0
     cache = token_files.WordCache(vocabulary)
-    for text in ["a <|endoftext|>b<|ENDOFTEXT|>", "x.. z!'s it's don't! é,! x€, <b>.", "İ ΣΑΣ ﬁ e\u0301 K\u030c", "|>x <|", cache.marker * 2, f"a {cache.marker} b"]:
-        assert np.frombuffer(cache.ids(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    texts = ["a <|endoftext|>b<|ENDOFTEXT|>", "x.. z!'s it's don't! é,! x€, <b>.", "İ ΣΑΣ ﬁ e\u0301 K\u030c", "|>x <|", cache.marker * 2, f"a {cache.marker} b"]
+    texts += ["İ. İ, x i\u0307.", "H\u0331 T\u0308. J\u030c, Ǆ. ŉ! ÿ) Ÿ) ß... Straße. ÷. ×! naïve' Été", "a'S it'Sb. ''s", "x\u00a0y\u3000z.\t."]
+    signs = [*map(chr, range(33, 127)), *"aAeEiIzZ", *map(chr, range(0xC0, 0x250)), *map(chr, range(0x300, 0x340)), *"ΣσςϊﬁǅẞK日語🙂\u200d٣²Ⅷ"]
+    chosen = random.Random(8)
+    texts += [" ".join("".join(chosen.choice(signs) for _ in range(chosen.randint(1, 6))) for _ in range(40)) for _ in range(200)]
+    texts += [" ".join(chosen.choice(signs) + chosen.choice(".,!)<'") for _ in range(300)) for _ in range(5)]
+    ends, ids = cache.ids(pa.array([*texts, "", " \n"]))
+    for text, one in zip([*texts, "", " \n"], np.split(ids, ends[:-1]), strict=True):
+        assert one.tolist() == [*plain.encode(text, add_special_tokens=False).ids, 1], text
+
+
+def test_token_files_keep_positions_and_skip_stripes(spark, tmp_path):
+    """Rows of one id have places in the files that ``start`` agrees with; stripes have Bloom filters and are skipped."""
+    import public_tokenizers
+    from pyarrow import orc
+
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(7, prose(n)) for n in range(1, 60)] + [(None, prose(n)) for n in range(1, 9)] + [(i, prose(3)) for i in range(40)]
+    token_files.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), f"file://{tmp_path}/t", vocabulary)
+    files = [orc.read_table(p).to_pydict() for p in sorted(tmp_path.glob("t/*.orc"))]
+    files = sorted((f for f in files if f["ids"]), key=lambda f: (f["doc_id"][0] is not None, f["doc_id"][0] or 0, f["text_hash"][0]))
+    ids = [x for f in files for x in f["ids"]]
+    starts = np.cumsum([0, *map(len, ids)])[:-1].tolist()
+    want = sorted((s, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for s, x in zip(starts, ids, strict=True))
+    index = token_files.token_index(spark, f"file://{tmp_path}/t")
+    assert sorted((r.start, r.n_tokens, r.ids_crc32) for r in index.collect()) == want and len(want) == len(rows)
+    many = spark.range(0, 60_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.sha2(F.col("id").cast("string"), 256), F.lit("x")).alias("text")).coalesce(1)
+    token_files.write_tokens(many, f"file://{tmp_path}/m", vocabulary, stripe_bytes=1 << 16, row_index_stride=1000)
+    paths = sorted(tmp_path.glob("m/*.orc"))
+    assert sum(orc.ORCFile(p).nstripes for p in paths) > len(paths)
+    read = token_files.read_tokens(spark, f"file://{tmp_path}/m").where("doc_id = 31234")
+    assert len(read.collect()) == 1
+    scanned = read._jdf.queryExecution().executedPlan().collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+    assert 1 <= scanned <= 1000  # one row group; the other stripes and groups are skipped
 
 
 def n_best_by_hand(pieces, text, n):
@@ -270,8 +304,13 @@ def n_best_by_hand(pieces, text, n):
     best = [[] for _ in range(len(word) + 1)]
     best[0] = [(0, ())]
     into = {}
-    for i, j, ids, s in pieces.edges(word):
-        into.setdefault(j, []).append((i, ids, s))
+    for j in range(1, len(word) + 1):
+        for i in range(j):
+            if found := pieces.steps.get(word[i:j]):
+                into.setdefault(j, []).append((i, (found[0],), found[1]))
+            elif j == i + 1:
+                raw = word[i].encode()
+                into.setdefault(j, []).append((i, tuple(pieces.byte_ids[b] for b in raw), len(raw) * pieces.byte_score))
     for j in range(1, len(word) + 1):
         best[j] = sorted(((a + s, x + ids) for i, ids, s in into.get(j, []) for a, x in best[i]), key=lambda z: (-z[0], z[1]))[:n]
     return best[-1]
@@ -287,6 +326,13 @@ def test_sentencepiece(docs, empty):
         ways, want = pieces.encode(text, 5), n_best_by_hand(pieces, text, 5)
         assert [w[0] for w in ways] == [w[0] for w in want] and len({w[1] for w in ways}) == len(ways)
         assert all(library.decode(np.frombuffer(w[1], "<i4").tolist()) == text for w in ways)
+    for text in ["aaaaaaaaaaaaaaaaaaaa", "abababababababab日", "☃☃☃"]:  # many ways of equal scores
+        assert [w[0] for w in pieces.encode(text, 12)] == [w[0] for w in n_best_by_hand(pieces, text, 12)]
+    word = "".join(random.Random(3).choice("abcdefghinorstu") for _ in range(300_000))
+    began = time.process_time()
+    ways = pieces.encode(word + " " + "a" * 100_000, 4)  # time and memory grow with the length only
+    assert time.process_time() - began < 60 and len({w[1] for w in ways}) == 4 and not any(len(w) > pieces.keep for w in pieces.new)
+    assert all(library.decode(np.frombuffer(w[1], "<i4").tolist()) == word + " " + "a" * 100_000 for w in ways)
     out = sentencepiece_nbest.encode_documents(docs, model).collect()
     assert sorted((str(r.doc_id), r.decoded_sha256) for r in out) == sorted((str(d), hashlib.sha256((t or "").encode()).hexdigest()) for d, t, *_ in DOCS)
     assert all(r.round_trip for r in out)
