@@ -17,21 +17,22 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, component) of every node in ``edges`` (u, v: long); a component is named by its smallest node.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): every step joins the links with one
-    aggregated row a node, so no neighbourhood is ever collected, and a hub can be split by AQE's skew join.
-    Each round is written to the shared folder; only a count and two checksums reach the driver. The links
+    aggregated row a node, so no neighbourhood is ever collected. Those rows are written first: AQE splits a hub's links only
+    where both sides of the join come straight out of a shuffle. Each round is written to the shared folder; only a count and two checksums reach the driver. The links
     shrink to stars in a number of rounds that grows with the logarithm of the number of nodes.
     """
     edges = stash(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     mark = _mark(edges)
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        least = stash(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+        large = stash(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least_large = stash(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        joined = large.join(least_large, "u")
+        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least_large.select("u", F.col("m").alias("v")))
         after = stash(small.distinct(), "links")
-        drop_stash(edges)
+        for done in (edges, least, large, least_large):
+            drop_stash(done)
         edges, before, mark = after, mark, _mark(after)
         if mark == before:
             break

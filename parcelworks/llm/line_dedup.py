@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelworks.llm.shared import NO_ID, SPACES, lower_ascii
+from parcelworks.llm.shared import NO_ID, SPACES, lower_ascii, stash
 
 
 def _lines(text: Column) -> Column:
@@ -47,20 +47,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     null id count as one document that comes last. Rows of the same id count as one document; each
     is cleaned by itself. An empty table gives an empty table.
 
-    At scale: the counts are pre-aggregated on the map side; only (document, position, hash) rows are
-    shuffled by hash, where one hot line can be split by AQE's skew join; texts are shuffled once, by
-    document, for reassembly, and never sorted.
+    At scale: the counts are pre-aggregated on the map side, and the repeated keys are written to the shared folder. The
+    (document, position, hash) rows are then joined with that table, so that a hot line comes straight out of a shuffle on
+    both sides and AQE's skew join splits it (an aggregated side it would not split). The dropped positions are written as
+    well, for the same reason; texts are shuffled once, by document, for reassembly.
     """
     base = docs.withColumns({"__did": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "__text": F.coalesce(F.col(text_col), F.lit(""))}).withColumn("__th", F.xxhash64("__text"))
     lines = _keyed(base, min_chars)
-    dropped = (
-        lines.join(_repeated(lines, min_docs), ["__h1", "__h2"])
-        .where("__did > __first")
-        .groupBy("__did", "__th")
-        .agg(F.collect_set("__pos").alias("__gone"))
-    )
+    repeated = stash(_repeated(lines, min_docs), "repeated-lines")
+    gone = lines.join(repeated, ["__h1", "__h2"]).where("__did > __first")
+    dropped = stash(gone.groupBy("__did", "__th").agg(F.collect_set("__pos").alias("__gone")), "dropped-lines")
     whole = base.withColumn("__all", _lines(F.col("__text"))).drop("__text", *[text_col] * (text_col != "__text"))
-    joined = whole.join(dropped.hint("shuffle_hash"), ["__did", "__th"], "left")
+    joined = whole.join(dropped, ["__did", "__th"], "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size("__all") - 1), F.coalesce("__gone", F.array().cast("array<int>")))
     return joined.withColumns(
         {

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 #: White space of all contracts: blank and \t \n \v \f \r. Python's bytes.split() splits at the same six.
 SPACES = " \t\n\x0b\x0c\r"
-#: Stands for a null document id, so that it can be compared, grouped and joined; larger than any real id.
+#: Stands for a null document id, so that it can be compared, grouped and joined; no real id is larger, and one of this
+#: value counts as null.
 NO_ID = 2**63 - 1
 
 

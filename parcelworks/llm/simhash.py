@@ -136,10 +136,11 @@ def link_fingerprints(prints: DataFrame, chunk: int = 2048) -> DataFrame:
     bits through chains, from (__fp, __rep), one row a fingerprint.
 
     A bucket of more than ``chunk`` rows is split by a hash into parts; each pair of parts is a group of its
-    own, so that a task holds 2 * ``chunk`` rows whatever the bucket's size, and no pair is lost."""
+    own, so that a task holds 2 * ``chunk`` rows whatever the bucket's size, and no pair is lost. The sizes of large buckets are
+    written first, so that the join with them is broadcast, or split by AQE where a bucket is hot."""
     keys = F.explode(F.array(*[F.struct(F.lit(i).cast("byte").alias("t"), F.col("__fp").bitwiseAND(F.lit(m - 2**64 if m >> 63 else m)).alias("key")) for i, m in enumerate(MASKS)]))
     rows = prints.select("__fp", "__rep", keys.alias("k")).select("__fp", "__rep", F.col("k.t").alias("__t"), F.col("k.key").alias("__key"))
-    large = rows.groupBy("__t", "__key").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > chunk)
+    large = stash(rows.groupBy("__t", "__key").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > chunk), "large-buckets")
     parts = rows.join(large, ["__t", "__key"], "left").withColumn("__c", F.coalesce(F.ceil(F.col("__n") / chunk), F.lit(1)).cast("int"))
     part = F.pmod(F.xxhash64("__fp"), F.col("__c")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("__c") - 1), lambda x: F.struct(F.least(x, F.col("__p")).alias("i"), F.greatest(x, F.col("__p")).alias("j")))
