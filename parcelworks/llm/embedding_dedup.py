@@ -30,20 +30,26 @@ def _build(part: pd.DataFrame) -> pd.DataFrame:
 
 
 def _searcher(threshold: float, beam: int, audits: int):
-    def search(pair: pd.DataFrame) -> pd.DataFrame:
-        row = pair.iloc[0]
+    def search(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        """Links of one shard's graph with a run of query shards, and a row of what each audit asked and found."""
+        row = own.iloc[0]
         x, unit = _unit(row["vectors"], row["rows"])
-        y, queries = (x, unit) if row["shard"] == row["q_shard"] else _unit(row["q_vectors"], row["q_rows"])
-        left, right = near_links(Hnsw.from_bytes(row["graph"], unit), queries, y is x, threshold, beam, audits)
-        norms = np.sqrt((y * y).sum(1))[left] * np.sqrt((x * x).sum(1))[right]
-        sure = np.concatenate([np.einsum("ij,ij->i", y[left[i : i + 65536]], x[right[i : i + 65536]]) for i in range(0, len(left), 65536)] or [norms]) / norms >= threshold
-        left, right = left[sure], right[sure]
-        reps = np.frombuffer(row["reps"], "<i8")
-        if y is not x:
-            right = right + len(y)
-            reps = np.concatenate([np.frombuffer(row["q_reps"], "<i8"), reps])
-        u, v = star_links(left, right, len(reps))  # a star joins what its links join
-        return pd.DataFrame({"u": reps[u], "v": reps[v]})
+        graph, reps, out = Hnsw.from_bytes(row["graph"], unit), np.frombuffer(row["reps"], "<i8"), []
+        for q in others.itertuples(index=False):
+            same = q.q_shard == row["shard"]
+            y, queries = (x, unit) if same else _unit(q.q_vectors, q.q_rows)
+            left, right, asked, found = near_links(graph, queries, same, threshold, beam, audits)
+            norms = np.sqrt((y * y).sum(1))[left] * np.sqrt((x * x).sum(1))[right]
+            sure = np.concatenate([np.einsum("ij,ij->i", y[left[i : i + 65536]], x[right[i : i + 65536]]) for i in range(0, len(left), 65536)] or [norms]) / norms >= threshold
+            left, right = left[sure], right[sure]
+            names = reps
+            if not same:
+                right = right + len(y)
+                names = np.concatenate([np.frombuffer(q.q_reps, "<i8"), reps])
+            u, v = star_links(left, right, len(names))  # a star joins what its links join
+            out.append(pd.DataFrame({"label": row["label"], "dim": row["dim"], "u": names[u], "v": names[v], "asked": 0, "found": 0}))
+            out.append(pd.DataFrame([(row["label"], row["dim"], -1, -1, asked, found)], columns=["label", "dim", "u", "v", "asked", "found"]))
+        return pd.concat(out)
 
     return search
 
@@ -73,16 +79,20 @@ def link_embeddings(
     threshold: float = 0.93,
     shard_rows: int = 8192,
     part_rows: int = 2048,
+    run_bytes: int = 64 << 20,
     beam: int = 64,
     audits: int = 128,
 ) -> DataFrame:
-    """(vec_id, n_links, component_id, kept), a row for each row of ``rows``.
+    """(vec_id, n_links, component_id, kept, audit_recall), a row for each row of ``rows``.
 
     Equal vectors of a label become one node with a count. The nodes of a label are dealt by hash into shards of
-    about ``shard_rows``; each shard's graph is built in one task and written to the shared folder; every pair of a
-    label's shards is searched in one task, so a large label makes more tasks, not larger ones. Found links are
-    verified in double precision and reach the shuffle as stars. After the components are united, links are
-    counted exactly inside each component, in pairs of parts of ``part_rows`` nodes; no pair is emitted.
+    about ``shard_rows``; each shard's graph is built in one task and written to the shared folder. A graph meets a run of
+    query shards, of ``run_bytes`` of vectors at most, in one task, so a large label makes more tasks, not larger ones; every shard's
+    vectors are searched in its own graph and in those of all later shards. Found links are verified in double precision and reach the
+    shuffle as stars. After the components are united, links are counted exactly inside each component, in pairs of parts of
+    ``part_rows`` nodes; no pair is emitted. Both the pairs of shards of a label and those of parts of a component
+    grow with the square of their number. ``audit_recall`` is what the audits of the row's label found of the links and ten
+    nearest neighbours they looked for (null without a label, or without vectors).
 
     Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and vectors with a
     null label, link with nothing: n_links 0, their own component. Vectors of other length never link. Rows of
@@ -104,13 +114,20 @@ def link_embeddings(
         _build, f"label {label}, dim int, shard long, rows int, reps binary, vectors binary, graph binary"
     )
     index = stash(index, "graphs")
-    queries = index.select("label", "dim", *[F.col(c).alias(f"q_{c}") for c in ("shard", "rows", "reps", "vectors")])
-    pairs = index.join(queries, ["label", "dim"]).where("q_shard <= shard")
-    links = pairs.groupBy("label", "dim", "shard", "q_shard").applyInPandas(_searcher(threshold, beam, audits), "u long, v long")
-    found = connected_components(links)
+    runs = F.greatest(F.lit(1), F.floor(F.lit(run_bytes) / (F.lit(8 * shard_rows) * F.col("dim"))))  # query shards a task
+    spread = index.join(sizes.select(F.col("__label").alias("label"), F.col("__dim").alias("dim"), "__shards"), ["label", "dim"]).withColumn("__run", runs)
+    graphs = spread.withColumn("run", F.explode(F.sequence(F.lit(0), F.floor(F.col("shard") / F.col("__run")))))
+    queries = spread.select(
+        *[F.col(c).alias(f"q_{c}") for c in ("label", "dim", "shard", "rows", "reps", "vectors")], F.explode(F.sequence(F.col("shard"), F.col("__shards") - 1)).alias("to_shard"), F.floor(F.col("shard") / F.col("__run")).alias("q_run")
+    )
+    graphs = graphs.select("label", "dim", "shard", "run", "rows", "reps", "vectors", "graph").groupBy("label", "dim", "shard", "run")
+    met = graphs.cogroup(queries.groupBy("q_label", "q_dim", "to_shard", "q_run")).applyInPandas(_searcher(threshold, beam, audits), f"label {label}, dim int, u long, v long, asked long, found long")
+    met = stash(met, "vector-links")
+    audit = met.where("u < 0").groupBy("label").agg((F.sum("found") / F.sum("asked")).alias("__recall"))
+    found = connected_components(met.where("u >= 0").select("u", "v"))
 
     member = nodes.join(found, nodes["__node"] == found["node"]).select("__label", "__dim", "component", F.struct("__label", "__h1", "__h2").alias("__key"), "__n", "__vec", "__h1")
-    parts = member.groupBy("__label", "__dim", "component").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("__c"))
+    parts = stash(member.groupBy("__label", "__dim", "component").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("__c")), "component-parts")
     split = member.join(parts, ["__label", "__dim", "component"]).withColumn("__p", F.pmod("__h1", "__c").cast("int"))
     both = F.transform(F.sequence(F.lit(0), F.col("__c") - 1), lambda x: F.struct(F.least(x, F.col("__p")).alias("i"), F.greatest(x, F.col("__p")).alias("j")))
     groups = split.withColumn("__ij", F.explode(both)).select("__label", "__dim", "component", F.col("__ij.i").alias("__i"), F.col("__ij.j").alias("__j"), "__p", "__key", "__n", "__vec")
@@ -125,9 +142,10 @@ def link_embeddings(
     named = grouped.join(names, "__group").join(counted, ["__label", "__h1", "__h2"], "left")
     named = named.select("__label", "__h1", "__h2", "__component", (F.coalesce("__links", F.lit(0)) + F.col("__n") - 1).alias("__total"), F.lit(True).alias("__ok"))
     out = every.select("__id", "__label", "__h1", "__h2", "__ok").join(named, ["__label", "__h1", "__h2", "__ok"], "left")
+    out = out.join(stash(audit, "vector-audit").withColumnRenamed("label", "__label"), "__label", "left")
     component = F.coalesce("__component", "__id")
     real = lambda c: F.when(c != NO_ID, c)
-    return out.select(real(F.col("__id")).alias(id_col), F.coalesce("__total", F.lit(0)).cast("long").alias("n_links"), real(component).alias("component_id"), (component == F.col("__id")).alias("kept"))
+    return out.select(real(F.col("__id")).alias(id_col), F.coalesce("__total", F.lit(0)).cast("long").alias("n_links"), real(component).alias("component_id"), (component == F.col("__id")).alias("kept"), F.col("__recall").alias("audit_recall"))
 
 
 def op4_embedding_dedup(spark, sf_dir):

@@ -124,32 +124,46 @@ def _wide(index: Hnsw, query: np.ndarray, start: int | None, width: int, low: fl
         width *= 4
 
 
+def _exact(index: Hnsw, queries: np.ndarray, low: float, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """All (query row, node) pairs of similarity ``low`` or more, by blocks of queries."""
+    left, right = [np.empty(0, int)], [np.empty(0, int)]
+    for i in range(0, len(queries), block):
+        at, node = np.nonzero(queries[i : i + block].astype(np.float32) @ index.x.T >= low)
+        left.append(at + i)
+        right.append(node)
+    return np.concatenate(left), np.concatenate(right)
+
+
 def near_links(
     index: Hnsw, queries: np.ndarray, same: bool, threshold: float, beam: int = 64, audits: int = 128, recall: float = 0.95
-) -> tuple[np.ndarray, np.ndarray]:
-    """(query row, node) pairs of cosine ``threshold`` or more (a hair below counts; the caller verifies). ``same``: the queries are the
-    index's own vectors.
+) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(query row, node) pairs of cosine ``threshold`` or more (a hair below counts; the caller verifies), and what the last audit
+    looked for and found. ``same``: the queries are the index's own vectors.
 
     A query's beam is widened while all of it lies within the threshold. An audit compares ``audits`` queries
     spread over the rows with an exact scan; while a link of theirs is missed, or less than ``recall`` of their
-    ten nearest nodes found, all beams are doubled, in the end to the whole shard."""
+    ten nearest nodes found, all beams are doubled. Where a beam as wide as the shard still misses some (its graph
+    is not connected), the queries are scanned exactly."""
     n, low = len(index.x), threshold - 1e-5
     sample = np.unique(np.linspace(0, len(queries) - 1, min(audits, len(queries))).astype(int))
     exact = queries[sample].astype(np.float32) @ index.x.T
-    ten = [np.argsort(-sims, kind="stable")[:10] for sims in exact]
+    due = [(np.flatnonzero(sims >= threshold), np.argsort(-sims, kind="stable")[:10]) for sims in exact]
+    asked = sum(len(links) + len(ten) for links, ten in due)
     while True:
-        missed = found = 0
-        for row, sims, nearest in zip(sample.tolist(), exact, ten, strict=True):
+        missed = met = 0
+        for row, (links, ten) in zip(sample.tolist(), due, strict=True):
             ids = _wide(index, queries[row], row if same else None, beam, low)[0]
-            missed += len(np.setdiff1d(np.flatnonzero(sims >= threshold), ids))
-            found += np.isin(nearest, ids).mean()
-        if (not missed and found >= recall * len(sample)) or beam >= n:
+            missed += len(np.setdiff1d(links, ids))
+            met += int(np.isin(ten, ids).sum())
+        if not missed and met >= recall * sum(len(ten) for _, ten in due):
             break
+        if beam >= n:
+            return *_exact(index, queries, low), asked, asked
         beam *= 2
-    left, right = [], []
+    left, right = [np.empty(0, int)], [np.empty(0, int)]
     for i in range(len(queries)):
         ids, sims = _wide(index, queries[i], i if same else None, beam, low)
         good = ids[sims >= low]
         left.append(np.full(len(good), i))
         right.append(good)
-    return np.concatenate(left or [np.empty(0, int)]), np.concatenate(right or [np.empty(0, int)])
+    return np.concatenate(left), np.concatenate(right), asked, sum(len(links) for links, _ in due) + met
