@@ -10,6 +10,8 @@ rounding along (source, size). DataFrame functions only.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,7 +52,7 @@ def _rate(cap: float) -> Column:
 def balance(counts: DataFrame, targets: DataFrame, cap: float = 2.0, tolerance: float = 1e-10, max_steps: int = 60) -> DataFrame:
     """(source, __lambda, source_size, target): the multipliers. ``counts`` has (source, size, n). Sizes are
     scaled by their source's mean. A Newton step that leaves the bracket is replaced by its middle; the sums
-    are decimals, so that their order does not matter and reruns agree."""
+    are decimals, so that their order does not matter and reruns agree. Sources not settled after ``max_steps`` raise an error."""
     means = counts.groupBy("source").agg(F.sum("n").alias("__docs"))
     mean = F.col("source_size") / F.col("__docs")
     most, full = F.log(F.lit(cap)) * mean, F.col("target") >= cap * F.col("source_size")  # at most, every word is taken cap times
@@ -86,6 +88,8 @@ def balance(counts: DataFrame, targets: DataFrame, cap: float = 2.0, tolerance:
         drop_stash(before)
         if state.where("NOT __done").isEmpty():
             break
+    else:
+        raise RuntimeError(f"multipliers not settled after {max_steps} steps")
     return state.withColumn("__lambda", F.round("__lambda", 11))
 
 
@@ -130,7 +134,7 @@ def mix_to_weights(
 
     def copies(phase: Column) -> Column:
         passed = [F.floor(F.round(F.col("__base") + k * F.col("__rate") + phase, 6)) for k in (F.col("__k"), F.col("__k") - 1)]
-        return F.when(F.col("size") > 0, F.least(F.lit(int(cap)), passed[0] - passed[1])).otherwise(0).cast("int")
+        return F.when(F.col("size") > 0, F.least(F.lit(math.ceil(cap)), passed[0] - passed[1])).otherwise(0).cast("int")
 
     starts = [(i + 0.5) / phases for i in range(phases)]
     words = placed.groupBy("source").agg(F.first("target").alias("__t"), F.array(*[F.sum(copies(F.lit(u)) * F.col("size")) for u in starts]).alias("__words"))
