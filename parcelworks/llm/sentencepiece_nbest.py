@@ -18,6 +18,7 @@ import heapq
 import math
 import re
 import zlib
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,8 @@ FAR = 1 << 60
 
 
 class PieceLattice:
-    def __init__(self, model: str, most: int = 250_000):
+    def __init__(self, model: str, most: int = 250_000, keep: int = 256):
+        """Words of more than ``keep`` characters are not kept in the cache, whose size so is bounded in bytes, too."""
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto()
@@ -57,24 +59,10 @@ class PieceLattice:
         for byte, i in self.byte_ids.items():
             self.pieces[i] = bytes([byte])
         self._tables(texts)
-        self.most, self.new, self.old = most, {}, {}
+        self.most, self.keep, self.new, self.old = most, keep, {}, {}
+        self.longest = max(map(len, texts))
         self.lists: dict[tuple[str, int], list[tuple[int, tuple[int, ...]]]] = {}
 
-    def edges(self, word: str) -> list[tuple[int, int, tuple[int, ...], int]]:
-        """(start, end, ids, score) of all pieces in a word, by start and length."""
-        out = []
-        for i in range(len(word)):
-            single = self.steps.get(word[i])
-            if single is None:
-                raw = word[i].encode()
-                out.append((i, i + 1, tuple(self.byte_ids[b] for b in raw), len(raw) * self.byte_score))
-            for j in range(i + 1, len(word) + 1):
-                if (part := word[i:j]) not in self.steps:
-                    break
-                if found := self.steps[part]:
-                    out.append((i, j, (found[0],), found[1]))
-        return out
-
     def best(self, word: str) -> tuple[bytes, int, int]:
         """(ids as little-endian integers, score, loss of the second-best segmentation) by forward Viterbi.
         Of equal scores the longer last piece wins."""
@@ -179,27 +167,44 @@ class PieceLattice:
         data, ends = ids[ids >= 0].astype("<u4").tobytes(), (4 * np.cumsum(count)).tolist()
         return [(data[e - 4 * c : e], s, x) for e, c, s, x in zip(ends, count.tolist(), score[size, every].tolist(), loss.tolist(), strict=True)]
 
+    def into(self, word: str, end: int) -> Iterator[tuple[int, tuple[int, ...], int]]:
+        """(start, ids, score) of all pieces of a word that end at ``end``, the longest first."""
+        for i in range(max(0, end - self.longest), end):
+            if found := self.steps.get(word[i:end]):
+                yield i, (found[0],), found[1]
+        if self.steps.get(word[end - 1]) is None:
+            raw = word[end - 1].encode()
+            yield end - 1, tuple(self.byte_ids[b] for b in raw), len(raw) * self.byte_score
+
     def n_best(self, word: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
-        """The ``n`` best (score, ids) by backward A* over the lattice, best first, ties by ids."""
+        """The ``n`` best (score, ids) by backward A* over the lattice, best first; of equal scores, one whose way is nearer the start goes on first.
+
+        The forward scores make the estimate of an open way the exact score of its best completion, and the completions of open ways
+        are all different; so no more than the ``n`` best open ways are ever needed, and the rest is let go. A way is its last piece
+        and a pointer to the way before it: memory grows with the word's length, not with its square."""
         if (word, n) in self.lists:
             return self.lists[word, n]
-        into: list[list] = [[] for _ in range(len(word) + 1)]
-        ahead = [-FAR] * (len(word) + 1)
+        size = len(word)
+        ahead = [-FAR] * (size + 1)
         ahead[0] = 0
-        for i, j, ids, value in self.edges(word):
-            into[j].append((i, ids, value))
-            ahead[j] = max(ahead[j], ahead[i] + value)
-        heap, out = [(-ahead[-1], (), len(word), 0)], []
-        while heap and len(out) < n:
-            cost, ids, node, behind = heapq.heappop(heap)
+        for j in range(1, size + 1):
+            ahead[j] = max(ahead[i] + value for i, _, value in self.into(word, j) if ahead[i] > -FAR)
+        ways, out = [(-ahead[size], size, 0, 0, None)], []  # (cost, node, number, score behind, way)
+        made = 0
+        while ways and len(out) < n:
+            cost, node, _, behind, way = ways.pop(0)
             if node == 0:
-                out.append((-cost, ids))
+                out.append((-cost, _spelled(way)))
                 continue
-            for start, one, value in into[node]:
-                heapq.heappush(heap, (-(ahead[start] + value + behind), one + ids, start, behind + value))
-        if len(self.lists) > 50_000:
-            self.lists.clear()
-        self.lists[word, n] = out
+            for start, ids, value in self.into(word, node):
+                if ahead[start] > -FAR:
+                    made += 1
+                    insort(ways, (-(ahead[start] + value + behind), start, made, behind + value, (ids, way)))
+            del ways[n - len(out) :]
+        if size <= self.keep:
+            if len(self.lists) > 50_000:
+                self.lists.clear()
+            self.lists[word, n] = out
         return out
 
     def words(self, text: str) -> list[str]:
@@ -216,10 +221,13 @@ class PieceLattice:
             self.new[w] = self.old[w]
         for words in split:
             yield self._ways(words, n)
+        for word in need:
+            if len(word) > self.keep:
+                del self.new[word]
 
     def encode(self, text: str, n: int = 4) -> list[tuple[int, bytes]]:
         """The ``n`` best (score, ids as bytes) of a text, fewer if it has fewer; the first is the encoding."""
-        return next(self.encode_all([text], n))
+        return list(self.encode_all([text], n))[0]
 
     def _ways(self, words: list[str], n: int) -> list[tuple[int, bytes]]:
         found = list(map(self.new.__getitem__, words))
@@ -249,6 +257,15 @@ class PieceLattice:
         return data[data[:1] == b" " :].decode(errors="replace")
 
 
+def _spelled(way: tuple | None) -> tuple[int, ...]:
+    """The ids of a way, whose first piece is its last link."""
+    out: list[int] = []
+    while way is not None:
+        ids, way = way
+        out += ids
+    return tuple(out)
+
+
 _LATTICES: dict[str, PieceLattice] = {}
 
 
