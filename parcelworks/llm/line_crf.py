@@ -1,5 +1,10 @@
 """Quality rules with line labels: a linear-chain conditional random field marks each line as content or
-boilerplate (Viterbi decoding), and the share of content decides whether a document stays."""
+boilerplate (Viterbi decoding), and the share of content decides whether a document stays.
+
+The field learns from lines, not from whole documents: a line's label is that of most labelled documents that hold it, so that a
+sentence which good pages share stays content inside a bad one; and half of its chains are spliced of runs of lines from a good
+and a bad document, so that it learns where labels change.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelworks.llm.text_stats import SYMBOLS, base_counts
-from parcelworks.llm.shared import labelled_sample, small_batches, table
+from parcelworks.llm.shared import SPACES, labelled_sample, lower_ascii, small_batches, stash, table
 
 N_FEATURES = 9
 CONTENT, BOILERPLATE = 0, 1
@@ -70,23 +75,23 @@ class Crf:
         return np.array(out[::-1])
 
 
-def fit_crf(chains: list[tuple[np.ndarray, int]], steps: int = 500, rate: float = 0.1, penalty: float = 1e-4) -> Crf:
-    """Conditional maximum likelihood by Adam on full batches; chains are (features, label of all lines).
+def fit_crf(chains: list[tuple[np.ndarray, np.ndarray, int]], steps: int = 500, rate: float = 0.1, penalty: float = 1e-4) -> Crf:
+    """Conditional maximum likelihood by Adam on full batches; chains are (features, labels of the lines, kind), and all kinds weigh the same.
     Forward-backward runs over all chains at once, position by position."""
-    n, most = len(chains), max(len(x) for x, _ in chains)
+    n, most = len(chains), max(len(x) for x, _, _ in chains)
     x = np.zeros((n, most, N_FEATURES))
     live = np.zeros((n, most), bool)
-    for i, (f, _) in enumerate(chains):
+    gold = np.zeros((n, most, 2))
+    for i, (f, y, _) in enumerate(chains):
         x[i, : len(f)], live[i, : len(f)] = f, True
+        gold[i, np.arange(len(f)), y] = 1
     spread = x[live].std(0)
     spread[spread < 1e-6] = 1.0  # a feature that does not vary
     x /= spread
-    label = np.array([y for _, y in chains])
-    weight = np.where(label == 1, 0.5 / max(1, (label == 1).sum()), 0.5 / max(1, (label == 0).sum()))
+    kind = np.array([k for _, _, k in chains])
+    weight = 1.0 / (len(np.unique(kind)) * np.bincount(kind)[kind])
     flat = np.zeros(2 * N_FEATURES + 6)
     m, v = np.zeros_like(flat), np.zeros_like(flat)
-    gold = np.zeros((n, most, 2))
-    gold[np.arange(n), :, label] = live
     after = live[:, 1:]
     for step in range(1, steps + 1):
         emit, move, start = flat[: 2 * N_FEATURES].reshape(2, -1), flat[2 * N_FEATURES : -2].reshape(2, 2), flat[-2:]
@@ -109,28 +114,61 @@ def fit_crf(chains: list[tuple[np.ndarray, int]], steps: int = 500, rate: float
     return Crf(flat[: 2 * N_FEATURES].reshape(2, -1) / spread, flat[2 * N_FEATURES : -2].reshape(2, 2), flat[-2:])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 2000, chain: int = 32) -> Crf:
-    """Fits on at most ``max_docs`` labelled documents, half of each quality, those of the smallest hashes of
-    their ids; their lines take the label of their document, in chains of ``chain`` lines (whole texts are cut,
-    not shortened; at most 4,000 chains a quality, evenly spaced). Without labels of both kinds, a plain rule
-    stands in: lines of symbols, capitals or bars are boilerplate."""
+def labelled_chains(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_docs: int, chain: int, max_chains: int) -> DataFrame:
+    """(quality, x, y): line features and labels of chains of at most ``chain`` lines, ``max_chains`` // 2 of either quality, those of the
+    smallest hashes. Everything up to here is made on the executors; of several rows of one id the one of the smallest text hash counts."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.length("text") > 0)
     sample = rows.join(F.broadcast(labelled_sample(labels, "quality", max_docs)), "doc_id")
-    chosen: tuple[list[str], list[str]] = ([], [])
-    for row in sample.select("doc_id", "text", "label").orderBy("doc_id", F.xxhash64("text")).toLocalIterator():
-        chosen[row.label].append(row.text)
-    chains = []
-    for quality, texts in enumerate(chosen):
-        own = []
-        for text in texts:
-            lines = split_lines(text.encode())
-            own += [(line_features(lines[i : i + chain]), 1 - quality) for i in range(0, len(lines), chain)]
-        chains += own[:: max(1, -(-len(own) // 4000))]
-    if {y for _, y in chains} != {0, 1}:
+    sample = sample.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    lines = sample.select("doc_id", "label", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(F.col("line").rlike("[^\\x20\\x09-\\x0D]"))
+    lines = stash(lines.withColumn("key", F.xxhash64(F.trim(lower_ascii(F.col("line")), F.lit(SPACES)))), "labelled-lines")
+    votes = lines.groupBy("key").agg((F.avg("label") < 0.5).cast("int").alias("y"))  # ties are content
+    placed = lines.join(votes, "key").withColumn("no", F.floor(F.col("pos") / chain))
+    chains = placed.groupBy("doc_id", "label", "no").agg(F.sort_array(F.collect_list(F.struct("pos", "line", "y"))).alias("lines"))
+    halves = [chains.where(F.col("label") == q).orderBy(F.xxhash64("doc_id", "no"), "doc_id", "no").limit(max_chains // 2) for q in (0, 1)]
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = [], []
+            for lines in batch.column(1).to_pylist():
+                x.append(line_features([r["line"].encode().split() for r in lines]).astype("<f4").tobytes())
+                y.append(bytes(r["y"] for r in lines))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=["quality", "x", "y"])
+
+    return halves[0].unionByName(halves[1]).select("label", "lines").mapInArrow(make, "quality int, x binary, y binary")
+
+
+def spliced(good: list[tuple], bad: list[tuple], chain: int, seed: int = 7) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Chains made of runs of one to eight lines of a good and a bad chain in turn."""
+    rng, out = np.random.default_rng(seed), []
+    for i in range(max(len(good), len(bad))):
+        two, at = (good[i % len(good)], bad[i % len(bad)]), [0, 0]
+        side, x, y = int(rng.integers(2)), [], []
+        while sum(map(len, y)) < chain and (at[0] < len(two[0][1]) or at[1] < len(two[1][1])):
+            run = slice(at[side], at[side] + int(rng.integers(1, 9)))
+            x.append(two[side][0][run])
+            y.append(two[side][1][run])
+            at[side], side = run.stop, 1 - side
+        out.append((np.concatenate(x)[:chain], np.concatenate(y)[:chain]))
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 2000, chain: int = 32, max_chains: int = 4000) -> Crf:
+    """Fits on at most ``max_docs`` labelled documents, half of each quality, those of the smallest hashes of
+    their ids, cut into chains of ``chain`` lines, at most ``max_chains`` of them, half of each quality; and on as many spliced ones. The driver
+    holds their features, ``max_chains`` * ``chain`` rows at most, and no text. Without labels of both kinds, a plain rule
+    stands in: lines of symbols, capitals or bars are boilerplate."""
+    both: tuple[list, list] = ([], [])
+    for row in labelled_chains(docs, labels, id_col, text_col, max_docs, chain, max_chains).collect():
+        both[row.quality].append((np.frombuffer(row.x, "<f4").reshape(-1, N_FEATURES).astype(float), np.frombuffer(row.y, np.uint8).astype(int)))
+    bad, good = (sorted(part, key=lambda c: (c[0].tobytes(), c[1].tobytes())) for part in both)  # whatever order they come in
+    if not bad or not good:
         emit = np.zeros((2, N_FEATURES))
         emit[1] = (-3, 20, 30, 6, 30, 0, 0, 0, 0)
         return Crf(emit, np.eye(2), np.zeros(2))
-    return fit_crf(chains)
+    order = np.random.default_rng(5).permutation
+    mixed = spliced([good[i] for i in order(len(good))], [bad[i] for i in order(len(bad))], chain)
+    return fit_crf([(x, y, k) for k, part in enumerate((good, bad, mixed)) for x, y in part])
 
 
 def judged(model: Crf, min_words: int, max_repeat: int, min_content: float):

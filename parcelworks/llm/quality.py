@@ -69,10 +69,11 @@ class Evidence:
 
 
 def fit_evidence(docs: DataFrame, labels: DataFrame, max_docs: int = 8000) -> Evidence | None:
-    """Fits on at most ``max_docs`` labelled documents, half of either label; features are made on the
-    executors and only they reach the driver. None without labels of both kinds."""
+    """Fits on at most ``max_docs`` labelled documents, half of either label; of several rows of one id the one of the smallest text hash
+    counts. Features are made on the executors and only they reach the driver, a row an id. None without labels of both kinds."""
     make = F.pandas_udf(lambda texts: pd.Series([text_features(t) for t in texts]), ArrayType(DoubleType()))
     sample = docs.join(F.broadcast(labelled_sample(labels, "quality", max_docs)), "doc_id")
+    sample = sample.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = sample.select("doc_id", make("text").alias("x"), "label").orderBy("doc_id").collect()
     y = np.array([r.label for r in rows], float)
     if not len(y) or y.min() == y.max():
