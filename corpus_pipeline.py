@@ -20,7 +20,8 @@ KEY = ["__row_id", "__h1", "__h2"]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with the columns of ``KEY``."""
+    """The columns of documents with those of ``KEY``."""
+    docs = docs.select(COLUMNS)
     rest = F.to_json(F.struct("lang", "source", "n_chars"))
     return docs.withColumns({"__row_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__h1": F.xxhash64("text"), "__h2": F.xxhash64(F.lit("row"), "text", rest)})
 
