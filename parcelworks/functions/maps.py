@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from parcelworks.functions.numbers import DIGITS, FULL_DIGITS
 
@@ -24,6 +28,22 @@ def scale_from_name(name: Column) -> Column:
     return F.when((digits != "") & (digits.try_cast("bigint") >= 100), digits.try_cast("int"))
 
 
+@F.pandas_udf(StringType())
+def nfkc(text: pd.Series) -> pd.Series:
+    """NFKC, which Spark lacks. Meant for distinct names."""
+    return text.map(lambda x: x if x is None else unicodedata.normalize("NFKC", x))
+
+
+def scales_of_names(names: DataFrame) -> DataFrame:
+    """(map_name, scale) of the distinct map names, normalized by NFKC in full before the digits are looked for."""
+    return names.select("map_name").distinct().withColumn("scale", scale_from_name(nfkc(F.col("map_name"))))
+
+
+def mixing_factors(scale: Column, other: Column) -> Column:
+    """(area, length): what areas and lengths are wrong by where a map of one scale counts as one of the other."""
+    return F.struct(((scale / other) * (scale / other)).alias("area"), (scale / other).alias("length"))
+
+
 def effective_scale(stored: Column, name: Column, override: dict[int, int] | None = None) -> Column:
     """Stored scale (0 counts as none), else the name's, else 600; then the override, if it names that scale."""
     scale = F.coalesce(F.when(stored != 0, stored), scale_from_name(name), F.lit(600))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelworks.functions.geom import affine
-from parcelworks.functions.maps import is_arbitrary
+from parcelworks.functions.maps import effective_scale, is_arbitrary
 from parcelworks.operators.stats import dominant_oaza
 
 
@@ -35,6 +35,32 @@ def auto_positions(meta: DataFrame, parcels: DataFrame, districts: DataFrame) ->
     return named.join(target, "oaza_name").select("xml_meta_id", (F.col("tx") - F.col("cx")).alias("dx"), (F.col("ty") - F.col("cy")).alias("dy"))
 
 
+def placed_maps(parcels: DataFrame, envelopes: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Parcels and envelopes (xml_meta_id, geom) moved together by their maps' (dx, dy), and with ``moved``, whether they were."""
+    moves = moves.withColumn("scale", F.lit(1.0))
+    hit = moves.select("xml_meta_id").withColumn("moved", F.lit(True))
+    mark = lambda df: shift(df, moves).join(hit, "xml_meta_id", "left").withColumn("moved", F.coalesce("moved", F.lit(False)))
+    return mark(parcels), mark(envelopes)
+
+
+def anchored_moves(anchors: DataFrame, meta: DataFrame) -> DataFrame:
+    """(xml_meta_id, scale, dx, dy) that bring the source point (sx, sy) of each map to its target (tx, ty): maps of arbitrary coordinates are scaled to
+    metres first, others only shifted."""
+    s = F.when(is_arbitrary(F.col("crs_type")), effective_scale(F.col("scale_denominator"), F.col("map_name")) / 1000.0).otherwise(1.0)
+    rows = anchors.join(meta.select(F.col("id").alias("xml_meta_id"), s.alias("scale")), "xml_meta_id")
+    return rows.select("xml_meta_id", "scale", (F.col("tx") - F.col("scale") * F.col("sx")).alias("dx"), (F.col("ty") - F.col("scale") * F.col("sy")).alias("dy"))
+
+
+def match_anchors(best: DataFrame, parcels: DataFrame, lots: DataFrame) -> DataFrame:
+    """(xml_meta_id, sx, sy, tx, ty): for each map the centre of the parcel with the best match, and of its lot. ``best``: xml_meta_id, fude_id, lot_id,
+    level; parcels: xml_meta_id, fude_id, cx, cy; lots: lot_id, cx, cy."""
+    rank = F.when(F.col("level") == "exact", 0).when(F.col("level") == "parent", 1).otherwise(2)
+    one = best.groupBy("xml_meta_id").agg(F.min(F.struct(rank.alias("p"), "fude_id", "lot_id")).alias("m")).select("xml_meta_id", "m.fude_id", "m.lot_id")
+    source = parcels.groupBy("xml_meta_id", "fude_id").agg(F.min(F.struct("cx", "cy")).alias("s"))
+    joined = one.join(source, ["xml_meta_id", "fude_id"]).join(lots.select("lot_id", F.col("cx").alias("tx"), F.col("cy").alias("ty")), "lot_id")
+    return joined.select("xml_meta_id", F.col("s.cx").alias("sx"), F.col("s.cy").alias("sy"), "tx", "ty")
+
+
 def shift(parcels: DataFrame, moves: DataFrame, geom: str = "geom") -> DataFrame:
     """Parcels with polygons moved by their map's (scale, dx, dy); maps without a move stay."""
     moved = parcels.join(moves, "xml_meta_id", "left")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelworks.functions.maps import normalize_municipality
+from parcelworks.functions.maps import effective_scale, estimated_area, is_arbitrary, normalize_municipality
 from parcelworks.functions.numbers import branch_of, joined_number, match_level, parent_of
+from parcelworks.operators import spatial
 
 LEVELS = ("exact", "parent", "near")
 
@@ -31,32 +32,101 @@ def municipality_fits(lot_name: Column, map_name: Column) -> Column:
     return (F.coalesce(lot_name, F.lit("")) == "") | (F.coalesce(map_name, F.lit("")) == "") | F.contains(map_name, lot_name)
 
 
-def _keys(parent: Column, branch: Column) -> Column:
-    """Keys under which two numbers that match at any level meet: the joined number, the parent, and its
-    length with all but its last character."""
+def lot_numbers(lots: DataFrame) -> DataFrame:
+    """``lots`` whose parent_no and branch_no are text: null, empty and the number 0 are empty, whole numbers have no decimals."""
+    kinds = dict(lots.dtypes)
+
+    def text(c: str) -> Column:
+        if kinds[c] == "string":
+            return F.coalesce(c, F.lit(""))
+        whole = F.when(F.col(c) == F.floor(c), F.floor(c).cast("bigint").cast("string")).otherwise(F.col(c).cast("string"))
+        return F.coalesce(F.when(F.col(c) != 0, whole), F.lit(""))
+
+    return lots.withColumns({c: text(c) for c in ("parent_no", "branch_no")})
+
+
+def _nested(levels) -> bool:
+    """Whether no level is asked for without those before it: then the best key of a pair is that of its level."""
+    return set(levels) == set(LEVELS[: len(set(levels))])
+
+
+#: First characters of the keys under which two numbers of a level meet.
+KINDS = {"exact": "=", "parent": "^", "near": "~"}
+
+
+def _keys(parent: Column, branch: Column, levels) -> Column:
+    """A key for each level: the joined number; the parent; its length with all but its last character."""
     size = F.length(parent)
-    return F.array(
-        F.concat(F.lit("="), joined_number(parent, branch)),
-        F.concat(F.lit("~"), size.cast("string"), F.lit(":"), F.substring(parent, F.lit(1), size - 1)),
-    )
+    text = {"exact": joined_number(parent, branch), "parent": parent, "near": F.concat(size.cast("string"), F.lit(":"), F.substring(parent, F.lit(1), size - 1))}
+    return F.array(*[F.concat(F.lit(KINDS[x]), text[x]) for x in LEVELS if x in levels])
+
+
+def _level(p: Column, pb: Column, q: Column, qb: Column, digits_only: bool) -> Column:
+    level = match_level(p, pb, q, qb)
+    return F.when((level != "near") | (p.rlike(r"^\p{Nd}+$") & q.rlike(r"^\p{Nd}+$")), level) if digits_only else level
+
+
+def _numbered(parcels: DataFrame) -> DataFrame:
+    return parcels.withColumns({"p_parent": parent_of(F.col("chiban")), "p_branch": branch_of(F.col("chiban"))}).where("p_parent <> ''")
+
+
+#: Stands for all districts; no district has this name.
+ALL = "*"
+
+
+def _sides(parcels: DataFrame, lots: DataFrame, areas: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Parcels and lots with ``b``, a name that both have where the lot is one of the parcel's districts. Lots also stand under ``ALL``,
+    where parcels without a limit look: those without a district, or without an area for it. By name, or by ``areas`` (admin_id, name, geom)
+    that lots (geom) meet."""
+    named = parcels.withColumn("a", F.coalesce("oaza_name", F.lit("")))
+    under_all = lots.withColumn("b", F.lit(ALL))
+    if areas is None:
+        names = oaza_pairs(parcels, lots).unionByName(F.broadcast(parcels.sparkSession.createDataFrame([("", ALL)], "a string, b string")))
+        return named.join(names, "a"), lots.where("oaza_name IS NOT NULL").withColumn("b", F.col("oaza_name")).unionByName(under_all)
+    covered = oaza_pairs(parcels, areas.select(F.col("name").alias("oaza_name"))).join(areas.select(F.col("name").alias("b"), "admin_id", "geom"), "b").select("a", "admin_id", "geom")
+    inside = spatial.meeting_pairs(lots.select(F.col("lot_id").alias("key"), "geom"), covered.withColumn("admin_id", F.struct("a", "admin_id")))
+    inside = inside.select(F.col("key").alias("lot_id"), F.col("admin_id.a").alias("b")).distinct()
+    limited = named.join(covered.select("a").distinct().withColumn("b", F.col("a")), "a", "left").withColumn("b", F.coalesce("b", F.lit(ALL)))
+    return limited, lots.join(inside, "lot_id").unionByName(under_all)
 
 
-def number_matches(parcels: DataFrame, lots: DataFrame, levels=LEVELS) -> DataFrame:
+def _lot_columns(lots: DataFrame) -> DataFrame:
+    return lots.select("lot_id", "b", F.col("municipality_name").alias("lot_municipality"), F.col("parent_no").alias("q_parent"), F.col("branch_no").alias("q_branch"))
+
+
+def number_matches(parcels: DataFrame, lots: DataFrame, levels=LEVELS, digits_only: bool = False, areas: DataFrame | None = None) -> DataFrame:
     """(xml_meta_id, fude_id, chiban, lot_id, level). Parcels: xml_meta_id, fude_id, oaza_name, chiban,
-    municipality_name; a parcel without a district meets all lots, one without a parent none.
-
-    Equi-join on (lot district, match key): the near key of one-character parents is hot, and AQE splits it."""
-    p = parcels.withColumns({"p_parent": parent_of(F.col("chiban")), "p_branch": branch_of(F.col("chiban"))}).where("p_parent <> ''")
-    names = lots.select("oaza_name").distinct()
-    paired = oaza_pairs(parcels, lots).union(names.select(F.lit("").alias("a"), F.col("oaza_name").alias("b")))
-    p = p.withColumn("a", F.coalesce("oaza_name", F.lit(""))).join(paired, "a")
-    p = p.withColumn("key", F.explode(_keys(F.col("p_parent"), F.col("p_branch"))))
-    q = lots.select("lot_id", F.col("oaza_name").alias("b"), F.col("municipality_name").alias("lot_municipality"), F.coalesce("parent_no", F.lit("")).alias("q_parent"), F.coalesce("branch_no", F.lit("")).alias("q_branch"))
-    q = q.withColumn("key", F.explode(_keys(F.col("q_parent"), F.col("q_branch"))))
-    level = match_level(F.col("p_parent"), F.col("p_branch"), F.col("q_parent"), F.col("q_branch"))
-    met = p.join(q, ["b", "key"]).withColumn("level", level).where(F.col("level").isin(*levels))
-    met = met.where(municipality_fits(F.col("lot_municipality"), F.col("municipality_name")))
-    return met.select("xml_meta_id", "fude_id", "chiban", "lot_id", "level").distinct()
+    municipality_name; a parcel without a district meets all lots, also those without one, a parcel without a parent none.
+    ``areas`` limits lots by geometry instead of by name; ``digits_only`` lets only numbers of digits be near.
+
+    Equi-join on (district, match key), with keys of the asked levels only; a pair comes out under the key of its own level, so that pairs are
+    never compared for repeats. The near key of one-character parents is hot: AQE splits it, but its pairs grow with the square of a district."""
+    p, q = _sides(parcels, lot_numbers(lots), areas)
+    p = _numbered(p).select("xml_meta_id", "fude_id", "chiban", "municipality_name", "b", "p_parent", "p_branch").distinct()
+    p = p.withColumn("key", F.explode(_keys(F.col("p_parent"), F.col("p_branch"), levels)))
+    q = _lot_columns(q).withColumn("key", F.explode(_keys(F.col("q_parent"), F.col("q_branch"), levels)))
+    level = _level(F.col("p_parent"), F.col("p_branch"), F.col("q_parent"), F.col("q_branch"), digits_only)
+    met = p.join(q, ["b", "key"]).withColumn("level", level)
+    own = F.when(F.col("level") == "exact", "=").when(F.col("level") == "parent", "^").otherwise("~")
+    met = met.where(F.col("level").isNotNull() & F.col("key").startswith(own) & municipality_fits(F.col("lot_municipality"), F.col("municipality_name")))
+    return met.select("xml_meta_id", "fude_id", "chiban", "lot_id", "level")
+
+
+def best_lots(parcels: DataFrame, lots: DataFrame, levels=LEVELS, areas: DataFrame | None = None) -> DataFrame:
+    """``best_matches(number_matches(...))`` without its pairs: of the lots of a key and municipality only the one of the smallest id is kept
+    before they meet the parcels. A key's level holds for a lot where no better key finds one, so the smallest (level, id) is right. Where a
+    level is asked for without those before it, the pairs are needed."""
+    if not _nested(levels):
+        return best_matches(number_matches(parcels, lots, levels, areas=areas))
+    p, q = _sides(parcels, lot_numbers(lots), areas)
+    p = _numbered(p).select("xml_meta_id", "fude_id", "chiban", "municipality_name", F.col("b"), F.explode(_keys(F.col("p_parent"), F.col("p_branch"), levels)).alias("key"))
+    q = _lot_columns(q).withColumn("key", F.explode(_keys(F.col("q_parent"), F.col("q_branch"), levels)))
+    least = q.groupBy("b", "key", "lot_municipality").agg(F.min("lot_id").alias("lot_id"))
+    met = p.join(least, ["b", "key"]).where(municipality_fits(F.col("lot_municipality"), F.col("municipality_name")))
+    kind = F.substring("key", 1, 1)
+    best = F.min(F.struct(F.when(kind == "=", 0).when(kind == "^", 1).otherwise(2).alias("p"), "lot_id")).alias("m")
+    found = met.groupBy("xml_meta_id", "fude_id", "chiban").agg(best)
+    return found.select("xml_meta_id", "fude_id", "chiban", "m.lot_id", F.element_at(F.array(*[F.lit(x) for x in LEVELS]), F.col("m.p") + 1).alias("level"))
 
 
 def best_matches(matches: DataFrame) -> DataFrame:
@@ -65,19 +135,65 @@ def best_matches(matches: DataFrame) -> DataFrame:
     return matches.groupBy("xml_meta_id", "fude_id", "chiban").agg(least.alias("m")).select("xml_meta_id", "fude_id", "chiban", F.col("m.lot_id").alias("lot_id"), F.col("m.level").alias("level"))
 
 
-def mutual_matches(best: DataFrame, parcels: DataFrame, lots: DataFrame) -> DataFrame:
-    """(xml_meta_id, lot_id, fude_id, chiban, level): parcels of the same map that match the best lot of a parcel. An
-    exact pivot takes exact and parent matches, a parent pivot exact ones, reported as parent; a near one none."""
-    q = lots.select("lot_id", F.coalesce("parent_no", F.lit("")).alias("q_parent"), F.coalesce("branch_no", F.lit("")).alias("q_branch"))
+def _shown(pivot: Column, level: Column, near: bool) -> Column:
+    """The level at which a match of a pivot is shown, or null: an exact pivot shows all levels (near ones only if ``near``), a parent pivot
+    exact matches, as parent ones, a near pivot nothing."""
+    return F.when(pivot == "exact", F.when((level != "near") | F.lit(near), level)).when((pivot == "parent") & (level == "exact"), "parent")
+
+
+def mutual_matches(best: DataFrame, parcels: DataFrame, lots: DataFrame, near: bool = False) -> DataFrame:
+    """(xml_meta_id, lot_id, fude_id, chiban, level): parcels of the same map that match the best lot of a parcel."""
+    levels = LEVELS if near else ("exact", "parent")
+    q = lot_numbers(lots).select("lot_id", F.col("parent_no").alias("q_parent"), F.col("branch_no").alias("q_branch"))
     pivots = best.where("level <> 'near'").select("xml_meta_id", "lot_id", F.col("level").alias("pivot")).distinct().join(q, "lot_id")
-    q_all = joined_number(F.col("q_parent"), F.col("q_branch"))
-    exact = F.array(F.concat(F.lit("="), q_all))
-    pivots = pivots.withColumn("key", F.explode(F.when(F.col("pivot") == "exact", F.array_append(exact, F.concat(F.lit("~"), F.col("q_parent")))).otherwise(exact)))
-    p = parcels.select("xml_meta_id", "fude_id", "chiban", parent_of(F.col("chiban")).alias("p_parent"), branch_of(F.col("chiban")).alias("p_branch")).where("p_parent <> ''")
-    p_all = joined_number(F.col("p_parent"), F.col("p_branch"))
-    p = p.withColumn("key", F.explode(F.array(F.concat(F.lit("="), p_all), F.concat(F.lit("~"), F.col("p_parent")))))
-    level = F.when((F.col("pivot") == "exact") & (p_all == q_all), "exact").otherwise("parent")
-    return p.join(pivots, ["xml_meta_id", "key"]).select("xml_meta_id", "lot_id", "fude_id", "chiban", level.alias("level")).distinct()
+    pivots = pivots.withColumn("key", F.explode(_keys(F.col("q_parent"), F.col("q_branch"), levels)))
+    p = _numbered(parcels).select("xml_meta_id", "fude_id", "chiban", "p_parent", "p_branch").distinct()
+    p = p.withColumn("key", F.explode(_keys(F.col("p_parent"), F.col("p_branch"), levels)))
+    level = match_level(F.col("q_parent"), F.col("q_branch"), F.col("p_parent"), F.col("p_branch"))
+    met = p.join(pivots, ["xml_meta_id", "key"]).withColumn("level", _shown(F.col("pivot"), level, near)).where("level IS NOT NULL")
+    return met.select("xml_meta_id", "lot_id", "fude_id", "chiban", "level").distinct()
+
+
+def mutual_lots(best: DataFrame, parcels: DataFrame, lots: DataFrame, near: bool = False, areas: DataFrame | None = None) -> DataFrame:
+    """(lot_id, xml_meta_id, fude_id, other_lot_id, level): the other way round, lots that match the best parcel of a lot (``best``: lot_id,
+    xml_meta_id, fude_id, level), within its district and municipality."""
+    pivots = best.where("level <> 'near'").select("lot_id", "xml_meta_id", "fude_id", F.col("level").alias("pivot"))
+    chosen = parcels.join(pivots.select("xml_meta_id", "fude_id").distinct(), ["xml_meta_id", "fude_id"], "left_semi")
+    found = number_matches(chosen, lots, LEVELS if near else ("exact", "parent"), areas=areas).withColumnRenamed("lot_id", "other_lot_id")
+    met = pivots.join(found, ["xml_meta_id", "fude_id"]).withColumn("level", _shown(F.col("pivot"), F.col("level"), near)).where("level IS NOT NULL")
+    return met.select("lot_id", "xml_meta_id", "fude_id", "other_lot_id", "level").distinct()
+
+
+def matches_in_maps(chosen: DataFrame, lots: DataFrame, parcels: DataFrame, levels=LEVELS) -> DataFrame:
+    """(lot_id, xml_meta_id, fude_id, chiban, level, other_map): parcels that match each lot in its chosen map, whatever their district;
+    where there is none, in the one of the other maps with a parcel of the selected district that has the best level (the smallest id on
+    ties). ``chosen``: lot_id, xml_meta_id, oaza_name (the selected district). Lots without a parent match nothing.
+
+    Only lots without a match in their map are spread over the district's maps, and only the best key of each map is asked for there."""
+    p = _numbered(parcels).select("xml_meta_id", "fude_id", "chiban", "p_parent", "p_branch").distinct()
+    p = p.withColumn("key", F.explode(_keys(F.col("p_parent"), F.col("p_branch"), levels)))
+    q = lot_numbers(lots).select("lot_id", F.col("parent_no").alias("q_parent"), F.col("branch_no").alias("q_branch")).where("q_parent <> ''").join(chosen, "lot_id")
+
+    def met(rows: DataFrame) -> DataFrame:
+        level = match_level(F.col("p_parent"), F.col("p_branch"), F.col("q_parent"), F.col("q_branch"))
+        found = rows.withColumn("key", F.explode(_keys(F.col("q_parent"), F.col("q_branch"), levels))).join(p, ["xml_meta_id", "key"]).withColumn("level", level)
+        own = F.when(F.col("level") == "exact", "=").when(F.col("level") == "parent", "^").otherwise("~")
+        return found.where(F.col("key").startswith(own)).select("lot_id", "xml_meta_id", "fude_id", "chiban", "level")
+
+    here = met(q).withColumn("other_map", F.lit(False))
+    keys = p.select("xml_meta_id", "key").distinct()
+    maps = parcels.where("oaza_name <> ''").select("oaza_name", F.col("xml_meta_id").alias("other")).distinct()
+    rest = q.join(here.select("lot_id").distinct(), "lot_id", "left_anti")
+    asked = rest.join(maps, "oaza_name").where("other <> xml_meta_id").select("lot_id", "q_parent", "q_branch", F.col("other").alias("xml_meta_id"))
+    if not _nested(levels):
+        every = met(asked)
+        best = every.groupBy("lot_id").agg(F.min(F.struct(priority(F.col("level")).alias("p"), "xml_meta_id")).alias("m")).select("lot_id", "m.xml_meta_id")
+        return here.unionByName(every.join(best, ["lot_id", "xml_meta_id"]).select("lot_id", "xml_meta_id", "fude_id", "chiban", "level", F.lit(True).alias("other_map")))
+    asked_keys = asked.select("lot_id", "xml_meta_id", F.explode(_keys(F.col("q_parent"), F.col("q_branch"), levels)).alias("key"))
+    kind = F.substring("key", 1, 1)
+    best = asked_keys.join(keys, ["xml_meta_id", "key"]).groupBy("lot_id").agg(F.min(F.struct(F.when(kind == "=", 0).when(kind == "^", 1).otherwise(2).alias("p"), "xml_meta_id")).alias("m"))
+    there = met(asked.join(best.select("lot_id", "m.xml_meta_id"), ["lot_id", "xml_meta_id"])).withColumn("other_map", F.lit(True))
+    return here.unionByName(there)
 
 
 def municipality_matches(names: DataFrame, references: DataFrame) -> DataFrame:
@@ -89,19 +205,25 @@ def municipality_matches(names: DataFrame, references: DataFrame) -> DataFrame:
     return names.join(references, fits).groupBy("name").agg(best.alias("m")).select("name", "m.ref")
 
 
-def export_names(parcels: DataFrame) -> DataFrame:
-    """(xml_meta_id, oaza_name, export_name): the youngest number of each set names it."""
+def export_names(parcels: DataFrame, clicked: DataFrame | None = None) -> DataFrame:
+    """(xml_meta_id, oaza_name, export_name): the youngest number of each set names it; a set of parcels without numbers is named by its
+    district alone; ``clicked`` (xml_meta_id, oaza_name, chiban) names the sets that it holds by their number as it is."""
     parent, branch = parent_of(F.col("chiban")), branch_of(F.col("chiban"))
     number = lambda c, other: F.when(c.rlike(r"^[0-9]+$"), c.try_cast("bigint")).otherwise(F.lit(other).cast("bigint"))
     young = F.struct(number(parent, 999999).alias("p"), number(branch, -1).alias("b"), F.col("chiban").alias("c"), parent.alias("parent"), branch.alias("branch"))
-    sets = parcels.groupBy("xml_meta_id", "oaza_name").agg(F.min(young).alias("y"), F.count(F.lit(1)).alias("n"))
+    sets = parcels.groupBy("xml_meta_id", "oaza_name").agg(F.min(F.when(F.col("chiban").isNotNull(), young)).alias("y"), F.count("chiban").alias("n"))
     many = F.concat("oaza_name", F.lit("_"), joined_number(F.col("y.parent"), F.col("y.branch")), F.lit("他"))
-    return sets.select("xml_meta_id", "oaza_name", F.when(F.col("n") == 1, F.concat("oaza_name", F.lit("_"), F.col("y.c"))).otherwise(many).alias("export_name"))
+    name = F.when(F.col("n") == 0, F.col("oaza_name")).when(F.col("n") == 1, F.concat("oaza_name", F.lit("_"), F.col("y.c"))).otherwise(many)
+    if clicked is None:
+        return sets.select("xml_meta_id", "oaza_name", name.alias("export_name"))
+    own = clicked.select("xml_meta_id", "oaza_name", F.concat("oaza_name", F.lit("_"), "chiban").alias("__own"))
+    return sets.join(own, ["xml_meta_id", "oaza_name"], "left").select("xml_meta_id", "oaza_name", F.coalesce("__own", name).alias("export_name"))
 
 
-def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row for each key, the first in ``order``."""
-    at = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in order])
+def first_wins(rows: DataFrame, keys: list[str], order: list[str], last: bool = False) -> DataFrame:
+    """One row for each key, the first in ``order``, or the last."""
+    turn = (lambda c: c.desc_nulls_last()) if last else (lambda c: c.asc_nulls_first())
+    at = Window.partitionBy(*keys).orderBy(*[turn(F.col(c)) for c in order])
     return rows.withColumn("__n", F.row_number().over(at)).where("__n = 1").drop("__n")
 
 
@@ -111,7 +233,26 @@ def export_rows(parcels: DataFrame, matches: DataFrame) -> DataFrame:
     return parcels.join(hits, ["xml_meta_id", "fude_id"], "left_semi").unionByName(parcels.join(hits.select("xml_meta_id").distinct(), "xml_meta_id", "left_anti").select(parcels.columns))
 
 
-def best_maps(matches: DataFrame) -> DataFrame:
-    """(lot_id, xml_meta_id, fude_id, level): for each lot the map and parcel of the best level, then of the smallest ids."""
-    least = F.min(F.struct(priority(F.col("level")).alias("p"), "xml_meta_id", "fude_id", "level")).alias("m")
-    return matches.groupBy("lot_id").agg(least).select("lot_id", "m.xml_meta_id", "m.fude_id", "m.level")
+def export_table(parcels: DataFrame, meta: DataFrame, matches: DataFrame) -> DataFrame:
+    """(xml_meta_id, fude_id, oaza_name, chiban, est_area, scale, geom) of ``export_rows``, for maps on the ground only: maps of arbitrary coordinates are refused.
+    Parcels: coord_type, area_sqm, geom; meta: id, crs_type, scale_denominator, map_name."""
+    maps = meta.where(~is_arbitrary(F.col("crs_type"))).select(F.col("id").alias("xml_meta_id"), effective_scale(F.col("scale_denominator"), F.col("map_name")).alias("scale"))
+    rows = export_rows(parcels, matches).join(maps, "xml_meta_id")
+    return rows.select("xml_meta_id", "fude_id", "oaza_name", "chiban", estimated_area(F.col("area_sqm"), F.col("coord_type"), F.col("scale")).alias("est_area"), "scale", "geom")
+
+
+def best_maps(parcels: DataFrame, lots: DataFrame, levels=LEVELS) -> DataFrame:
+    """(lot_id, xml_meta_id, fude_id, level): for each lot the map and parcel of the best level, then of the smallest ids, within its district.
+    Of the parcels of a key and municipality only the one of the smallest ids is kept before they meet the lots, unless a level is asked for
+    without those before it."""
+    if not _nested(levels):
+        least = F.min(F.struct(priority(F.col("level")).alias("p"), "xml_meta_id", "fude_id", "level")).alias("m")
+        return number_matches(parcels, lots, levels).groupBy("lot_id").agg(least).select("lot_id", "m.xml_meta_id", "m.fude_id", "m.level")
+    p, q = _sides(parcels, lot_numbers(lots), None)
+    p = _numbered(p).withColumn("key", F.explode(_keys(F.col("p_parent"), F.col("p_branch"), levels)))
+    least = p.groupBy("b", "key", "municipality_name").agg(F.min(F.struct("xml_meta_id", "fude_id")).alias("m"))
+    q = _lot_columns(q).withColumn("key", F.explode(_keys(F.col("q_parent"), F.col("q_branch"), levels)))
+    met = q.join(least, ["b", "key"]).where(municipality_fits(F.col("lot_municipality"), F.col("municipality_name")))
+    kind = F.substring("key", 1, 1)
+    best = met.groupBy("lot_id").agg(F.min(F.struct(F.when(kind == "=", 0).when(kind == "^", 1).otherwise(2).alias("p"), "m")).alias("r"))
+    return best.select("lot_id", "r.m.xml_meta_id", "r.m.fude_id", F.element_at(F.array(*[F.lit(x) for x in LEVELS]), F.col("r.p") + 1).alias("level"))

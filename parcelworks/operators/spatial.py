@@ -1,53 +1,203 @@
-"""Spatial joins of rectangles (min_x, min_y, max_x, max_y) by grid cells. Polygons count as their boxes."""
+"""Spatial joins of polygons and points by grid cells of several sizes.
+
+A shape is registered in the grid whose cells are just larger than it and in all coarser ones in use, so it lies in four cells of a grid
+at most, whatever its size. Two shapes meet in the coarser of their two grids, in one cell of it: an equi-join, without a pair too many
+and without a cell size to choose. Shapes of different coordinate systems must not be mixed.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType
+
+from parcelworks.functions.geom import point_distance, polygon_box, polygon_contains
+
+#: Side of the cells of level 0; a level's cells are four times as wide as those of the level below.
+BASE, STEP, LOWEST, HIGHEST = 1.0, 4.0, -12, 24
+
+
+def _level(box: Column) -> Column:
+    """The finest level whose cells are at least as wide as the box."""
+    extent = F.greatest(box["max_x"] - box["min_x"], box["max_y"] - box["min_y"])
+    exact = F.ceil(F.log(F.greatest(extent, F.lit(1e-9)) / BASE) / F.log(F.lit(STEP))).cast("int")
+    return F.least(F.greatest(exact, F.lit(LOWEST)), F.lit(HIGHEST))
+
+
+def _width(level: Column) -> Column:
+    return F.pow(F.lit(STEP), level) * BASE
+
+
+def _spread(rows: DataFrame, levels: list[int], name: str) -> DataFrame:
+    """A row for each cell that a box touches in its own level and the coarser ones of ``levels``."""
+    box, at = F.col(f"__box_{name}"), F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>"))
+    rows = rows.withColumn(f"__level_{name}", _level(box)).withColumn("__at", at).where(F.col("__at") >= F.col(f"__level_{name}"))
+    cell = lambda v: F.floor(v / _width(F.col("__at")))
+    across = lambda a: F.explode(F.sequence(cell(box[f"min_{a}"]), cell(box[f"max_{a}"])))
+    return rows.withColumn("__i", across("x")).withColumn("__j", across("y"))
+
+
+def box_pairs(left: DataFrame, right: DataFrame, left_box: str, right_box: str) -> DataFrame:
+    """Pairs of rows whose boxes meet, borders included, each pair once. Column names of both sides must differ.
+
+    The levels in use, some thirty small numbers at most, are the only thing the driver asks for. A hot cell is split by AQE."""
+    a = left.where(F.col(left_box).isNotNull()).withColumn("__box_a", F.col(left_box))
+    b = right.where(F.col(right_box).isNotNull()).withColumn("__box_b", F.col(right_box))
+    found = a.select(_level(F.col("__box_a")).alias("x")).distinct().union(b.select(_level(F.col("__box_b")).alias("x")).distinct()).distinct()
+    levels = sorted(r.x for r in found.collect())
+    if not levels:
+        levels = [0]
+    met = _spread(a, levels, "a").join(_spread(b, levels, "b"), ["__at", "__i", "__j"])
+    p, q, at = F.col("__box_a"), F.col("__box_b"), F.col("__at")
+    cell = lambda v: F.floor(v / _width(at))
+    once = (at == F.greatest("__level_a", "__level_b")) & (F.col("__i") == cell(F.greatest(p["min_x"], q["min_x"]))) & (F.col("__j") == cell(F.greatest(p["min_y"], q["min_y"])))
+    touch = (p["min_x"] <= q["max_x"]) & (p["max_x"] >= q["min_x"]) & (p["min_y"] <= q["max_y"]) & (p["max_y"] >= q["min_y"])
+    return met.where(once & touch).drop("__at", "__i", "__j", "__level_a", "__level_b", "__box_a", "__box_b")
+
+
+def _point_box(x: Column, y: Column, reach: float = 0.0) -> Column:
+    return F.struct((x - reach).alias("min_x"), (y - reach).alias("min_y"), (x + reach).alias("max_x"), (y + reach).alias("max_y"))
+
+
+def _areas(areas: DataFrame) -> DataFrame:
+    return areas.select("admin_id", F.col("geom").alias("__area")).withColumn("__area_box", polygon_box(F.col("__area")))
+
+
+# Helpers on pairs of polygons: numpy on coordinates, a pair at a time inside an Arrow batch
 
 
-def _cells(x0: Column, y0: Column, x1: Column, y1: Column, size: float) -> Column:
-    at = lambda v: F.floor(v / size)
-    return F.flatten(F.transform(F.sequence(at(x0), at(x1)), lambda i: F.transform(F.sequence(at(y0), at(y1)), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+def _rings(polygon) -> list[np.ndarray]:
+    """Rings of a polygon without the repeated last point."""
+    out = []
+    for ring in polygon if polygon is not None else []:
+        points = np.array([(p["x"], p["y"]) for p in ring], float).reshape(-1, 2)
+        if len(points) > 1 and (points[0] == points[-1]).all():
+            points = points[:-1]
+        out.append(points)
+    return out
 
 
-def with_cells(boxes: DataFrame, size: float) -> DataFrame:
-    """A row for each grid cell that a box (min_x, min_y, max_x, max_y) touches."""
-    return boxes.withColumn("cell", F.explode(_cells(F.col("min_x"), F.col("min_y"), F.col("max_x"), F.col("max_y"), size)))
+def _size(points: np.ndarray) -> float:
+    if len(points) < 3:
+        return 0.0
+    x, y = (points - points[0]).T
+    return float(x @ np.roll(y, -1) - y @ np.roll(x, -1)) / 2
 
 
-def containing_area(points: DataFrame, areas: DataFrame, size: float = 100.0) -> DataFrame:
-    """(key, admin_id): the area of the smallest id that contains each point (key, x, y), bounds included."""
-    p = points.withColumn("cell", F.struct(F.floor(F.col("x") / size).alias("i"), F.floor(F.col("y") / size).alias("j")))
-    met = p.join(with_cells(areas, size), "cell").where("x BETWEEN min_x AND max_x AND y BETWEEN min_y AND max_y")
+def _cut(points: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The part of a ring to the left of the line from ``a`` to ``b``."""
+    side = (b[0] - a[0]) * (points[:, 1] - a[1]) - (b[1] - a[1]) * (points[:, 0] - a[0])
+    after, next_side = np.roll(points, -1, axis=0), np.roll(side, -1)
+    crosses = (side < 0) != (next_side < 0)
+    share = np.divide(side, side - next_side, out=np.zeros_like(side), where=crosses)
+    both = np.empty((2 * len(points), 2))
+    both[0::2], both[1::2] = points, points + share[:, None] * (after - points)
+    keep = np.empty(len(both), bool)
+    keep[0::2], keep[1::2] = side >= 0, crosses
+    return both[keep]
+
+
+def overlap_area(convex, polygon) -> float:
+    """Area that a convex ring (its polygon's ring 0) shares with any polygon: every ring is cut by each edge of the convex one."""
+    first, rings = _rings(convex)[:1], _rings(polygon)
+    if not first or len(first[0]) < 3 or not rings:
+        return 0.0
+    hull, total = first[0] if _size(first[0]) >= 0 else first[0][::-1], 0.0
+    for i, ring in enumerate(rings):
+        for a, b in zip(hull, np.roll(hull, -1, axis=0), strict=True):
+            if len(ring):
+                ring = _cut(ring, a, b)
+        total += abs(_size(ring)) * (1 if i == 0 else -1)
+    return max(0.0, total)
+
+
+def _inside(rings: list[np.ndarray], x: float, y: float) -> bool:
+    """Even-odd rule over all rings."""
+    odd = False
+    for p in rings:
+        q = np.roll(p, -1, axis=0)
+        over = (p[:, 1] > y) != (q[:, 1] > y)
+        at = p[over, 0] + (y - p[over, 1]) * (q[over, 0] - p[over, 0]) / (q[over, 1] - p[over, 1])
+        odd ^= bool(((x < at).sum()) & 1)
+    return odd
+
+
+def polygons_meet(one, other) -> bool:
+    """Whether two polygons share a point, borders included."""
+    a, b = _rings(one), _rings(other)
+    if not a or not b:
+        return False
+    p, q = (np.concatenate(x) for x in (a, b))
+    p2, q2 = (np.concatenate([np.roll(r, -1, axis=0) for r in x]) for x in (a, b))
+    for low in range(0, len(p), 256):  # all edges of one against all of the other, in blocks
+        s, e = p[low : low + 256, None], p2[low : low + 256, None]
+        turn = lambda o, u, v: (u[..., 0] - o[..., 0]) * (v[..., 1] - o[..., 1]) - (u[..., 1] - o[..., 1]) * (v[..., 0] - o[..., 0])
+        d1, d2, d3, d4 = turn(q[None], q2[None], s), turn(q[None], q2[None], e), turn(s, e, q[None]), turn(s, e, q2[None])
+        boxes = (np.minimum(s, e) <= np.maximum(q, q2)[None]).all(-1) & (np.maximum(s, e) >= np.minimum(q, q2)[None]).all(-1)
+        if (boxes & (np.sign(d1) * np.sign(d2) <= 0) & (np.sign(d3) * np.sign(d4) <= 0)).any():
+            return True
+    return _inside(b, *p[0]) or _inside(a, *q[0])
+
+
+def _on_pairs(helper, kind):
+    return F.pandas_udf(lambda a, b: pd.Series([helper(x, y) for x, y in zip(a, b, strict=True)], dtype=object if kind == BooleanType() else float), kind)
+
+
+# Joins
+
+
+def containing_area(points: DataFrame, areas: DataFrame) -> DataFrame:
+    """(key, admin_id): the area (admin_id, geom) of the smallest id that contains each point (key, x, y), borders included and holes not."""
+    p = points.select("key", "x", "y", _point_box(F.col("x"), F.col("y")).alias("__point"))
+    met = box_pairs(p, _areas(areas), "__point", "__area_box").where(polygon_contains(F.col("__area"), F.col("x"), F.col("y")))
     return met.groupBy("key").agg(F.min("admin_id").alias("admin_id"))
 
 
-def largest_overlap(boxes: DataFrame, areas: DataFrame, size: float = 100.0) -> DataFrame:
-    """(key, admin_id, overlap): the area that shares most with each box (key, min_x, ...), the smallest id on ties;
-    pairs that only touch do not count. A pair is met in several cells and counted once."""
-    b = with_cells(boxes.select("key", F.col("min_x").alias("x0"), F.col("min_y").alias("y0"), F.col("max_x").alias("x1"), F.col("max_y").alias("y1"), "min_x", "min_y", "max_x", "max_y"), size).drop("min_x", "min_y", "max_x", "max_y")
-    wide = F.least("x1", "max_x") - F.greatest("x0", "min_x")
-    high = F.least("y1", "max_y") - F.greatest("y0", "min_y")
-    met = b.join(with_cells(areas, size), "cell").where((wide > 0) & (high > 0)).select("key", "admin_id", (wide * high).alias("overlap")).distinct()
+def update_oaza(parcels: DataFrame, found: DataFrame) -> DataFrame:
+    """``parcels`` (key, oaza_name, ...) with the district of ``found`` (key, name) where there is one, and ``updated``: 1 where it differs
+    from what was there."""
+    joined = parcels.join(found.select("key", F.col("name").alias("__name")), "key", "left")
+    differs = F.col("__name").isNotNull() & ~F.equal_null("__name", F.col("oaza_name"))
+    return joined.withColumn("updated", differs.cast("int")).withColumn("oaza_name", F.coalesce("__name", "oaza_name")).drop("__name")
+
+
+def largest_overlap(shapes: DataFrame, areas: DataFrame) -> DataFrame:
+    """(key, admin_id, overlap): the area (admin_id, geom) that shares most with each convex shape (key, geom), such as the hull of a map;
+    the smallest id on ties; shapes that only touch do not count."""
+    a = shapes.select("key", F.col("geom").alias("__shape")).withColumn("__shape_box", polygon_box(F.col("__shape")))
+    met = box_pairs(a, _areas(areas), "__shape_box", "__area_box")
+    met = met.select("key", "admin_id", _on_pairs(overlap_area, DoubleType())("__shape", "__area").alias("overlap")).where("overlap > 0")
     best = met.groupBy("key").agg(F.min(F.struct((-F.round("overlap", 6)).alias("o"), "admin_id", "overlap")).alias("m"))
     return best.select("key", "m.admin_id", "m.overlap")
 
 
-def meeting(boxes: DataFrame, areas: DataFrame, size: float = 100.0) -> DataFrame:
-    """Keys of the boxes that meet an area, borders included."""
-    b = with_cells(boxes, size).select("key", "cell", F.col("min_x").alias("x0"), F.col("min_y").alias("y0"), F.col("max_x").alias("x1"), F.col("max_y").alias("y1"))
-    met = b.join(with_cells(areas, size), "cell").where("x1 >= min_x AND x0 <= max_x AND y1 >= min_y AND y0 <= max_y")
-    return met.select("key").distinct()
+def meeting_pairs(shapes: DataFrame, areas: DataFrame) -> DataFrame:
+    """(key, admin_id) of shapes (key, geom) and areas (admin_id, geom) that share a point, borders included."""
+    a = shapes.select("key", F.col("geom").alias("__shape")).withColumn("__shape_box", polygon_box(F.col("__shape")))
+    met = box_pairs(a, _areas(areas), "__shape_box", "__area_box")
+    return met.where(_on_pairs(polygons_meet, BooleanType())("__shape", "__area")).select("key", "admin_id")
 
 
-def locate(points: DataFrame, areas: DataFrame, tolerance: float, size: float = 100.0) -> DataFrame:
-    """(key, admin_id): the area that holds each point (key, x, y), else the nearest of those that meet the square of
+def meeting(shapes: DataFrame, areas: DataFrame) -> DataFrame:
+    """Keys of the shapes that meet one of the areas; all keys if there is no area. A union of the
+    areas is not needed: who meets it meets one of them."""
+    if areas.isEmpty():
+        return shapes.select("key").distinct()
+    return meeting_pairs(shapes, areas).select("key").distinct()
+
+
+def locate(points: DataFrame, areas: DataFrame, tolerance: float) -> DataFrame:
+    """(key, admin_id): the area that holds each point (key, x, y), else the nearest of those whose box meets the square of
     ``tolerance`` round it; the smallest id on ties, no row where there is none."""
-    t = F.lit(tolerance)
-    boxes = points.select("key", "x", "y", (F.col("x") - t).alias("min_x"), (F.col("y") - t).alias("min_y"), (F.col("x") + t).alias("max_x"), (F.col("y") + t).alias("max_y"))
-    b = with_cells(boxes, size).select("key", "x", "y", "cell")
-    met = b.join(with_cells(areas, size), "cell").where((F.col("x") + t >= F.col("min_x")) & (F.col("x") - t <= F.col("max_x")) & (F.col("y") + t >= F.col("min_y")) & (F.col("y") - t <= F.col("max_y")))
-    off = lambda v: F.greatest(F.col(f"min_{v}") - F.col(v), F.lit(0.0), F.col(v) - F.col(f"max_{v}"))
-    best = F.min(F.struct((off("x") * off("x") + off("y") * off("y")).alias("d"), "admin_id")).alias("m")
-    return met.groupBy("key").agg(best).select("key", "m.admin_id")
+    p = points.select("key", "x", "y", _point_box(F.col("x"), F.col("y"), tolerance).alias("__point"))
+    met = box_pairs(p, _areas(areas), "__point", "__area_box")
+    holds = polygon_contains(F.col("__area"), F.col("x"), F.col("y"))
+    far = F.when(holds, 0.0).otherwise(point_distance(F.col("__area"), F.col("x"), F.col("y")))
+    return met.groupBy("key").agg(F.min(F.struct((~holds).alias("out"), far.alias("d"), "admin_id")).alias("m")).select("key", "m.admin_id")
+
+
+def areas_by_name(areas: DataFrame) -> DataFrame:
+    """(name, admin_id, geom): the first area of each name."""
+    return areas.groupBy("name").agg(F.min(F.struct("admin_id", "geom")).alias("m")).select("name", "m.admin_id", "m.geom")

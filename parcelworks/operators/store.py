@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parcelworks.functions.geom import from_wkt
+
 
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -57,3 +59,44 @@ def review_queue(parcels: DataFrame, oaza: str | None = None) -> DataFrame:
     if oaza is not None:
         found = found.where(F.col("oaza_name") == oaza)
     return found.orderBy(F.col("review_reason").asc_nulls_first(), F.col("chiban").asc_nulls_first())
+
+
+def stamped(rows: DataFrame, fresh: bool = True) -> DataFrame:
+    """``rows`` with updated_date, and import_date if they are new, set to now."""
+    now = F.current_timestamp()
+    return rows.withColumns({"import_date": now, "updated_date": now} if fresh else {"updated_date": now})
+
+
+def set_reliability(parcels: DataFrame, ids: DataFrame, reliability: str, transform_method: str | None = None, needs_review: bool = False, review_reason: str | None = None) -> DataFrame:
+    """``parcels`` whose listed (xml_meta_id, fude_id) take these values; the others stay. ``updated`` says which did. The level is one of HIGH, MEDIUM and LOW."""
+    if reliability not in ("HIGH", "MEDIUM", "LOW"):
+        raise ValueError(f"no level of reliability: {reliability}")
+    marked = parcels.join(ids.select("xml_meta_id", "fude_id").distinct().withColumn("__hit", F.lit(True)), ["xml_meta_id", "fude_id"], "left").withColumn("updated", F.coalesce("__hit", F.lit(False)))
+    values = {"reliability": F.lit(reliability), "transform_method": F.lit(transform_method).cast("string"), "needs_review": F.lit(int(needs_review)), "review_reason": F.lit(review_reason).cast("string")}
+    return marked.withColumns({c: F.when(F.col("updated"), v).otherwise(F.col(c)) for c, v in values.items()}).drop("__hit")
+
+
+def set_geometry(parcels: DataFrame, shapes: DataFrame, coord_type: str = "変換済み") -> DataFrame:
+    """``parcels`` with the polygons of ``shapes`` (xml_meta_id, fude_id, geom) in place of their own, and marked as transformed where there is one."""
+    new = shapes.select("xml_meta_id", "fude_id", F.col("geom").alias("__geom"))
+    joined = parcels.join(new, ["xml_meta_id", "fude_id"], "left")
+    return joined.withColumns({"coord_type": F.when(F.col("__geom").isNotNull(), coord_type).otherwise(F.col("coord_type")), "geom": F.coalesce("__geom", "geom")}).drop("__geom")
+
+
+def with_srid(rows: DataFrame, crs: str = "crs_type", only: str = "公共座標8系", srid: int = 6676) -> DataFrame:
+    """``rows`` with srid where their coordinate system is exactly ``only``, else null."""
+    return rows.withColumn("srid", F.when(F.col(crs) == only, srid))
+
+
+def append_new(store: DataFrame, files: DataFrame) -> DataFrame:
+    """``store`` and those of ``files`` (source_name, xml_sha256, ...) that are new to it; of files of one content or one label the smallest label counts."""
+    from parcelworks.operators.match import first_wins
+
+    fresh = first_wins(first_wins(not_yet_known(files, store), ["xml_sha256"], ["source_name"]), ["source_name"], ["xml_sha256"])
+    return store.unionByName(fresh.select(store.columns))
+
+
+def load_areas(spark, path: str, name_col: str, wkt_col: str = "wkt", kind: str = "parquet", **options: str) -> DataFrame:
+    """(admin_id, name, geom) of a layer with a name and polygons as WKT; ids are hashes of both, so that reads agree. Null names and shapes are left out."""
+    rows = spark.read.format(kind).options(**options).load(path)
+    return rows.select(F.xxhash64(name_col, wkt_col).alias("admin_id"), F.col(name_col).alias("name"), from_wkt(F.col(wkt_col)).alias("geom")).where("name IS NOT NULL AND geom IS NOT NULL")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SOURCES = {"meta": ("supplier", "nation"), "parcel": ("lineitem",), "lot": ("part",), "admin": ("nation",), "frame": ("supplier",), "xml_file": ("documents",), "ring": ("embeddings",)}
 
@@ -45,6 +46,46 @@ SQL = {
 }
 
 
+#: What the XML of a parcel's row is made of: a parcel is a rectangle whose ring is one curve forwards and one backwards, every second one by points, every
+#: fifth with a hole of a sixteenth of its size. X is north in the files.
+KEY = "concat(fude_id, '_', cast(cast(round(x0 * 100) as bigint) as string), '_', cast(cast(y0 as bigint) as string))"
+INDIRECT, HOLED = "cast(y0 as bigint) % 2 = 0", "cast(y0 as bigint) % 5 = 0"
+
+
+def _tag(name: str, text: str, space: str = "zmn:") -> str:
+    return f"concat('<{space}{name}>', {text}, '</{space}{name}>')"
+
+
+def _element_sql() -> str:
+    """A Spark SQL expression for the elements of one parcel."""
+    corners = [("x0", "y0"), ("x0 + w", "y0"), ("x0 + w", "y0 + h"), ("x0", "y0 + h")]
+    holes = [("x0 + w / 4", "y0 + h / 4"), ("x0 + w / 2", "y0 + h / 4"), ("x0 + w / 2", "y0 + h / 2"), ("x0 + w / 4", "y0 + h / 2")]
+    place = lambda c: f"concat('<zmn:X>', cast({c[1]} as string), '</zmn:X><zmn:Y>', cast({c[0]} as string), '</zmn:Y>')"
+    point = lambda i: f"concat('<zmn:GM_Point id=\"P', k, '.{i}\">', {place(corners[i])}, '</zmn:GM_Point>')"
+    direct = lambda c: f"concat('<zmn:GM_PointArray.column><zmn:GM_Position.direct>', {place(c)}, '</zmn:GM_Position.direct></zmn:GM_PointArray.column>')"
+    by_point = lambda i: f"concat('<zmn:GM_PointArray.column><zmn:GM_Position.indirect><zmn:GM_PointRef.point idref=\"P', k, '.{i}\"/></zmn:GM_Position.indirect></zmn:GM_PointArray.column>')"
+    vertex = lambda i: f"case when {INDIRECT} then {by_point(i)} else {direct(corners[i])} end"
+    curve = lambda name, parts: f"concat('<zmn:GM_Curve id=\"C', k, '.{name}\">', {', '.join(parts)}, '</zmn:GM_Curve>')"
+    ref = lambda kind, *names: f"concat('<zmn:GM_SurfaceBoundary.{kind}>', {', '.join(f"'<zmn:GM_CompositeCurve.generator idref=\"{n[0]}C', k, '.{n[1]}\"/>'" for n in names)}, '</zmn:GM_SurfaceBoundary.{kind}>')"
+    hole = curve("h", [direct(c) for c in holes])
+    shape = f"concat('<zmn:GM_Surface id=\"F', k, '\">', {ref('exterior', '+1', '-2')}, case when {HOLED} then {ref('interior', '+h')} else '' end, '</zmn:GM_Surface>')"
+    own = {"大字名": "oaza_name", "小字コード": "cast(cast(y0 as bigint) % 3 as string)", "地番": "chiban", "座標値種別": "coord_type"}
+    texts = ", ".join(_tag(t, c, "") for t, c in own.items())
+    parcel = f"concat('<筆 id=\"', k, '\">', {texts}, '<形状 idref=\"F', k, '\"/></筆>')"
+    line = "concat('<筆界線><形状 idref=\"C', k, '.1\"/><線種別>', case when oaza_name = '' then '大字界線' else '筆界線' end, '</線種別></筆界線>')"
+    mark = "concat('<筆界点><点番名>', chiban, '</点番名><形状 idref=\"P', k, '.0\"/></筆界点>')"
+    return f"concat({', '.join(point(i) for i in range(4))}, {curve('1', [vertex(0), vertex(1), vertex(2)])}, {curve('2', [vertex(0), vertex(3), vertex(2)])}, case when {HOLED} then {hole} else '' end, {shape}, {mark}, {line}, {parcel})"
+
+
+def map_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source_name, content): a map file for each map with parcels, written by Spark from ``meta`` and ``parcel``."""
+    meta, parcel = view(spark, sf_dir, "meta"), view(spark, sf_dir, "parcel")
+    head = f"concat('<地図 xmlns=\"http://www.moj.go.jp/MINJI/tizuxml\" xmlns:zmn=\"http://www.moj.go.jp/MINJI/tizuzumen\">', {', '.join(_tag(t, c, '') for t, c in (('地図名', 'map_name'), ('市区町村名', 'municipality_name'), ('座標系', 'crs_type')))}, coalesce({_tag('縮尺分母', 'cast(scale_denominator as string)', '')}, ''))"
+    rows = parcel.selectExpr("*", f"{KEY} as k").selectExpr("xml_meta_id as id", f"{_element_sql()} as element")
+    bodies = rows.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("element")), "").alias("body"))
+    return meta.join(bodies, "id").selectExpr("file_name as source_name", f"cast(concat({head}, body, '</地図>') as binary) as content")
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for source in SOURCES[name]:
         spark.read.parquet(f"{sf_dir}/{source}.parquet").createOrReplaceTempView(source)

@@ -39,6 +39,17 @@ def query(name: str, tables: str, sql: str | None):
     return register
 
 
+def file_query(name: str, sql: str):
+    """Registers a function of (spark, sf_dir) that reads map files made of ``meta`` and ``parcel``; ``sql`` reads those two."""
+
+    def register(f):
+        _QUERIES[name] = f
+        _ORACLES[name] = oracle("meta parcel", sql)
+        return f
+
+    return register
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
@@ -326,7 +337,7 @@ def _(meta, parcel, lot):
       ORDER BY CASE level WHEN 'exact' THEN 0 WHEN 'parent' THEN 1 ELSE 2 END, lot_id) AS k FROM matched) WHERE k = 1""",
 )
 def _(meta, parcel, lot):
-    return match.best_matches(_matches(meta, parcel, lot))
+    return match.best_lots(store.with_map(parcel, meta, "municipality_name"), lot)
 
 
 @query(
@@ -342,6 +353,26 @@ def _(meta, lot):
     return met.groupBy("municipality_name").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"))
 
 
+def _shapes(areas: DataFrame) -> DataFrame:
+    """Areas whose geometry is their rectangle."""
+    return areas.withColumn("geom", geom.rectangle(F.col("min_x"), F.col("min_y"), F.col("max_x"), F.col("max_y")))
+
+
+def _map_boxes(parcel: DataFrame) -> DataFrame:
+    return _shapes(align.map_bounds(parcel).withColumnRenamed("xml_meta_id", "key"))
+
+
+def _lot_shapes(lot: DataFrame) -> DataFrame:
+    """Lots whose geometry is the square of ten round their centre."""
+    x, y = F.col("cx"), F.col("cy")
+    return lot.withColumn("geom", geom.rectangle(x - 5, y - 5, x + 5, y + 5))
+
+
+def _parcel_shapes(parcel: DataFrame) -> DataFrame:
+    x, y = F.col("x0"), F.col("y0")
+    return parcel.withColumn("geom", geom.rectangle(x, y, x + F.col("w"), y + F.col("h")))
+
+
 _BOXES = "(SELECT xml_meta_id, min(x0) AS x0, min(y0) AS y0, max(x0 + w) AS x1, max(y0 + h) AS y1 FROM parcel GROUP BY 1)"
 
 
@@ -353,8 +384,7 @@ _BOXES = "(SELECT xml_meta_id, min(x0) AS x0, min(y0) AS y0, max(x0 + w) AS x1,
       ON least(x1, max_x) > greatest(x0, min_x) AND least(y1, max_y) > greatest(y0, min_y))) WHERE k = 1""",
 )
 def _(parcel, admin):
-    boxes = align.map_bounds(parcel).withColumnRenamed("xml_meta_id", "key")
-    return spatial.largest_overlap(boxes, admin).select("key", "admin_id", F.round("overlap", 4).alias("overlap"))
+    return spatial.largest_overlap(_map_boxes(parcel), _shapes(admin)).select("key", "admin_id", F.round("overlap", 4).alias("overlap"))
 
 
 @query(
@@ -365,7 +395,7 @@ def _(parcel, admin):
 )
 def _(parcel, admin):
     points = parcel.select(F.struct("xml_meta_id", "fude_id", "x0").alias("key"), (F.col("x0") + F.col("w") / 2).alias("x"), (F.col("y0") + F.col("h") / 2).alias("y"))
-    return spatial.containing_area(points, admin).select("key.*", "admin_id")
+    return spatial.containing_area(points, _shapes(admin)).select("key.*", "admin_id")
 
 
 @query("j16_maps_of_oaza", "meta parcel", "SELECT id, file_name FROM meta WHERE id IN (SELECT xml_meta_id FROM parcel WHERE oaza_name = '大字3')")
@@ -550,7 +580,7 @@ _PARCEL_KEYS = _MATCH + """,
 
 @query("j8_mutual_match", "meta parcel lot", _PARCEL_KEYS + " SELECT DISTINCT xml_meta_id, lot_id, fude_id, chiban, level FROM mutual")
 def _(meta, parcel, lot):
-    return match.mutual_matches(match.best_matches(_matches(meta, parcel, lot)), parcel, lot)
+    return match.mutual_matches(match.best_lots(store.with_map(parcel, meta, "municipality_name"), lot), parcel, lot)
 
 
 @query(
@@ -562,8 +592,7 @@ def _(meta, parcel, lot):
     SELECT xml_meta_id, oaza_name, name FROM dominant JOIN hit ON key = xml_meta_id WHERE name <> oaza_name""",
 )
 def _(parcel, admin):
-    boxes = align.map_bounds(parcel).withColumnRenamed("xml_meta_id", "key")
-    hit = spatial.largest_overlap(boxes, admin).join(admin.select("admin_id", "name"), "admin_id").select(F.col("key").alias("xml_meta_id"), "name")
+    hit = spatial.largest_overlap(_map_boxes(parcel), _shapes(admin)).join(admin.select("admin_id", "name"), "admin_id").select(F.col("key").alias("xml_meta_id"), "name")
     return stats.dominant_oaza(parcel).join(hit, "xml_meta_id").where("name <> oaza_name").select("xml_meta_id", "oaza_name", "name")
 
 
@@ -575,8 +604,7 @@ def _(parcel, admin):
 )
 def _(lot, admin):
     areas = admin.where(maps.names_pair(F.col("name"), F.lit("大字3")))
-    boxes = lot.select(F.col("lot_id").alias("key"), (F.col("cx") - 5).alias("min_x"), (F.col("cy") - 5).alias("min_y"), (F.col("cx") + 5).alias("max_x"), (F.col("cy") + 5).alias("max_y"))
-    return spatial.meeting(boxes, areas).select(F.col("key").alias("lot_id"))
+    return spatial.meeting(_lot_shapes(lot).withColumnRenamed("lot_id", "key"), _shapes(areas)).select(F.col("key").alias("lot_id"))
 
 
 @query(
@@ -698,7 +726,7 @@ def _(parcel):
     SELECT xml_meta_id, fude_id, oaza_name, chiban FROM parcel WHERE xml_meta_id NOT IN (SELECT xml_meta_id FROM hit_maps) OR (xml_meta_id, fude_id) IN (SELECT xml_meta_id, fude_id FROM hits)""",
 )
 def _(meta, parcel, lot):
-    return match.export_rows(parcel, _matches(meta, parcel, lot).where("level = 'exact'")).select("xml_meta_id", "fude_id", "oaza_name", "chiban")
+    return match.export_rows(parcel, match.number_matches(store.with_map(parcel, meta, "municipality_name"), lot, ("exact",))).select("xml_meta_id", "fude_id", "oaza_name", "chiban")
 
 
 @query(
@@ -708,7 +736,7 @@ def _(meta, parcel, lot):
     + """ SELECT lot_id, xml_meta_id, fude_id, level FROM (SELECT *, row_number() OVER (PARTITION BY lot_id ORDER BY CASE level WHEN 'exact' THEN 0 WHEN 'parent' THEN 1 ELSE 2 END, xml_meta_id, fude_id) AS k FROM matched) WHERE k = 1""",
 )
 def _(meta, parcel, lot):
-    return match.best_maps(_matches(meta, parcel, lot))
+    return match.best_maps(store.with_map(parcel, meta, "municipality_name"), lot)
 
 
 @query(
@@ -718,9 +746,13 @@ def _(meta, parcel, lot):
       FROM lot JOIN admin ON cx + 30 >= min_x AND cx - 30 <= max_x AND cy + 30 >= min_y AND cy - 30 <= max_y) WHERE k = 1""",
 )
 def _(lot, admin):
-    return spatial.locate(lot.select(F.col("lot_id").alias("key"), F.col("cx").alias("x"), F.col("cy").alias("y")), admin, 30.0).select(F.col("key").alias("lot_id"), "admin_id")
+    return spatial.locate(lot.select(F.col("lot_id").alias("key"), F.col("cx").alias("x"), F.col("cy").alias("y")), _shapes(admin), 30.0).select(F.col("key").alias("lot_id"), "admin_id")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best lot of every parcel by number."""
     return _QUERIES["w1_best_match"](spark, sf_dir)
+
+
+# The other modules register their queries when they are imported.
+from parcelworks.plans import ingest_queries, more_queries  # noqa: E402,F401

@@ -1,4 +1,5 @@
-"""Map XML out of archives within archives, and its parcels, points and scales; no header, curves or rings."""
+"""Map XML out of archives within archives, and its elements as rows: header, points, curve vertices, ring references, boundary
+points and lines, parcels. ``operators.assemble`` makes polygons of them."""
 
 from __future__ import annotations
 
@@ -7,6 +8,7 @@ import posixpath
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
+from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -74,49 +76,118 @@ def read_directory(spark: SparkSession, path: str, pattern: str = "*.xml", recur
     return files.select(label.alias("source_name"), "content")
 
 
-def _local(tag: str) -> str:
-    return tag.rsplit("}", 1)[-1]
+#: Name spaces, and the tags of header and parcel fields.
+MAP_SPACE, SHAPE_SPACE = "http://www.moj.go.jp/MINJI/tizuxml", "http://www.moj.go.jp/MINJI/tizuzumen"
+HEADER = {
+    "map_name": "地図名", "municipality_code": "市区町村コード", "municipality_name": "市区町村名", "crs_type": "座標系", "geodetic_type": "測地系判別",
+    "transform_program": "変換プログラム", "transform_version": "変換プログラムバージョン", "param_version": "変換パラメータバージョン", "scale_denominator": "縮尺分母",
+}
+PARCEL = {
+    "oaza_code": "大字コード", "oaza_name": "大字名", "chome_code": "丁目コード", "koaza_code": "小字コード", "yobi_code": "予備コード", "chiban": "地番", "coord_type": "座標値種別",
+}
 
 
-def _parsed(name: str, content: bytes) -> Iterator[tuple]:
-    """Rows (source_name, kind, id, seq, ring_no, a, b, x, y) in document order."""
-    head = content[:4096]
-    if b"<!ENTITY" in content or b"<!DOCTYPE" in head:
-        raise ValueError("declarations are refused")
-    seq = 0
-    for element in ElementTree.fromstring(content).iter():
-        kind, own = _local(element.tag), element.get("id", "")
-        text = {_local(c.tag): (c.text or "").strip() for c in element}
-        seq += 1
-        if kind == "筆" and own:
-            shape = next((c.get("idref", "") for c in element if _local(c.tag) == "形状"), "")
-            yield (name, "parcel", own, seq, 0, text.get("地番", ""), "|".join((text.get("大字名", ""), text.get("座標値種別", ""), shape)), None, None)
-        elif kind == "GM_Point" and own:
-            numbers = {_local(c.tag): c.text for c in element.iter() if _local(c.tag) in ("X", "Y")}
-            try:
-                yield (name, "point", own, seq, 0, "", "", float(numbers["X"]), float(numbers["Y"]))
-            except (KeyError, TypeError, ValueError):
-                continue
-        elif kind == "縮尺分母":
-            yield (name, "scale", "", seq, 0, (element.text or "").strip(), "", None, None)
+def _tree(content: bytes) -> ElementTree.Element:
+    """The root of a document. Declarations of entities, and references to what lies outside, are refused where the parser meets them,
+    whatever the document's encoding."""
+
+    def refuse(*_):
+        raise ValueError("entity declarations and external references are refused")
+
+    builder, parser = ElementTree.TreeBuilder(), expat.ParserCreate(namespace_separator="}")
+    parser.buffer_text = True
+    full = lambda name: "{" + name if "}" in name else name
+    parser.StartElementHandler = lambda name, attributes: builder.start(full(name), attributes)
+    parser.EndElementHandler, parser.CharacterDataHandler = lambda name: builder.end(full(name)), builder.data
+    parser.EntityDeclHandler = parser.UnparsedEntityDeclHandler = parser.ExternalEntityRefHandler = refuse
+    parser.StartDoctypeDeclHandler = lambda name, system, public, inner: refuse() if system or public else None
+    parser.Parse(content, True)
+    return builder.close()
 
 
-ROWS = "source_name string, kind string, id string, seq long, ring_no int, a string, b string, x double, y double"
+def _number(element: ElementTree.Element | None) -> float | None:
+    try:
+        return float(element.text)
+    except (AttributeError, TypeError, ValueError):
+        return None
 
 
-def parse_maps(files: DataFrame) -> DataFrame:
-    """Long rows of parcels, points and scales of (source_name, content). A file that cannot be parsed gives one row of kind ``error``."""
+def _scale(text: str | None) -> str | None:
+    try:
+        return str(n) if (n := int(text or "")) > 0 else None
+    except ValueError:
+        return None
+
+
+def _parsed(name: str, content: bytes) -> Iterator[tuple]:
+    """Rows (source_name, kind, id, doc_seq, ring_no, seq, ref, x, y, fields); ``doc_seq`` is the element's place in the document."""
+    root = _tree(content)
+    own, shape = (lambda tag: f"{{{MAP_SPACE}}}{tag}"), (lambda tag: f"{{{SHAPE_SPACE}}}{tag}")
+    first: dict[str, str] = {}
+    for doc_seq, e in enumerate(root.iter()):
+        key = e.get("id", "")
+        if e.tag == shape("GM_Point") and key:
+            x, y = (_number(e.find(f".//{shape(a)}")) for a in "XY")
+            if x is not None and y is not None:
+                yield name, "point", key, doc_seq, 0, 0, "", x, y, None
+        elif e.tag == shape("GM_Curve") and key:
+            yield name, "curve", key, doc_seq, 0, -1, "", None, None, None
+            for seq, column in enumerate(e.iterfind(f".//{shape('GM_PointArray.column')}")):
+                direct, ref = column.find(f".//{shape('GM_Position.direct')}"), column.find(f".//{shape('GM_Position.indirect')}//{shape('GM_PointRef.point')}")
+                if direct is not None:
+                    x, y = (_number(direct.find(shape(a))) for a in "XY")
+                    if x is not None and y is not None:
+                        yield name, "vertex", key, doc_seq, 0, seq, "", x, y, None
+                elif ref is not None:
+                    yield name, "vertex", key, doc_seq, 0, seq, ref.get("idref", ""), None, None, None
+        elif e.tag == shape("GM_Surface") and key:
+            yield name, "surface", key, doc_seq, 0, -1, "", None, None, None
+            outer = e.find(f".//{shape('GM_SurfaceBoundary.exterior')}")
+            inner = e.findall(f".//{shape('GM_SurfaceBoundary.interior')}")
+            for ring_no, ring in enumerate([outer, *inner]):
+                refs = [g.get("idref") for g in ring.iterfind(f".//{shape('GM_CompositeCurve.generator')}")] if ring is not None else []
+                for seq, ref in enumerate(r for r in refs if r):
+                    yield name, "ring", key, doc_seq, ring_no, seq, ref, None, None, None
+        elif e.tag in (own("筆"), own("筆界点"), own("筆界線")):
+            child = {c.tag: c for c in reversed(e)}  # the first of a tag counts
+            text = lambda tag: getattr(child.get(own(tag)), "text", None) or ""  # noqa: E731,B023
+            form = child.get(own("形状"))
+            ref = "" if form is None else form.get("idref", "")
+            if e.tag == own("筆") and key:
+                yield name, "parcel", key, doc_seq, 0, 0, ref, None, None, {k: text(t) for k, t in PARCEL.items()}
+            elif e.tag == own("筆界線"):
+                yield name, "boundary_line", "", doc_seq, 0, 0, ref, None, None, {"line_type": text("線種別")}
+            elif e.tag == own("筆界点") and form is not None and own("点番名") in child:
+                yield name, "boundary_point", "", doc_seq, 0, 0, ref, None, None, {"point_name": text("点番名")}
+        else:
+            first.setdefault(e.tag, e.text or "")
+    fields = {k: first.get(own(t), "") for k, t in HEADER.items()}
+    absent = {k: fields[k] or None for k in ("geodetic_type", "transform_program", "transform_version", "param_version")}
+    yield name, "header", "", -1, 0, 0, "", None, None, fields | absent | {"scale_denominator": _scale(fields["scale_denominator"])}
+
+
+ROWS = "source_name string, kind string, id string, doc_seq long, ring_no int, seq int, ref string, x double, y double, fields map<string,string>"
+_TYPES = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.map_(pa.string(), pa.string()))
+_NAMES = ["source_name", "kind", "id", "doc_seq", "ring_no", "seq", "ref", "x", "y", "fields"]
+
+
+def parse_maps(files: DataFrame, batch_rows: int = 50_000) -> DataFrame:
+    """Long rows of all elements of (source_name, content), by ``kind``: header (fields; absent text is empty, but null for the geodetic and
+    transform fields; scale_denominator only if a whole number above 0), point (id, x, y), curve (id) and its vertex rows (seq; x, y or the
+    point referred to), surface (id) and its ring rows (ring_no, 0 outside, seq, curve referred to), boundary_point (fields, ref), boundary_line (fields, ref), parcel (id,
+    ref of its surface, fields). Points and curves without id or with unreadable numbers are left out. A file that cannot be parsed
+    gives one row of kind ``error`` and no other."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.float64())
-        names = ["source_name", "kind", "id", "seq", "ring_no", "a", "b", "x", "y"]
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for name, content in zip(batch.column(0), batch.column(1), strict=True):
                 try:
-                    rows = list(_parsed(name, content or b""))
-                except (ElementTree.ParseError, ValueError) as e:
-                    rows = [(name, "error", "", 0, 0, str(e), "", None, None)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    rows = list(_parsed(name.as_py(), content.as_py() or b""))
+                except (expat.ExpatError, ValueError) as e:
+                    rows = [(name.as_py(), "error", "", -1, 0, 0, "", None, None, {"error": str(e)})]
+                for low in range(0, len(rows), batch_rows):
+                    columns = zip(*rows[low : low + batch_rows], strict=True)
+                    columns = [pa.array([list(v.items()) if isinstance(v, dict) else v for v in c] if t == _TYPES[-1] else c, t) for c, t in zip(columns, _TYPES, strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, names=_NAMES)
 
     return files.select("source_name", "content").mapInArrow(parse, ROWS)

@@ -1,19 +1,52 @@
-"""Incremental import: new files join a store, known content is skipped."""
+"""Incremental import: new files join a store, known ones are skipped, each file's fate is told."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcelworks.operators.match import first_wins
+from parcelworks.operators.store import not_yet_known
 
-def import_new(spark: SparkSession, inbox: str, store: str, checkpoint: str, pattern: str = "*.xml") -> None:
-    """Takes every file of ``inbox`` not taken before, keeps one of each content, appends (xml_sha256, path, content)
-    to the Parquet folder ``store`` and stops. The stream's state holds one hash a file."""
+STORE = "source_name string, xml_sha256 string, content binary"
+STATUS = "source_name string, xml_sha256 string, status string"
+
+
+def _known(spark: SparkSession, store: str) -> DataFrame:
+    """Labels and hashes of the store; none if it does not exist yet."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(store)
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    return (spark.read.schema(STORE).parquet(store) if there else spark.createDataFrame([], STORE)).select("source_name", "xml_sha256")
+
+
+def import_new(spark: SparkSession, inbox: str, store: str, checkpoint: str, pattern: str = "*.xml", status: str | None = None) -> None:
+    """Takes every file of ``inbox`` not taken before and stops. A file is skipped if its content, its label (the path below the inbox) or its bare name
+    is in the Parquet folder ``store`` already; of new files of one content, the one of the smallest label is appended as (source_name, xml_sha256, content). With
+    ``status``, (source_name, xml_sha256, status: imported or known) of all of them is appended there.
+
+    A batch that is run again after a failure finds what it had appended in the store, so nothing is appended twice; its files then
+    count as known. Only labels and hashes are compared and shuffled; contents are read again for the files that are new."""
+    root = inbox.rstrip("/").split(":")[-1].lstrip("/")
+    label = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", ""), f"^\\Q{root}\\E/", "")
     files = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).schema("path string, modificationTime timestamp, length long, content binary").load(inbox)
-    fresh = files.select(F.sha2("content", 256).alias("xml_sha256"), "path", "content").dropDuplicates(["xml_sha256"])
-    run = fresh.writeStream.format("parquet").option("path", store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    run.awaitTermination()
+    files = files.select(label.alias("source_name"), F.sha2("content", 256).alias("xml_sha256"), "content")
+
+    def take(batch: DataFrame, _: int) -> None:
+        session = batch.sparkSession
+        keys = batch.select("source_name", "xml_sha256")
+        fresh = first_wins(not_yet_known(keys, _known(session, store)), ["xml_sha256"], ["source_name"])
+        if status is not None:
+            hit = fresh.select("source_name", F.lit("imported").alias("status"))
+            told = keys.join(hit, "source_name", "left").select("source_name", "xml_sha256", F.coalesce("status", F.lit("known")).alias("status"))
+            told.write.mode("append").parquet(status)
+        batch.join(fresh.select("source_name"), "source_name", "left_semi").select("source_name", "xml_sha256", "content").write.mode("append").parquet(store)
+
+    files.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def stored(spark: SparkSession, store: str) -> DataFrame:
-    return spark.read.parquet(store)
+    return spark.read.schema(STORE).parquet(store)
+
+
+def statuses(spark: SparkSession, status: str) -> DataFrame:
+    return spark.read.schema(STATUS).parquet(status)

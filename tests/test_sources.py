@@ -32,11 +32,17 @@ def test_archives(spark):
 
 
 def test_parse(spark):
-    frame = spark.createDataFrame([("m.xml", XML), ("e.xml", b"<!DOCTYPE a [<!ENTITY x 'y'>]><a/>"), ("n.xml", None)], "source_name string, content binary")
+    declared = "<!DOCTYPE a [<!ENTITY x 'y'>]><a/>"
+    outside = '<!DOCTYPE a SYSTEM "http://example.com/a.dtd"><a/>'
+    bad = [("e.xml", declared.encode()), ("u.xml", declared.encode("utf-16")), ("p.xml", (" " * 9000 + declared).lstrip().encode()), ("o.xml", outside.encode()), ("n.xml", None), ("x.xml", b"<a>")]
+    frame = spark.createDataFrame([("m.xml", XML), ("d.xml", b"<!DOCTYPE a><a/>"), *bad], "source_name string, content binary")
     rows = parse_maps(frame).collect()
-    assert [(r.id, r.a, r.b) for r in rows if r.kind == "parcel"] == [("H1", "1906-3", "雲見|図上測量|F1")]
+    parcels = [(r.id, r.ref, r.fields) for r in rows if r.kind == "parcel"]
+    assert [(i, f, x["chiban"], x["oaza_name"], x["coord_type"], x["koaza_code"]) for i, f, x in parcels] == [("H1", "F1", "1906-3", "雲見", "図上測量", "")]
     assert [(r.id, r.x, r.y) for r in rows if r.kind == "point"] == [("P1", 1.5, 2.0)]
-    assert [r.a for r in rows if r.kind == "scale"] == ["600"] and {r.source_name for r in rows if r.kind == "error"} == {"e.xml", "n.xml"}
+    head = next(r.fields for r in rows if r.kind == "header" and r.source_name == "m.xml")
+    assert head["scale_denominator"] == "600" and head["map_name"] == "" and head["geodetic_type"] is None
+    assert {r.source_name for r in rows if r.kind == "error"} == {name for name, _ in bad}
 
 
 def test_directory_and_stream(spark, tmp_path):
