@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SOURCES = {"meta": ("supplier", "nation"), "parcel": ("lineitem",), "lot": ("part",), "admin": ("nation",), "frame": ("supplier",), "xml_file": ("documents",), "ring": ("embeddings",)}
+SOURCES = {"meta": ("supplier", "nation"), "parcel": ("lineitem",), "lot": ("part",), "admin": ("nation",), "frame": ("supplier",), "xml_file": ("documents",), "ring": ("embeddings",), "sheet": ("part",)}
 
 SQL = {
     "meta": """select cast(s_suppkey as bigint) as id,
@@ -41,14 +41,23 @@ SQL = {
  case when xml_meta_id % 8 = 0 then null else sc end as scale_denominator
  from (select cast(s_suppkey as bigint) as xml_meta_id, case s_suppkey % 8 when 0 then 600 when 1 then 500 when 2 then 600
   when 3 then 1000 when 4 then 1200 when 5 then 2500 when 6 then 3000 else 5000 end as sc from supplier) s""",
+    "sheet": """select concat('H', cast(p_partkey as string)) as fude_id, cast(floor(p_partkey / 40) as bigint) as sheet_id,
+ concat('z', cast(cast(floor(p_partkey / 400) as bigint) as string), '.zip/s', cast(cast(floor(p_partkey / 40) as bigint) as string), '.xml') as file_name,
+ concat('松崎町大字', cast(cast(floor(p_partkey / 40) as bigint) % 22 as string), '区') as map_name, concat('賀茂郡', cast(cast(floor(p_partkey / 40) as bigint) % 7 as string), '町') as municipality_name,
+ case when cast(floor(p_partkey / 40) as bigint) % 6 = 0 then '公共座標8系' else '任意座標系' end as crs_type,
+ case cast(floor(p_partkey / 40) as bigint) % 4 when 0 then null when 1 then 500 when 2 then 600 else 1000 end as scale_denominator,
+ case when p_partkey % 50 = 0 then '' else concat('大字', cast(cast(floor(p_partkey / 40) as bigint) % 22 as string)) end as oaza_name,
+ case when p_partkey % 41 = 0 then '道' else concat(cast(1 + p_partkey % 997 as string), case when p_size % 3 = 0 then concat('-', cast(p_size % 8 as string)) else '' end) end as chiban,
+ case when p_size % 2 = 0 then '測量成果' else '図上測量' end as coord_type,
+ cast(p_retailprice as double) as x0, cast(p_partkey % 97 as double) as y0, cast(1 + p_size % 30 as double) as w, cast(2 + p_partkey % 7 as double) / 4 as h
+ from part""",
     "xml_file": """select doc_id, concat('z', cast(doc_id % 20 as string), '.zip/d', cast(doc_id % 900 as string), '.xml') as source_name,
  text as content from documents""",
 }
 
 
-#: What the XML of a parcel's row is made of: a parcel is a rectangle whose ring is one curve forwards and one backwards, every second one by points, every
+#: What the XML of a row of ``sheet`` is made of: a parcel is a rectangle whose ring is one curve forwards and one backwards, every second one by points, every
 #: fifth with a hole of a sixteenth of its size. X is north in the files.
-KEY = "concat(fude_id, '_', cast(cast(round(x0 * 100) as bigint) as string), '_', cast(cast(y0 as bigint) as string))"
 INDIRECT, HOLED = "cast(y0 as bigint) % 2 = 0", "cast(y0 as bigint) % 5 = 0"
 
 
@@ -78,12 +87,14 @@ def _element_sql() -> str:
 
 
 def map_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source_name, content): a map file for each map with parcels, written by Spark from ``meta`` and ``parcel``."""
-    meta, parcel = view(spark, sf_dir, "meta"), view(spark, sf_dir, "parcel")
-    head = f"concat('<地図 xmlns=\"http://www.moj.go.jp/MINJI/tizuxml\" xmlns:zmn=\"http://www.moj.go.jp/MINJI/tizuzumen\">', {', '.join(_tag(t, c, '') for t, c in (('地図名', 'map_name'), ('市区町村名', 'municipality_name'), ('座標系', 'crs_type')))}, coalesce({_tag('縮尺分母', 'cast(scale_denominator as string)', '')}, ''))"
-    rows = parcel.selectExpr("*", f"{KEY} as k").selectExpr("xml_meta_id as id", f"{_element_sql()} as element")
-    bodies = rows.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("element")), "").alias("body"))
-    return meta.join(bodies, "id").selectExpr("file_name as source_name", f"cast(concat({head}, body, '</地図>') as binary) as content")
+    """(source_name, content): map files of forty parcels each, written by Spark from ``sheet``."""
+    rows = view(spark, sf_dir, "sheet").selectExpr("*", "fude_id as k").selectExpr("*", f"{_element_sql()} as element")
+    header = ("file_name", "map_name", "municipality_name", "crs_type", "scale_denominator")
+    bodies = rows.groupBy(*header).agg(F.array_join(F.array_sort(F.collect_list("element")), "").alias("body"))
+    fields = ", ".join(_tag(t, c, "") for t, c in (("地図名", "map_name"), ("市区町村名", "municipality_name"), ("座標系", "crs_type")))
+    scale = f"coalesce({_tag('縮尺分母', 'cast(scale_denominator as string)', '')}, '')"
+    head = f"concat('<地図 xmlns=\"http://www.moj.go.jp/MINJI/tizuxml\" xmlns:zmn=\"http://www.moj.go.jp/MINJI/tizuzumen\">', {fields}, {scale})"
+    return bodies.selectExpr("file_name as source_name", f"cast(concat({head}, body, '</地図>') as binary) as content")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

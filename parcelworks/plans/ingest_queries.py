@@ -12,16 +12,15 @@ from parcelworks.plans.fixtures import map_files
 from parcelworks.plans.registry import file_query
 from parcelworks.sources.archives import parse_maps
 
-_KEY = "fude_id || '_' || CAST(round(x0 * 100) AS BIGINT)::VARCHAR || '_' || CAST(y0 AS BIGINT)::VARCHAR"
 _HOLED, _INDIRECT = "CAST(y0 AS BIGINT) % 5 = 0", "CAST(y0 AS BIGINT) % 2 = 0"
-_ROWS = f"SELECT DISTINCT file_name AS source_name, {_KEY} AS fude_id, p.* EXCLUDE (fude_id) FROM parcel p JOIN meta ON id = xml_meta_id"
+_ROWS = "SELECT file_name AS source_name, * EXCLUDE (file_name) FROM sheet"
 
 
 def _parsed(spark, sf_dir) -> DataFrame:
     return parse_maps(map_files(spark, sf_dir))
 
 
-@file_query("s3_headers", "SELECT DISTINCT file_name AS source_name, map_name, '' AS municipality_code, municipality_name, crs_type, NULL::VARCHAR AS geodetic_type, scale_denominator FROM meta JOIN parcel ON id = xml_meta_id")
+@file_query("s3_headers", "SELECT DISTINCT file_name AS source_name, map_name, '' AS municipality_code, municipality_name, crs_type, NULL::VARCHAR AS geodetic_type, scale_denominator FROM sheet")
 def _(spark, sf_dir):
     return assemble.headers(_parsed(spark, sf_dir)).select("source_name", "map_name", "municipality_code", "municipality_name", "crs_type", "geodetic_type", "scale_denominator")
 

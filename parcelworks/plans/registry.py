@@ -40,11 +40,11 @@ def query(name: str, tables: str, sql: str | None):
 
 
 def file_query(name: str, sql: str):
-    """Registers a function of (spark, sf_dir) that reads map files made of ``meta`` and ``parcel``; ``sql`` reads those two."""
+    """Registers a function of (spark, sf_dir) that reads map files made of ``sheet``, which ``sql`` reads, too."""
 
     def register(f):
         _QUERIES[name] = f
-        _ORACLES[name] = oracle("meta parcel", sql)
+        _ORACLES[name] = oracle("sheet", sql)
         return f
 
     return register
