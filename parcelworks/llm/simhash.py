@@ -60,7 +60,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([*others, pa.array(prints.view(np.int64), pa.int64())], names=[*batch.schema.names[:-1], "__fp"])
 
 
-def close_pairs(fp: np.ndarray, start: np.ndarray, radius: int = RADIUS, slots: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def close_pairs(fp: np.ndarray, start: np.ndarray, radius: int = RADIUS, slots: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows of one group at ``radius`` bits or less, in pieces of bounded size. ``fp``: uint64, the
     rows of a group next to each other; ``start``: the first row of each group."""
     size = np.diff(np.append(start, len(fp)))
