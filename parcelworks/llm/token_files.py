@@ -131,7 +131,7 @@ class WordCache:
         return ends, np.frombuffer(out.buffers()[2], "<u4", ends[-1] if len(ends) else 0)
 
 
-def _parts(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def _parts(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Runs of texts of ``most`` bytes together, or of one text if that is longer."""
     size, low, total = pc.binary_length(texts).to_numpy(zero_copy_only=False).tolist(), 0, 0
     for i, n in enumerate(size):
