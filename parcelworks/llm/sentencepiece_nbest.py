@@ -33,7 +33,7 @@ FAR = 1 << 60
 
 
 class PieceLattice:
-    def __init__(self, model: str, most: int = 250_000, keep: int = 256):
+    def __init__(self, model: str, most: int = 100_000, keep: int = 256):
         """Words of more than ``keep`` characters are not kept in the cache, whose size so is bounded in bytes, too."""
         from sentencepiece import sentencepiece_model_pb2 as pb
 
