@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from parcelworks.llm import embedding_dedup, line_crf, line_dedup, mixing, quality, secrets, sentencepiece_nbest, simhash, token_files, url_filter
+from parcelworks.llm import embedding_dedup, fill_in_middle, line_crf, line_dedup, mixing, quality, secrets, sentencepiece_nbest, simhash, token_counts, token_files, url_filter
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -16,10 +16,13 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_simhash": simhash.op9_simhash,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+    "op12_token_counts": token_counts.op12_token_counts,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
     "op3_line_dedup": line_dedup.OP3_SQL,
     "op10_url_filter": url_filter.OP10_SQL,
+    "op11_fill_in_middle": fill_in_middle.OP11_SQL,
 }
