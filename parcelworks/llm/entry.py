@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from parcelworks.llm import embedding_dedup, fill_in_middle, line_crf, line_dedup, mixing, quality, secrets, sentencepiece_nbest, simhash, token_counts, token_files, url_filter
+from parcelworks.llm import embedding_dedup, fill_in_middle, hard_negatives, line_crf, line_dedup, mixing, quality, secrets, sentencepiece_nbest, simhash, token_counts, token_files, url_filter
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_url_filter": url_filter.op10_url_filter,
     "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
     "op12_token_counts": token_counts.op12_token_counts,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -25,4 +26,5 @@ ORACLES = {
     "op3_line_dedup": line_dedup.OP3_SQL,
     "op10_url_filter": url_filter.OP10_SQL,
     "op11_fill_in_middle": fill_in_middle.OP11_SQL,
+    "op13_hard_negatives": hard_negatives.OP13_SQL,
 }
