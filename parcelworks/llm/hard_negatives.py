@@ -49,60 +49,63 @@ def nearest(x: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 class Cells:
-    """Rows of one shard by cell, for one label or for all."""
+    """Rows of one shard by cell, for one label or for all. ``codes`` are the rows' nearest codewords of both halves."""
 
     def __init__(self, books: tuple[np.ndarray, np.ndarray], codes: np.ndarray, ids: np.ndarray, labels: np.ndarray, x: np.ndarray):
         order = np.lexsort((ids, codes[:, 1], codes[:, 0]))
         self.ids, self.labels, self.x, codes = ids[order], labels[order], x[order], codes[order]
-        half = len(books[0][0])
-        halves, self.used, self.own, self.words, self.top = (self.x[:, :half], self.x[:, half:]), [], [], [], []
-        cells, first = np.unique(codes, axis=0, return_index=True)
-        self.bounds = {(int(a), int(b)): (i, int(low), int(high)) for i, ((a, b), low, high) in enumerate(zip(cells, first, np.append(first[1:], len(codes)), strict=True))}
+        self.books, self.half, self.largest = books, books[0].shape[1], float(np.abs(self.x).max(initial=0.0))
+        self.small = self.x.astype(np.float32) if self.largest < 2.0**24 else self.x
+        named = codes[:, 0].astype(np.int64) * len(books[1]) + codes[:, 1]
+        cells, first = np.unique(named, return_index=True)
+        self.cells, self.stops = codes[first], np.append(first, len(codes))
+        self.place = {(a, b): i for i, (a, b) in enumerate(self.cells.tolist())}
+        self.used, self.radius, self.own = [], [], []
         with np.errstate(all="ignore"):
-            for k in (0, 1):
-                far = np.nan_to_num(np.sqrt(((halves[k] - books[k][codes[:, k]]) ** 2).sum(1)), nan=np.inf)
+            for k, half in enumerate((self.x[:, : self.half], self.x[:, self.half :])):
+                far = np.nan_to_num(np.sqrt(((half - books[k][codes[:, k]]) ** 2).sum(1)), nan=np.inf)
                 radius = np.zeros(len(books[k]))
                 np.maximum.at(radius, codes[:, k], far)
-                used = np.unique(codes[:, k])
-                self.used.append(used)
-                self.words.append(books[k])
-                self.top.append(radius)
+                self.used.append(np.unique(codes[:, k]))
+                self.radius.append(radius)
                 self.own.append(np.maximum.reduceat(far, first))
-        self.largest = float(np.abs(self.x).max(initial=0.0))
 
     def scores(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-        """Exact whole-number inner products, held within the range of a long."""
-        if self.largest * float(np.abs(query).max(initial=0.0)) * max(1, len(query)) < 2.0**53:
+        """Exact whole-number inner products, held within the range of a long. Sums of whole numbers are exact in single precision below 2^24, in double below 2^53."""
+        most = self.largest * float(np.abs(query).max(initial=0.0)) * max(1, len(query))
+        if most < 2.0**24:
+            return (self.small[rows] @ query.astype(np.float32)).astype(np.int64)
+        if most < 2.0**53:
             return (self.x[rows] @ query).astype(np.int64)
         whole = [int(v) for v in query]
         sums = (sum(int(a) * b for a, b in zip(row, whole, strict=True)) for row in self.x[rows].tolist())
         return np.array([min(max(s, LONG.min), LONG.max) for s in sums], np.int64)
 
-    def visit(self, query: np.ndarray, least: float = -np.inf) -> Iterator[tuple[float, float, int, int]]:
-        """(bound of this and all later cells, bound of this cell, first row, row after the last) of the occupied cells, by falling first bound."""
-        half = self.words[0].shape[1]
-        base, reach, order = [], [], []
+    def visit(self, query: np.ndarray) -> Iterator[tuple[float, float, int]]:
+        """(bound of this and all later cells, bound of this cell, its number) of the occupied cells, by falling first bound: a heap over both
+        halves' codewords, each by falling half-score."""
+        sums, own, order = [], np.zeros(len(self.cells)), []
         with np.errstate(all="ignore"):
-            for k, q in enumerate((query[:half], query[half:])):
-                size, dots = float(np.sqrt((q * q).sum())), self.words[k] @ q
-                slack = 1e-9 * (np.abs(dots) + size * (np.sqrt((self.words[k] ** 2).sum(1)) + self.top[k])) + 1e-6
-                sums = np.nan_to_num(dots + size * self.top[k] + slack, nan=np.inf)
-                base.append(np.nan_to_num(dots + slack, nan=np.inf))
-                reach.append((sums, size))
-                order.append(self.used[k][np.argsort(-sums[self.used[k]], kind="stable")])
-            u, v = (reach[k][0][order[k]].tolist() for k in (0, 1))
-            a, b = (o.tolist() for o in order)
-            heap = [(-(u[0] + v[0]), 0, 0)]
-            while heap:
-                bound, i, j = heapq.heappop(heap)
-                if j + 1 < len(v):
-                    heapq.heappush(heap, (-(u[i] + v[j + 1]), i, j + 1))
-                if j == 0 and i + 1 < len(u):
-                    heapq.heappush(heap, (-(u[i + 1] + v[0]), i + 1, 0))
-                if (cell := self.bounds.get((a[i], b[j]))) is not None:
-                    n, low, high = cell
-                    own = base[0][a[i]] + reach[0][1] * self.own[0][n] + base[1][b[j]] + reach[1][1] * self.own[1][n]
-                    yield -bound, float(np.nan_to_num(own, nan=np.inf)), low, high
+            for k, q in enumerate((query[: self.half], query[self.half :])):
+                size, words = float(np.sqrt((q * q).sum())), self.books[k]
+                dots = words @ q
+                slack = 1e-9 * (np.abs(dots) + size * (np.sqrt((words * words).sum(1)) + self.radius[k])) + 1e-6
+                half = np.nan_to_num(dots + size * self.radius[k] + slack, nan=np.inf)
+                own = own + (dots + slack)[self.cells[:, k]] + size * self.own[k]
+                by = self.used[k][np.argsort(-half[self.used[k]], kind="stable")]
+                sums.append(half[by].tolist())
+                order.append(by.tolist())
+        own, (u, v), (a, b) = np.nan_to_num(own, nan=np.inf).tolist(), sums, order
+        heap, pop, push, place, last = [(-(u[0] + v[0]), 0, 0)], heapq.heappop, heapq.heappush, self.place, len(v) - 1
+        while heap:
+            bound, i, j = pop(heap)
+            if j < last:
+                push(heap, (-(u[i] + v[j + 1]), i, j + 1))
+            if j == 0 and i + 1 < len(u):
+                push(heap, (-(u[i + 1] + v[0]), i + 1, 0))
+            n = place.get((a[i], b[j]))
+            if n is not None:
+                yield -bound, own[n], n
 
 
 class Best:
@@ -126,20 +129,21 @@ class Best:
         return self.rows[-1][0] if len(self.rows) == self.size else low
 
 
-def _in_runs(cells: Cells, query: np.ndarray, need, rows: int = 512) -> Iterator[np.ndarray]:
-    """Rows of the cells that may hold what ``need()`` still asks for, some cells at a time; ends when no unvisited cell can."""
-    held, count = [], 0
-    for bound, own, low, high in cells.visit(query):
-        if bound < need():
+def _in_runs(cells: Cells, query: np.ndarray, need, rows: int = 256) -> Iterator[np.ndarray]:
+    """Rows of the cells that may hold what ``need()`` still asks for, some cells at a time, more each time; ends when no unvisited cell can."""
+    low, high = cells.stops[:-1].tolist(), cells.stops[1:].tolist()
+    held, count, floor = [], 0, need()
+    for bound, own, n in cells.visit(query):
+        if bound < floor:
             break
-        if own >= need():
-            held.append(np.arange(low, high))
-            count += high - low
+        if own >= floor:
+            held.append(n)
+            count += high[n] - low[n]
         if count >= rows:
-            yield np.concatenate(held)
-            held, count = [], 0
+            yield np.concatenate([np.arange(low[i], high[i]) for i in held])
+            held, count, rows, floor = [], 0, 2 * rows, need()
     if held:
-        yield np.concatenate(held)
+        yield np.concatenate([np.arange(low[i], high[i]) for i in held])
 
 
 def add_positives(cells: Cells, anchor: int, query: np.ndarray, best: Best) -> None:
@@ -164,11 +168,12 @@ def add_negatives(cells: Cells, label: int, query: np.ndarray, windows: list[tup
 # Tasks: shards and blocks of anchors are packed, a row each
 
 
-def _packer(name: str, dim: int, scale: float):
+def _packer(name: str, dim: int, scale: float, books=None):
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         x = scaled(part["vec"], dim, scale)
         ids, labels = part["id"].to_numpy("<i8"), part["label"].to_numpy("<i8")
-        return pd.DataFrame([(part[name].iloc[0], len(x), ids.tobytes(), labels.tobytes(), x.tobytes())], columns=[name, "rows", "ids", "labels", "vectors"])
+        codes = _codes(x, books).astype("<u2") if books else np.empty(0, "<u2")
+        return pd.DataFrame([(part[name].iloc[0], ids.tobytes(), labels.tobytes(), x.tobytes(), codes.tobytes())], columns=[name, "ids", "labels", "vectors", "codes"])
 
     return pack
 
@@ -190,7 +195,7 @@ def _positives(books, dim: int, most: int):
             best = [Best(most) for _ in anchors]
             for shard in shards.itertuples(index=False):
                 ids, of, x = _unpacked(shard, dim)
-                codes, order = _codes(x, books), np.argsort(of, kind="stable")
+                codes, order = np.frombuffer(shard.codes, "<u2").reshape(-1, 2), np.argsort(of, kind="stable")
                 for label in np.unique(labels):
                     mine = order[np.searchsorted(of, label, "left", order) : np.searchsorted(of, label, "right", order)]
                     if len(mine):
@@ -215,7 +220,7 @@ def _windows(books, dim: int, most: int, share: int):
                     windows.setdefault(i, []).append((low, top, Best(most)))
             for shard in shards.itertuples(index=False):
                 ids, of, x = _unpacked(shard, dim)
-                cells = Cells(books, _codes(x, books), ids, of, x)
+                cells = Cells(books, np.frombuffer(shard.codes, "<u2").reshape(-1, 2), ids, of, x)
                 for i, own in windows.items():
                     add_negatives(cells, int(labels[i]), queries[i], own)
             out += [(block.block, i, top, score, one) for i, own in windows.items() for _, top, best in own for score, one in best.rows]
@@ -240,7 +245,7 @@ def mine_negatives(
     scale: float = 256.0,
     codewords: int = 16,
     train_rows: int = 4096,
-    shard_rows: int = 8192,
+    shard_rows: int = 16_384,
     anchor_rows: int = 4096,
     run_bytes: int = 64 << 20,
     tasks: int = 64,
@@ -266,6 +271,8 @@ def mine_negatives(
     asked = every.where(anchors)
     n, n_anchors, dim = every.agg(F.count(F.lit(1)), F.count(F.when(anchors, 1)), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
     schema = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
+    if not 0 < codewords <= 65_535:
+        raise ValueError("codewords: 1 to 65535")
     if not n_anchors:
         return spark.createDataFrame([], schema)
     dim = max(2, dim)
@@ -274,11 +281,11 @@ def mine_negatives(
     n_shards = -(-n // shard_rows)
     run = max(1, run_bytes // (8 * shard_rows * dim))
     n_runs = -(-n_shards // run)
-    n_blocks = max(-(-n_anchors // anchor_rows), min(-(-n_anchors // 32), -(-tasks // n_runs)))
+    n_blocks = max(-(-n_anchors // anchor_rows), min(-(-n_anchors // 128), -(-tasks // n_runs)))
 
-    kind = "{} long, rows int, ids binary, labels binary, vectors binary"
-    deal = lambda frame, name, count: frame.withColumn(name, F.pmod(F.xxhash64("__hash"), F.lit(count))).groupBy(name).applyInPandas(_packer(name, dim, scale), kind.format(name))
-    shards = stash(deal(every, "shard", n_shards), "shards")
+    kind = "{} long, ids binary, labels binary, vectors binary, codes binary"
+    deal = lambda frame, name, count, books=None: frame.withColumn(name, F.pmod(F.xxhash64("__hash"), F.lit(count))).groupBy(name).applyInPandas(_packer(name, dim, scale, books), kind.format(name))
+    shards = stash(deal(every, "shard", n_shards, books), "shards")
     blocks = stash(deal(asked, "block", n_blocks), "anchors")
     runs = shards.withColumn("run", F.floor(F.col("shard") / run)).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))).groupBy("block", "run")
     meet = lambda frame: runs.cogroup(frame.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_runs - 1).cast("long")))).groupBy("block", "run"))

@@ -214,7 +214,8 @@ def test_cells_are_left_out_only_where_they_cannot_matter():
     books = (hard_negatives.codebook(x[:, :8], 16), hard_negatives.codebook(x[:, 8:], 16))
     cells = hard_negatives.Cells(books, hard_negatives._codes(x, books), np.arange(4000), np.zeros(4000, int), x)
     query, seen, scored, last = x[0], 0, 0, np.inf
-    for bound, own, low, high in cells.visit(query):
+    for bound, own, n in cells.visit(query):
+        low, high = cells.stops[n], cells.stops[n + 1]
         best = (cells.x[low:high] @ query).max()
         assert best <= own <= bound + 1e-3 and bound <= last
         last, seen = bound, seen + high - low
