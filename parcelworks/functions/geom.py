@@ -55,9 +55,10 @@ def to_wkt(polygon: Column) -> Column:
 
 
 def from_wkt(text: Column) -> Column:
-    body = F.regexp_replace(text, r"^\s*POLYGON\s*\(\(|\)\)\s*$", "")
-    point = lambda p: F.struct(F.get(F.split(F.trim(p), r"\s+"), F.lit(0)).cast("double").alias("x"), F.get(F.split(F.trim(p), r"\s+"), F.lit(1)).cast("double").alias("y"))
-    return F.transform(F.split(body, r"\)\s*,\s*\("), lambda r: F.transform(F.split(r, ","), point))
+    """The polygon of a text; null where it is anything else, or of several parts (``shapes.parse_wkt`` takes those)."""
+    from parcelworks.functions.shapes import parse_wkt
+
+    return let({"s": parse_wkt(text)["geom"]}, lambda v: F.when(F.size(v["s"]) == 1, F.get(v["s"], F.lit(0))))
 
 
 def polygon_centroid(polygon: Column) -> Column:
@@ -93,8 +94,13 @@ def _edges(ring: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(ring) - 1), lambda i: F.struct(F.get(ring, i).alias("p"), F.get(ring, (i + 1) % F.size(ring)).alias("q")))
 
 
-def polygon_contains(polygon: Column, x: Column, y: Column) -> Column:
-    """Whether a point lies in a polygon: by crossings of all rings, so that holes are outside; on a border counts as inside."""
+def edges_of(polygon: Column) -> Column:
+    """(p, q) of all edges of all rings. Rings of a shape of several parts, flattened, are taken as well."""
+    return F.flatten(F.transform(F.filter(polygon, lambda r: F.size(r) > 0), _edges))
+
+
+def edges_contain(edges: Column, x: Column, y: Column) -> Column:
+    """Whether a point lies inside edges by the even-odd rule, so that holes are outside; on an edge counts as inside."""
 
     def crossed(e: Column) -> Column:
         p, q = e["p"], e["q"]
@@ -106,12 +112,11 @@ def polygon_contains(polygon: Column, x: Column, y: Column) -> Column:
         within = (x >= F.least(p["x"], q["x"])) & (x <= F.greatest(p["x"], q["x"])) & (y >= F.least(p["y"], q["y"])) & (y <= F.greatest(p["y"], q["y"]))
         return (cross == 0) & within
 
-    edges = F.flatten(F.transform(F.filter(polygon, lambda r: F.size(r) > 0), _edges))
     return F.coalesce((F.size(F.filter(edges, crossed)) % 2 == 1) | F.exists(edges, on), F.lit(False))
 
 
-def point_distance(polygon: Column, x: Column, y: Column) -> Column:
-    """Distance of a point to the nearest edge of a polygon."""
+def edges_distance(edges: Column, x: Column, y: Column) -> Column:
+    """Distance of a point to the nearest of edges."""
 
     def far(e: Column) -> Column:
         p, q = e["p"], e["q"]
@@ -121,10 +126,19 @@ def point_distance(polygon: Column, x: Column, y: Column) -> Column:
         ox, oy = p["x"] + t * dx - x, p["y"] + t * dy - y
         return F.sqrt(ox * ox + oy * oy)
 
-    edges = F.flatten(F.transform(F.filter(polygon, lambda r: F.size(r) > 0), _edges))
     return F.array_min(F.transform(edges, far))
 
 
+def polygon_contains(polygon: Column, x: Column, y: Column) -> Column:
+    """Whether a point lies in a polygon, on its border included."""
+    return edges_contain(edges_of(polygon), x, y)
+
+
+def point_distance(polygon: Column, x: Column, y: Column) -> Column:
+    """Distance of a point to the nearest edge of a polygon."""
+    return edges_distance(edges_of(polygon), x, y)
+
+
 def stitched_ring(curves: Column) -> Column:
     """A ring from arrays of points in order: a curve's first point goes where it is within 1e-6 of the last one kept, and the ring is closed
     where its ends are not the same. Null with fewer than three points."""

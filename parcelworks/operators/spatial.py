@@ -2,18 +2,22 @@
 
 A shape is registered in the grid whose cells are just larger than it and in all coarser ones in use, so it lies in four cells of a grid
 at most, whatever its size. Two shapes meet in the coarser of their two grids, in one cell of it: an equi-join, without a pair too many
-and without a cell size to choose. Shapes of different coordinate systems must not be mixed.
+and without a cell size to choose. Geometries are polygons or shapes of several parts; what is inside follows from the even-odd rule over all rings.
+Shapes of different coordinate systems must not be mixed.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType
 
-from parcelworks.functions.geom import point_distance, polygon_box, polygon_contains
+from parcelworks.functions.geom import edges_contain, edges_distance, edges_of
+from parcelworks.functions.shapes import as_shape, is_box, shape_box
+from parcelworks.sources.scratch import written
 
 #: Side of the cells of level 0; a level's cells are four times as wide as those of the level below.
 BASE, STEP, LOWEST, HIGHEST = 1.0, 4.0, -12, 24
@@ -33,23 +37,29 @@ def _width(level: Column) -> Column:
 def _spread(rows: DataFrame, levels: list[int], name: str) -> DataFrame:
     """A row for each cell that a box touches in its own level and the coarser ones of ``levels``."""
     box, at = F.col(f"__box_{name}"), F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>"))
-    rows = rows.withColumn(f"__level_{name}", _level(box)).withColumn("__at", at).where(F.col("__at") >= F.col(f"__level_{name}"))
+    rows = rows.withColumn("__at", at).where(F.col("__at") >= F.col(f"__level_{name}"))
     cell = lambda v: F.floor(v / _width(F.col("__at")))
     across = lambda a: F.explode(F.sequence(cell(box[f"min_{a}"]), cell(box[f"max_{a}"])))
     return rows.withColumn("__i", across("x")).withColumn("__j", across("y"))
 
 
-def box_pairs(left: DataFrame, right: DataFrame, left_box: str, right_box: str) -> DataFrame:
+def box_pairs(left: DataFrame, right: DataFrame, left_box: str, right_box: str, left_extent: float | None = None) -> DataFrame:
     """Pairs of rows whose boxes meet, borders included, each pair once. Column names of both sides must differ.
 
-    The levels in use, some thirty small numbers at most, are the only thing the driver asks for. A hot cell is split by AQE."""
+    The levels in use, some thirty small numbers at most, are the only thing the driver asks for; for that both inputs are written once, but a left one whose boxes are
+    all ``left_extent`` wide or less is only read. A hot cell is split by AQE."""
+    left = written(left, "shapes") if left_extent is None else left
     a = left.where(F.col(left_box).isNotNull()).withColumn("__box_a", F.col(left_box))
-    b = right.where(F.col(right_box).isNotNull()).withColumn("__box_b", F.col(right_box))
-    found = a.select(_level(F.col("__box_a")).alias("x")).distinct().union(b.select(_level(F.col("__box_b")).alias("x")).distinct()).distinct()
-    levels = sorted(r.x for r in found.collect())
-    if not levels:
-        levels = [0]
-    met = _spread(a, levels, "a").join(_spread(b, levels, "b"), ["__at", "__i", "__j"])
+    b = written(right, "areas").where(F.col(right_box).isNotNull()).withColumn("__box_b", F.col(right_box))
+    found = b.select(_level(F.col("__box_b")).alias("x")).distinct()
+    if left_extent is None:
+        a = a.withColumn("__level_a", _level(F.col("__box_a")))
+        levels = sorted(r.x for r in found.union(a.select(F.col("__level_a").alias("x")).distinct()).distinct().collect())
+    else:  # one level up, so that a rounded difference is no wider than a cell
+        own = min(HIGHEST, max(LOWEST, math.ceil(math.log(max(left_extent, 1e-9) / BASE, STEP)) + 1))
+        a = a.withColumn("__level_a", F.lit(own))
+        levels = sorted({max(own, r.x) for r in found.collect()})
+    met = _spread(a, levels or [0], "a").join(_spread(b.withColumn("__level_b", _level(F.col("__box_b"))), levels or [0], "b"), ["__at", "__i", "__j"])
     p, q, at = F.col("__box_a"), F.col("__box_b"), F.col("__at")
     cell = lambda v: F.floor(v / _width(at))
     once = (at == F.greatest("__level_a", "__level_b")) & (F.col("__i") == cell(F.greatest(p["min_x"], q["min_x"]))) & (F.col("__j") == cell(F.greatest(p["min_y"], q["min_y"])))
@@ -61,98 +71,150 @@ def _point_box(x: Column, y: Column, reach: float = 0.0) -> Column:
     return F.struct((x - reach).alias("min_x"), (y - reach).alias("min_y"), (x + reach).alias("max_x"), (y + reach).alias("max_y"))
 
 
-def _areas(areas: DataFrame) -> DataFrame:
-    return areas.select("admin_id", F.col("geom").alias("__area")).withColumn("__area_box", polygon_box(F.col("__area")))
+def _known(rows: DataFrame, key: str, name: str, flat: bool = False) -> DataFrame:
+    """``key`` and what joins ask of a geometry, computed once a row: its box, whether it is that box, and its edges, as structs or as four flat arrays."""
+    shaped = rows.select(key, as_shape(rows, "geom").alias("__s"))
+    edges = edges_of(F.flatten("__s"))
+    shaped = shaped.select(key, shape_box(F.col("__s")).alias(f"__{name}_box"), is_box(F.col("__s")).alias(f"__{name}_is_box"), edges.alias("__e"))
+    ends = {"x1": lambda e: e["p"]["x"], "y1": lambda e: e["p"]["y"], "x2": lambda e: e["q"]["x"], "y2": lambda e: e["q"]["y"]}
+    arrays = F.struct(*[F.transform("__e", end).alias(n) for n, end in ends.items()])
+    return shaped.select(key, f"__{name}_box", f"__{name}_is_box", (arrays if flat else F.col("__e")).alias(f"__{name}"))
 
 
-# Helpers on pairs of polygons: numpy on coordinates, a pair at a time inside an Arrow batch
+# Helpers on pairs of shapes: numpy on the flat edges of one pair
 
 
-def _rings(polygon) -> list[np.ndarray]:
-    """Rings of a polygon without the repeated last point."""
-    out = []
-    for ring in polygon if polygon is not None else []:
-        points = np.array([(p["x"], p["y"]) for p in ring], float).reshape(-1, 2)
-        if len(points) > 1 and (points[0] == points[-1]).all():
-            points = points[:-1]
-        out.append(points)
-    return out
+def _up(edges: np.ndarray) -> np.ndarray:
+    """Edges (x1, y1, x2, y2 by row) that rise; level ones are left out."""
+    swap = edges[1] > edges[3]
+    return np.where(swap, edges[[2, 3, 0, 1]], edges)[:, edges[1] != edges[3]]
 
 
-def _size(points: np.ndarray) -> float:
-    if len(points) < 3:
+def _crossings(e: np.ndarray, block: int = 512) -> np.ndarray:
+    """Heights at which two edges cross inside both."""
+    x, y, dx, dy = e[0], e[1], e[2] - e[0], e[3] - e[1]
+    out = []
+    for low in range(0, len(x), block):
+        i = slice(low, low + block)
+        turn = dx[i, None] * dy - dy[i, None] * dx
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = ((x - x[i, None]) * dy - (y - y[i, None]) * dx) / turn
+            u = ((x - x[i, None]) * dy[i, None] - (y - y[i, None]) * dx[i, None]) / turn
+        at = (t > 0) & (t < 1) & (u > 0) & (u < 1)
+        out.append((y[i, None] + t * dy[i, None])[at])
+    return np.concatenate(out)
+
+
+def overlap_area(a: np.ndarray, b: np.ndarray, cells: int = 1 << 20) -> float:
+    """Area inside both of two shapes, given by their edges (x1, y1, x2, y2 by row).
+
+    The heights of all vertices and crossings cut the common box into slabs in which edges do not cross; between neighbouring edges of a slab lie
+    trapezoids, whose area is their width at half height times the slab's. A run of slabs takes at most about ``cells`` widths at once."""
+    if not a.shape[1] or not b.shape[1]:
         return 0.0
-    x, y = (points - points[0]).T
-    return float(x @ np.roll(y, -1) - y @ np.roll(x, -1)) / 2
-
-
-def _cut(points: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The part of a ring to the left of the line from ``a`` to ``b``."""
-    side = (b[0] - a[0]) * (points[:, 1] - a[1]) - (b[1] - a[1]) * (points[:, 0] - a[0])
-    after, next_side = np.roll(points, -1, axis=0), np.roll(side, -1)
-    crosses = (side < 0) != (next_side < 0)
-    share = np.divide(side, side - next_side, out=np.zeros_like(side), where=crosses)
-    both = np.empty((2 * len(points), 2))
-    both[0::2], both[1::2] = points, points + share[:, None] * (after - points)
-    keep = np.empty(len(both), bool)
-    keep[0::2], keep[1::2] = side >= 0, crosses
-    return both[keep]
-
-
-def overlap_area(convex, polygon) -> float:
-    """Area that a convex ring (its polygon's ring 0) shares with any polygon: every ring is cut by each edge of the convex one."""
-    first, rings = _rings(convex)[:1], _rings(polygon)
-    if not first or len(first[0]) < 3 or not rings:
+    box = lambda e, k: (min(e[k].min(), e[k + 2].min()), max(e[k].max(), e[k + 2].max()))
+    (ax, ax2), (bx, bx2), (ay, ay2), (by, by2) = box(a, 0), box(b, 0), box(a, 1), box(b, 1)
+    left, right, low, high = max(ax, bx), min(ax2, bx2), max(ay, by), min(ay2, by2)
+    if left >= right or low >= high:
         return 0.0
-    hull, total = first[0] if _size(first[0]) >= 0 else first[0][::-1], 0.0
-    for i, ring in enumerate(rings):
-        for a, b in zip(hull, np.roll(hull, -1, axis=0), strict=True):
-            if len(ring):
-                ring = _cut(ring, a, b)
-        total += abs(_size(ring)) * (1 if i == 0 else -1)
-    return max(0.0, total)
-
-
-def _inside(rings: list[np.ndarray], x: float, y: float) -> bool:
-    """Even-odd rule over all rings."""
-    odd = False
-    for p in rings:
-        q = np.roll(p, -1, axis=0)
-        over = (p[:, 1] > y) != (q[:, 1] > y)
-        at = p[over, 0] + (y - p[over, 1]) * (q[over, 0] - p[over, 0]) / (q[over, 1] - p[over, 1])
-        odd ^= bool(((x < at).sum()) & 1)
-    return odd
-
-
-def polygons_meet(one, other) -> bool:
-    """Whether two polygons share a point, borders included."""
-    a, b = _rings(one), _rings(other)
-    if not a or not b:
+    e = [_up(s - np.array([[left], [low], [left], [low]])) for s in (a, b)]  # near the origin, for small differences
+    own = np.repeat([0, 1], [s.shape[1] for s in e])
+    e = np.concatenate(e, axis=1)
+    right, high = right - left, high - low
+    near = (e[3] > 0) & (e[1] < high) & (np.minimum(e[0], e[2]) < right)
+    e, own = e[:, near], own[near]
+    heights = np.concatenate([e[1], e[3], _crossings(e), [0.0, high]])
+    heights = np.unique(heights[(heights >= 0) & (heights <= high)])
+    total, step = 0.0, max(1, cells // max(1, len(own)))
+    slope = (e[2] - e[0]) / (e[3] - e[1])
+    for start in range(0, len(heights) - 1, step):
+        part = heights[start : start + step + 1]
+        active = (e[3] > part[0]) & (e[1] < part[-1])
+        mid, f, k = (part[:-1] + part[1:]) / 2, e[:, active], own[active]
+        x = f[0] + (mid[:, None] - f[1]) * slope[active]
+        there = (f[1] <= mid[:, None]) & (f[3] > mid[:, None])
+        x = np.where(there, np.clip(x, 0, right), right)  # what lies beyond the common box has no width
+        order = np.argsort(x, axis=1, kind="stable")
+        x, there = np.take_along_axis(x, order, 1), np.take_along_axis(there, order, 1)
+        inside = [(np.cumsum(there & (k[order] == side), axis=1) & 1).astype(bool) for side in (0, 1)]
+        widths = np.diff(x, axis=1, append=right)
+        total += float(((widths * (inside[0] & inside[1])).sum(1) * np.diff(part)).sum())
+    return total
+
+
+def _any_inside(e: np.ndarray, x: np.ndarray, y: np.ndarray, block: int = 512) -> bool:
+    """Whether one of some points lies inside edges, by the even-odd rule."""
+    e = _up(e)
+    for low in range(0, len(x), block):
+        px, py = x[low : low + block, None], y[low : low + block, None]
+        over = (e[1] <= py) & (e[3] > py)
+        left = px < e[0] + (py - e[1]) * (e[2] - e[0]) / (e[3] - e[1])
+        if ((over & left).sum(1) & 1).any():
+            return True
+    return False
+
+
+def shapes_meet(a: np.ndarray, b: np.ndarray, block: int = 256) -> bool:
+    """Whether two shapes, given by their edges, share a point, borders included: two edges meet, or a vertex of one lies inside the other."""
+    if not a.shape[1] or not b.shape[1]:
         return False
-    p, q = (np.concatenate(x) for x in (a, b))
-    p2, q2 = (np.concatenate([np.roll(r, -1, axis=0) for r in x]) for x in (a, b))
-    for low in range(0, len(p), 256):  # all edges of one against all of the other, in blocks
-        s, e = p[low : low + 256, None], p2[low : low + 256, None]
-        turn = lambda o, u, v: (u[..., 0] - o[..., 0]) * (v[..., 1] - o[..., 1]) - (u[..., 1] - o[..., 1]) * (v[..., 0] - o[..., 0])
-        d1, d2, d3, d4 = turn(q[None], q2[None], s), turn(q[None], q2[None], e), turn(s, e, q[None]), turn(s, e, q2[None])
-        boxes = (np.minimum(s, e) <= np.maximum(q, q2)[None]).all(-1) & (np.maximum(s, e) >= np.minimum(q, q2)[None]).all(-1)
+    box = lambda e: (np.minimum(e[0], e[2]), np.minimum(e[1], e[3]), np.maximum(e[0], e[2]), np.maximum(e[1], e[3]))
+
+    def near(e: np.ndarray, other: np.ndarray) -> np.ndarray:
+        x, y, x2, y2 = box(e)
+        ox, oy, ox2, oy2 = box(other)
+        return e[:, (x <= ox2.max()) & (x2 >= ox.min()) & (y <= oy2.max()) & (y2 >= oy.min())]
+
+    p, q = near(a, b), near(b, a)
+    if not p.shape[1] and not q.shape[1]:
+        return False
+    qx, qy, qx2, qy2 = box(q)
+    turn = lambda ox, oy, ux, uy, vx, vy: (ux - ox) * (vy - oy) - (uy - oy) * (vx - ox)
+    for low in range(0, p.shape[1] if q.shape[1] else 0, block):  # edges of one against those of the other, in blocks
+        x1, y1, x2, y2 = (c[low : low + block, None] for c in p)
+        d1, d2 = turn(q[0], q[1], q[2], q[3], x1, y1), turn(q[0], q[1], q[2], q[3], x2, y2)
+        d3, d4 = turn(x1, y1, x2, y2, q[0], q[1]), turn(x1, y1, x2, y2, q[2], q[3])
+        boxes = (np.minimum(x1, x2) <= qx2) & (np.maximum(x1, x2) >= qx) & (np.minimum(y1, y2) <= qy2) & (np.maximum(y1, y2) >= qy)
         if (boxes & (np.sign(d1) * np.sign(d2) <= 0) & (np.sign(d3) * np.sign(d4) <= 0)).any():
             return True
-    return _inside(b, *p[0]) or _inside(a, *q[0])
+    return _any_inside(b, p[0], p[1]) or _any_inside(a, q[0], q[1])
+
+
+def _on_pairs(helper, kind: str, left: str, right: str) -> Column:
+    """``helper`` on the flat edges of two columns; null where either has none."""
+
+    def run(ax: pd.Series, ay: pd.Series, ax2: pd.Series, ay2: pd.Series, bx: pd.Series, by: pd.Series, bx2: pd.Series, by2: pd.Series) -> pd.Series:
+        out = [None if p[0] is None or p[4] is None else helper(np.array(p[:4], float).reshape(4, -1), np.array(p[4:], float).reshape(4, -1)) for p in zip(ax, ay, ax2, ay2, bx, by, bx2, by2, strict=True)]
+        return pd.Series(out, dtype=object)
 
+    return F.pandas_udf(run, kind)(*[F.col(f"{side}.{c}") for side in (left, right) for c in ("x1", "y1", "x2", "y2")])
 
-def _on_pairs(helper, kind):
-    return F.pandas_udf(lambda a, b: pd.Series([helper(x, y) for x, y in zip(a, b, strict=True)], dtype=object if kind == BooleanType() else float), kind)
+
+def _edge_pairs(shapes: DataFrame, areas: DataFrame) -> DataFrame:
+    """(key, admin_id, __shape, __area, boxes and __boxes) of pairs whose boxes meet. ``__boxes``: both are rectangles along the axes, which need no edges; the other pairs are dealt
+    over all tasks by their ids, since one pair may take long."""
+    met = box_pairs(_known(shapes, "key", "shape", True), _known(areas, "admin_id", "area", True), "__shape_box", "__area_box")
+    both = F.col("__shape_is_box") & F.col("__area_is_box")
+    hidden = {c: F.when(~F.col("__boxes"), F.col(c)) for c in ("__shape", "__area")}
+    met = met.withColumn("__boxes", both).withColumns(hidden).drop("__shape_is_box", "__area_is_box")
+    return met.repartition(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "admin_id")
 
 
 # Joins
 
 
+def _holding(points: DataFrame, areas: DataFrame, reach: float = 0.0) -> DataFrame:
+    """(key, x, y, admin_id, __area, __holds) of points and areas whose box meets the square of ``reach`` round them."""
+    p = points.select("key", "x", "y", _point_box(F.col("x"), F.col("y"), reach).alias("__point"))
+    met = box_pairs(p, _known(areas, "admin_id", "area"), "__point", "__area_box", left_extent=2 * reach)
+    x, y, box = F.col("x"), F.col("y"), F.col("__area_box")
+    in_box = x.between(box["min_x"], box["max_x"]) & y.between(box["min_y"], box["max_y"])
+    return met.withColumn("__holds", in_box & F.when(F.col("__area_is_box"), True).otherwise(edges_contain(F.col("__area"), x, y)))
+
+
 def containing_area(points: DataFrame, areas: DataFrame) -> DataFrame:
     """(key, admin_id): the area (admin_id, geom) of the smallest id that contains each point (key, x, y), borders included and holes not."""
-    p = points.select("key", "x", "y", _point_box(F.col("x"), F.col("y")).alias("__point"))
-    met = box_pairs(p, _areas(areas), "__point", "__area_box").where(polygon_contains(F.col("__area"), F.col("x"), F.col("y")))
-    return met.groupBy("key").agg(F.min("admin_id").alias("admin_id"))
+    return _holding(points, areas).where("__holds").groupBy("key").agg(F.min("admin_id").alias("admin_id"))
 
 
 def update_oaza(parcels: DataFrame, found: DataFrame) -> DataFrame:
@@ -164,20 +226,20 @@ def update_oaza(parcels: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def largest_overlap(shapes: DataFrame, areas: DataFrame) -> DataFrame:
-    """(key, admin_id, overlap): the area (admin_id, geom) that shares most with each convex shape (key, geom), such as the hull of a map;
-    the smallest id on ties; shapes that only touch do not count."""
-    a = shapes.select("key", F.col("geom").alias("__shape")).withColumn("__shape_box", polygon_box(F.col("__shape")))
-    met = box_pairs(a, _areas(areas), "__shape_box", "__area_box")
-    met = met.select("key", "admin_id", _on_pairs(overlap_area, DoubleType())("__shape", "__area").alias("overlap")).where("overlap > 0")
+    """(key, admin_id, overlap): the area (admin_id, geom) that shares most with each shape (key, geom); the smallest id on ties; shapes that only touch do not count.
+    Pairs without overlap go after the aggregation: a filter on a Python column would run it twice."""
+    met = _edge_pairs(shapes, areas)
+    p, q = F.col("__shape_box"), F.col("__area_box")
+    side = lambda a: F.least(p[f"max_{a}"], q[f"max_{a}"]) - F.greatest(p[f"min_{a}"], q[f"min_{a}"])
+    met = met.select("key", "admin_id", F.coalesce(F.when(F.col("__boxes"), side("x") * side("y")), _on_pairs(overlap_area, "double", "__shape", "__area")).alias("overlap"))
     best = met.groupBy("key").agg(F.min(F.struct((-F.round("overlap", 6)).alias("o"), "admin_id", "overlap")).alias("m"))
-    return best.select("key", "m.admin_id", "m.overlap")
+    return best.where("m.overlap > 0").select("key", "m.admin_id", "m.overlap")
 
 
 def meeting_pairs(shapes: DataFrame, areas: DataFrame) -> DataFrame:
     """(key, admin_id) of shapes (key, geom) and areas (admin_id, geom) that share a point, borders included."""
-    a = shapes.select("key", F.col("geom").alias("__shape")).withColumn("__shape_box", polygon_box(F.col("__shape")))
-    met = box_pairs(a, _areas(areas), "__shape_box", "__area_box")
-    return met.where(_on_pairs(polygons_meet, BooleanType())("__shape", "__area")).select("key", "admin_id")
+    meets = F.coalesce(_on_pairs(shapes_meet, "boolean", "__shape", "__area"), F.lit(False))
+    return _edge_pairs(shapes, areas).where(F.col("__boxes") | meets).select("key", "admin_id")
 
 
 def meeting(shapes: DataFrame, areas: DataFrame) -> DataFrame:
@@ -191,11 +253,9 @@ def meeting(shapes: DataFrame, areas: DataFrame) -> DataFrame:
 def locate(points: DataFrame, areas: DataFrame, tolerance: float) -> DataFrame:
     """(key, admin_id): the area that holds each point (key, x, y), else the nearest of those whose box meets the square of
     ``tolerance`` round it; the smallest id on ties, no row where there is none."""
-    p = points.select("key", "x", "y", _point_box(F.col("x"), F.col("y"), tolerance).alias("__point"))
-    met = box_pairs(p, _areas(areas), "__point", "__area_box")
-    holds = polygon_contains(F.col("__area"), F.col("x"), F.col("y"))
-    far = F.when(holds, 0.0).otherwise(point_distance(F.col("__area"), F.col("x"), F.col("y")))
-    return met.groupBy("key").agg(F.min(F.struct((~holds).alias("out"), far.alias("d"), "admin_id")).alias("m")).select("key", "m.admin_id")
+    met = _holding(points, areas, tolerance)
+    far = F.when(F.col("__holds"), 0.0).otherwise(edges_distance(F.col("__area"), F.col("x"), F.col("y")))
+    return met.groupBy("key").agg(F.min(F.struct((~F.col("__holds")).alias("out"), far.alias("d"), "admin_id")).alias("m")).select("key", "m.admin_id")
 
 
 def areas_by_name(areas: DataFrame) -> DataFrame:

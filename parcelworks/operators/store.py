@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelworks.functions.geom import from_wkt
+from parcelworks.functions.shapes import parse_wkt
 
 
 def ascii_lower(c: Column) -> Column:
@@ -96,7 +96,13 @@ def append_new(store: DataFrame, files: DataFrame) -> DataFrame:
     return store.unionByName(fresh.select(store.columns))
 
 
+def areas_from_wkt(rows: DataFrame, name_col: str, wkt_col: str = "wkt") -> DataFrame:
+    """(admin_id, name, geom, error) of rows with a name and a polygon or several as WKT; geom is a shape (``functions.shapes``), ids are hashes of both texts, so that reads agree. A text
+    that cannot be read leaves geom null and says why; rows without a name or a text are left out."""
+    named = rows.select(F.xxhash64(name_col, wkt_col).alias("admin_id"), F.col(name_col).alias("name"), F.col(wkt_col).alias("__wkt")).where("name IS NOT NULL AND __wkt IS NOT NULL")
+    return named.select("admin_id", "name", parse_wkt(F.col("__wkt")).alias("__p")).select("admin_id", "name", "__p.geom", "__p.error")
+
+
 def load_areas(spark, path: str, name_col: str, wkt_col: str = "wkt", kind: str = "parquet", **options: str) -> DataFrame:
-    """(admin_id, name, geom) of a layer with a name and polygons as WKT; ids are hashes of both, so that reads agree. Null names and shapes are left out."""
-    rows = spark.read.format(kind).options(**options).load(path)
-    return rows.select(F.xxhash64(name_col, wkt_col).alias("admin_id"), F.col(name_col).alias("name"), from_wkt(F.col(wkt_col)).alias("geom")).where("name IS NOT NULL AND geom IS NOT NULL")
+    """``areas_from_wkt`` of a layer in files that Spark reads. Joins pass over areas without a geom; ``where("error IS NOT NULL")`` lists them."""
+    return areas_from_wkt(spark.read.format(kind).options(**options).load(path), name_col, wkt_col)

@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SOURCES = {"meta": ("supplier", "nation"), "parcel": ("lineitem",), "lot": ("part",), "admin": ("nation",), "frame": ("supplier",), "xml_file": ("documents",), "ring": ("embeddings",), "sheet": ("part",)}
+SOURCES = {"meta": ("supplier", "nation"), "parcel": ("lineitem",), "lot": ("part",), "admin": ("nation",), "frame": ("supplier",), "xml_file": ("documents",), "ring": ("embeddings",), "sheet": ("part",), "layer": ("part",)}
+
+
+
+def _at(dx: int, dy: int, rest: str = "") -> str:
+    """SQL text of a point of ``layer``."""
+    return f"concat(cast(x + {dx} as string), ' ', cast(y + {dy} as string), '{rest}')"
+
+
+def _ring(x0: int, y0: int, x1: int, y1: int, rest: str = "") -> str:
+    return ", ', ', ".join(_at(dx, dy, rest) for dx, dy in ((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)))
+
 
 SQL = {
     "meta": """select cast(s_suppkey as bigint) as id,
@@ -51,6 +62,13 @@ SQL = {
  case when p_size % 2 = 0 then '測量成果' else '図上測量' end as coord_type,
  cast(p_retailprice as double) as x0, cast(p_partkey % 97 as double) as y0, cast(1 + p_size % 30 as double) as w, cast(2 + p_partkey % 7 as double) / 4 as h
  from part""",
+    "layer": f"""select layer_id, x, y, kind, concat('L', cast(layer_id as string)) as name, case kind when 0 then 'POLYGON EMPTY'
+  when 1 then concat('POLYGON((', {_ring(0, 0, 20, 10)}, '))') when 2 then concat('MULTIPOLYGON(((', {_ring(0, 0, 5, 5)}, ')), ((', {_ring(10, 10, 14, 14)}, ')))')
+  when 3 then concat('polygon z ((', {_ring(0, 0, 20, 20, " 5")}, '),(', {_ring(4, 4, 8, 8, " 5")}, '))')
+  when 4 then concat('POLYGON ((', {_at(0, 0)}, ', ', {_at(20, 0)}, ', ', {_at(20, 5)}, ', ', {_at(5, 5)}, ', ', {_at(5, 20)}, ', ', {_at(0, 20)}, '))')
+  when 5 then concat('POLYGON((', {_at(0, 0)}, ', ', {_at(1, 0)}, ' oops))') when 6 then concat('LINESTRING(', {_at(0, 0)}, ', ', {_at(1, 1)}, ')')
+  else concat('MULTIPOLYGON Z(((', {_ring(0, 0, 6, 6, " 1")}, '), (', {_ring(1, 1, 2, 2, " 1")}, ')), ((', {_ring(10, 0, 20, 6, " 1")}, '), (', {_ring(12, 1, 15, 3, " 1")}, ')))') end as wkt
+ from (select cast(p_partkey as bigint) as layer_id, cast(p_partkey % 40 as bigint) * 30 as x, cast(floor(p_partkey / 40) as bigint) * 30 as y, cast(p_partkey % 8 as bigint) as kind from part) p""",
     "xml_file": """select doc_id, concat('z', cast(doc_id % 20 as string), '.zip/d', cast(doc_id % 900 as string), '.xml') as source_name,
  text as content from documents""",
 }

@@ -755,4 +755,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # The other modules register their queries when they are imported.
-from parcelworks.plans import ingest_queries, more_queries  # noqa: E402,F401
+from parcelworks.plans import ingest_queries, more_queries, shape_queries  # noqa: E402,F401

@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parcelworks.functions import geom, zones
-from parcelworks.operators import match, spatial
+from parcelworks.functions import geom, shapes, zones
+from parcelworks.operators import match, spatial, store
+from parcelworks.sources import scratch
 
 SHAPE = "array<array<struct<x:double,y:double>>>"
 
@@ -89,6 +90,67 @@ def test_locate(areas, districts, spots):
     assert {k: v for k, v in got.items() if k < 1000} == {k: v for k, v in want.items() if k < 1000}
 
 
+def flat(rings):
+    """Edges of rings, a column each."""
+    return np.array([(*a, *b) for r in rings for a, b in zip(r, r[1:] + r[:1], strict=True)], float).reshape(-1, 4).T
+
+
+def test_overlap_of_shapes_that_are_not_convex():
+    bent = [(0, 0), (4, 0), (4, 1), (1, 1), (1, 4), (0, 4), (0, 0)]
+    around = [(-9, -9), (9, -9), (9, 9), (-9, 9), (-9, -9)]
+    assert abs(spatial.overlap_area(flat([bent]), flat([around])) - 7) < 1e-12
+    turned = [(4 - x, 4 - y) for x, y in bent]
+    assert abs(spatial.overlap_area(flat([bent]), flat([turned])) - 2) < 1e-12  # two corners
+    holed = [around, [(-1, -1), (2, -1), (2, 2), (-1, 2), (-1, -1)]]
+    assert abs(spatial.overlap_area(flat([bent]), flat(holed)) - 4) < 1e-12
+    assert abs(spatial.overlap_area(flat(holed), flat(holed)) - (324 - 9)) < 1e-9
+    bow = [(0, 0), (2, 2), (2, 0), (0, 2), (0, 0)]  # crosses itself
+    assert abs(spatial.overlap_area(flat([bow]), flat([around])) - 2) < 1e-12
+    assert spatial.overlap_area(flat([bent]), flat([[(4, 0), (5, 0), (5, 4), (4, 4)]])) == 0 == spatial.overlap_area(flat([]), flat([bent]))
+    far = [(x + 4e6, y - 5e6) for x, y in bent]
+    assert abs(spatial.overlap_area(flat([far]), flat([[(x + 4e6, y - 5e6) for x, y in turned]])) - 2) < 1e-6
+
+
+def test_overlap_of_stars_with_holes_and_parts():
+    """Against a grid of points, either way round, and in small runs of slabs."""
+    rng = random.Random(12)
+    shapes = []
+    for _ in range(12):
+        x, y = rng.uniform(10, 50), rng.uniform(10, 50)
+        outer, other = star(rng, x, y, 20), star(rng, x + 60, y, 12)
+        hole = [(x + (px - x) * 0.4, y + (py - y) * 0.4) for px, py in outer]
+        shapes.append([outer, hole, other])
+    grid = [(x + 0.5, y + 0.5) for x in range(-30, 140, 1) for y in range(-30, 90, 1)]
+    within = [np.array([inside(s, x, y) for x, y in grid]) for s in shapes]
+    for i in range(0, 12, 2):
+        for j in range(1, 12, 3):
+            a, b = flat(shapes[i]), flat(shapes[j])
+            exact = spatial.overlap_area(a, b)
+            assert abs(exact - (within[i] & within[j]).sum()) < 40
+            assert abs(exact - spatial.overlap_area(b, a)) < 1e-6 and abs(exact - spatial.overlap_area(a, b, cells=100)) < 1e-6
+
+
+def test_joins_on_shapes_of_several_parts(spark):
+    """A point, a lot and the largest overlap are found in the second part; polygons and shapes go together."""
+    parts = [[square(0, 0, 10), square(4, 4, 2)], [[(30.0, 0.0), (40.0, 0.0), (40.0, 2.0), (32.0, 2.0), (32.0, 10.0), (30.0, 10.0), (30.0, 0.0)]]]
+    areas = spark.createDataFrame([(1, parts), (2, [[square(36, 6, 9)]]), (3, []), (4, None)], f"admin_id long, geom array<{SHAPE}>")
+    points = spark.createDataFrame([(1, 5.0, 5.0), (2, 1.0, 5.0), (3, 31.0, 9.0), (4, 35.0, 5.0), (5, 40.0, 1.0), (6, 45.0, 8.0)], "key long, x double, y double")
+    assert {r.key: r.admin_id for r in spatial.containing_area(points, areas).collect()} == {2: 1, 3: 1, 5: 1, 6: 2}
+    assert {r.key: r.admin_id for r in spatial.locate(points, areas, 2.5).collect()} == {1: 1, 2: 1, 3: 1, 4: 2, 5: 1, 6: 2}
+    shapes = spark.createDataFrame([(1, [square(4.5, 4.5, 1)]), (2, [square(31, 1, 8)]), (3, [square(35, 3, 1)]), (4, [square(40, 2, 1)])], f"key long, geom {SHAPE}")
+    assert {(r.key, r.admin_id) for r in spatial.meeting_pairs(shapes, areas).collect()} == {(2, 1), (2, 2), (4, 1)}
+    # of the square of 8: two strips of the bent part, 8 + 7; 3 x 3 of the other area
+    assert [(r.key, r.admin_id, round(r.overlap, 9)) for r in spatial.largest_overlap(shapes, areas).collect()] == [(2, 1, 15.0)]
+    with pytest.raises(ValueError, match="neither"):
+        spatial.containing_area(points, areas.select("admin_id", F.lit("x").alias("geom")))
+
+
+def test_overlap_runs_its_function_once(spark, areas, districts):
+    frame = spark.createDataFrame([(i, p) for i, p in enumerate(areas)], f"key long, geom {SHAPE}")
+    plan = spatial.largest_overlap(frame, districts)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Repartition" in plan
+
+
 def test_overlap_by_counting(spark, areas, districts):
     """Clipped areas against a fine grid of points, and never more than either shape."""
     hull = [(20.0, 5.0), (60.0, 10.0), (70.0, 50.0), (40.0, 80.0), (5.0, 45.0), (20.0, 5.0)]
@@ -96,10 +158,9 @@ def test_overlap_by_counting(spark, areas, districts):
     sizes = {}
     for i, p in enumerate(areas):
         sizes[i] = sum(inside([hull], x, y) and inside(p, x, y) for x, y in grid) * 0.25
-    tuples = lambda p: [[{"x": x, "y": y} for x, y in r] for r in p]
     for i, p in enumerate(areas):
-        exact = spatial.overlap_area(tuples([hull]), tuples(p))
-        assert abs(exact - sizes[i]) < 20 and abs(exact - spatial.overlap_area(tuples([hull[::-1]]), tuples(p))) < 1e-9
+        exact = spatial.overlap_area(flat([hull]), flat(p))
+        assert abs(exact - sizes[i]) < 20 and abs(exact - spatial.overlap_area(flat([hull[::-1]]), flat(p))) < 1e-9
     best = spatial.largest_overlap(spark.createDataFrame([("h", [hull]), ("away", [square(9000, 9000, 1)])], f"key string, geom {SHAPE}"), districts).collect()
     assert [(r.key, r.admin_id) for r in best] == [("h", max(sizes, key=lambda i: sizes[i]))]
 
@@ -230,3 +291,50 @@ def test_lot_numbers_of_any_type(spark):
     rows = [(1, 12.0, 3), (2, 0.0, 0), (3, None, None), (4, 12.5, 7)]
     out = match.lot_numbers(spark.createDataFrame(rows, "lot_id long, parent_no double, branch_no int")).orderBy("lot_id").collect()
     assert [(r.parent_no, r.branch_no) for r in out] == [("12", "3"), ("", ""), ("", ""), ("12.5", "7")]
+
+
+def test_wkt_of_all_kinds(spark):
+    """Polygons and shapes in every spelling; what cannot be read says why and ends no job."""
+    good = {
+        "POLYGON((0 0, 4 0, 4 4, 0 4, 0 0))": (1, 16.0), "polygon z ((0 0 5,4 0 5,4 4 5,0 0 5),(1 0.5 2, 2 0.5 2, 2 1.5 2))": (1, 7.5), "MULTIPOLYGON EMPTY": (0, 0.0), " POLYGON  EMPTY ": (0, 0.0),
+        "SRID=4326;MULTIPOLYGON ( ( ( 0 0 , 1e3 0, -1.5E-2 1 , 0 0 ) ) )": (1, 500.0), "POLYGON ZM((0 0 1 2,\n1 1 2 3,\t1 0 2 2))": (1, 0.5), "MULTIPOLYGON(((0 0,1 0,1 1,0 0)),((5 5,7 5,7 7,5 5),(6 5.5, 6.5 5.5, 6.5 6)))": (2, 2.375),
+        "POLYGON((" + ", ".join(f"{i} {i * i}" for i in range(20000)) + "))": (1, None),
+    }
+    bad = ["", "POLYGON((0 0, 1 x, 2 2))", "POLYGON((0 0, 1 1))", "LINESTRING(0 0,1 1)", "POLYGON((0 0, 1 1, 1 0)", "POLYGON(0 0, 1 1, 1 0)", "MULTIPOLYGON((0 0,1 1, 1 0))", "POLYGON((0 0, 1 1e999, 1 0))",
+           "POLYGON((0 0,1 1,1 0)),((2 2,3 3,4 4))", "POLYGON((0 0,1 1,1 0) (2 2,3 3,4 4))", "POLYGON((0 0 1 2 3,1 1,1 0))", "GEOMETRYCOLLECTION(POLYGON((0 0,1 1,1 0)))"]
+    rows = spark.createDataFrame([(t,) for t in [*good, *bad, None]], "t string").withColumn("p", shapes.parse_wkt(F.col("t")))
+    got = {r.t: r for r in rows.select("t", F.size("p.geom").alias("n"), "p.error", shapes.shape_area(F.col("p.geom")).alias("a"), geom.from_wkt(F.col("t")).isNull().alias("none")).collect()}
+    for text, (n, area) in good.items():
+        assert got[text].error is None and got[text].n == n and (area is None or abs(got[text].a - area) < 1e-9) and got[text].none == (n != 1)
+    assert all(got[t].error and got[t].n is None and got[t].none for t in bad)
+    assert got[None].error is None and got[None].n is None
+
+
+def test_layer_of_areas_keeps_its_errors(spark, tmp_path):
+    rows = [("a", "POLYGON((0 0, 2 0, 2 2, 0 0))"), ("b", "POLYGON((0 0"), (None, "POLYGON EMPTY"), ("c", None), ("d", "MULTIPOLYGON EMPTY")]
+    spark.createDataFrame(rows, "S_NAME string, wkt string").write.parquet(f"{tmp_path}/layer")
+    areas = store.load_areas(spark, f"{tmp_path}/layer", "S_NAME")
+    assert {(r.name, None if r.geom is None else len(r.geom), r.error is None) for r in areas.collect()} == {("a", 1, True), ("b", None, False), ("d", 0, True)}
+    points = spark.createDataFrame([(1, 1.5, 1.0), (2, 9.0, 9.0)], "key long, x double, y double")
+    assert [r.key for r in spatial.containing_area(points, areas).collect()] == [1]
+
+
+def test_rectangles_are_told_from_other_shapes(spark):
+    made = [([square(0, 0, 3)], True), ([square(0, 0, 3)[::-1]], True), ([square(0, 0, 3)[:4]], True), ([square(0, 0, 3), square(1, 1, 1)], False), ([[(0.0, 0.0), (3.0, 3.0), (3.0, 0.0), (0.0, 3.0)]], False),
+            ([[(0.0, 0.0), (3.0, 0.0), (0.0, 0.0), (0.0, 3.0), (0.0, 0.0)]], False), ([[(0.0, 0.0), (3.0, 0.0), (3.0, 3.0), (0.0, 0.0)]], False), ([[(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 3.0), (0.0, 0.0)]], False), ([], False)]
+    frame = spark.createDataFrame([(i, p) for i, (p, _) in enumerate(made)], f"i long, g {SHAPE}")
+    got = {r.i: r.b for r in frame.select("i", shapes.is_box(shapes.as_shape(frame, "g")).alias("b")).collect()}
+    assert got == {i: box for i, (_, box) in enumerate(made)}
+
+
+def test_scratch_tables_go_with_their_scope(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "shared_dir", lambda _: f"file://{tmp_path}")
+    folders = lambda: [p.name for p in tmp_path.iterdir()]
+    with scratch.scope(spark):
+        table = scratch.written(spark.range(10), "ten")
+        assert table.count() == 10 and len(folders()) == 1
+    assert not folders()
+    kept = scratch.written(spark.range(3), "three")
+    assert kept.count() == 3
+    scratch.drop(kept)
+    assert not folders()

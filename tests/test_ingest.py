@@ -157,4 +157,4 @@ def test_import_skips_content_label_and_name(spark, tmp_path):
 def test_layer_of_polygons(spark, tmp_path):
     spark.createDataFrame([("雲見", "POLYGON((0 0, 2 0, 2 2, 0 2, 0 0))"), (None, "POLYGON((0 0, 1 0, 1 1, 0 0))"), ("x", None)], "S_NAME string, wkt string").write.parquet(f"{tmp_path}/layer")
     rows = store.load_areas(spark, f"{tmp_path}/layer", "S_NAME").collect()
-    assert [(r.name, len(r.geom[0])) for r in rows] == [("雲見", 5)]
+    assert [(r.name, len(r.geom[0][0])) for r in rows] == [("雲見", 5)]
