@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from parcelworks.functions.geom import polygon_box
 from parcelworks.operators import assemble
 from parcelworks.plans.fixtures import map_files
-from parcelworks.plans.registry import file_query
+from parcelworks.plans.registry import file_query, query
 from parcelworks.sources.archives import parse_maps
+from parcelworks.streaming.incremental import decide
 
 _HOLED, _INDIRECT = "CAST(y0 AS BIGINT) % 5 = 0", "CAST(y0 AS BIGINT) % 2 = 0"
 _ROWS = "SELECT file_name AS source_name, * EXCLUDE (file_name) FROM sheet"
@@ -96,3 +97,16 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     hulls = assemble.map_hulls(_parsed(spark, sf_dir)).withColumn("box", polygon_box(F.col("geom")))
     return hulls.select("source_name", *[F.round(F.col(f"box.{c}"), 4).alias(c) for c in ("min_x", "min_y", "max_x", "max_y")])
+
+
+@query(
+    "t1_file_fates",
+    "xml_file",
+    """, k AS (SELECT DISTINCT source_name, sha256(content) AS xml_sha256 FROM xml_file WHERE doc_id % 3 = 0), f AS (SELECT DISTINCT source_name, sha256(content) AS xml_sha256 FROM xml_file WHERE doc_id % 3 <> 0),
+    open AS (SELECT * FROM f WHERE xml_sha256 NOT IN (SELECT xml_sha256 FROM k) AND source_name NOT IN (SELECT source_name FROM k) AND regexp_extract(source_name, '[^/]*$') NOT IN (SELECT source_name FROM k)),
+    one AS (SELECT * FROM open QUALIFY row_number() OVER (PARTITION BY xml_sha256 ORDER BY source_name) = 1), two AS (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY source_name ORDER BY xml_sha256) = 1)
+    SELECT source_name, xml_sha256, CASE WHEN (source_name, xml_sha256) IN (SELECT (source_name, xml_sha256) FROM two) THEN 'new' ELSE 'known' END AS status FROM f""",
+)
+def _(xml_file):
+    files = xml_file.withColumn("xml_sha256", F.sha2(F.col("content").cast("binary"), 256))
+    return decide(files.where("doc_id % 3 <> 0"), files.where("doc_id % 3 = 0"))

@@ -11,7 +11,7 @@ from xml.etree import ElementTree
 from xml.parsers import expat
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Limits of one archive: entries, and bytes it may hold when inflated.
@@ -68,12 +68,17 @@ def expand_archives(archives: DataFrame, on_bad_inner: str = "fail") -> DataFram
     return archives.select("archive", "content").mapInArrow(expand, "archive string, source_name string, content binary, error string")
 
 
+def relative_to(folder: str) -> Column:
+    """The column ``path`` of files below ``folder``, from there on. Both are taken literally, apart from a scheme in front."""
+    bare = lambda c: F.regexp_replace(c, "^[A-Za-z][A-Za-z0-9+.-]*:/*|^/+", "")
+    whole, root = bare(F.col("path")), bare(F.lit(folder.rstrip("/") + "/"))
+    return F.when(F.startswith(whole, root), F.substring(whole, F.char_length(root) + 1, F.char_length(whole))).otherwise(whole)
+
+
 def read_directory(spark: SparkSession, path: str, pattern: str = "*.xml", recursive: bool = True) -> DataFrame:
     """(source_name, content) of the files below ``path``; the label is the path from there."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path)
-    root = path.rstrip("/").split(":")[-1].lstrip("/")
-    label = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", ""), f"^{root}/", "")
-    return files.select(label.alias("source_name"), "content")
+    return files.select(relative_to(path).alias("source_name"), "content")
 
 
 #: Name spaces, and the tags of header and parcel fields.

@@ -5,11 +5,12 @@ import zipfile
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from parcelworks.operators import assemble, stats, store
-from parcelworks.sources.archives import expand_archives, parse_maps
-from parcelworks.streaming.incremental import import_new, statuses, stored
+from parcelworks.sources.archives import expand_archives, parse_maps, read_directory
+from parcelworks.streaming.incremental import import_new, imported, statuses, stored
 
 DIRECT = "<zmn:GM_PointArray.column><zmn:GM_Position.direct><zmn:X>{}</zmn:X><zmn:Y>{}</zmn:Y></zmn:GM_Position.direct></zmn:GM_PointArray.column>"
 POINT = '<zmn:GM_PointArray.column><zmn:GM_Position.indirect><zmn:GM_PointRef.point idref="{}"/></zmn:GM_Position.indirect></zmn:GM_PointArray.column>'
@@ -154,6 +155,49 @@ def test_import_skips_content_label_and_name(spark, tmp_path):
     assert sorted(r.source_name for r in batch.collect()) == sorted(r.source_name for r in known.collect())
 
 
+def test_import_parses_and_survives_a_failure(spark, tmp_path, monkeypatch):
+    """Folders with odd names; a run that fails after each of its writes leaves what a run without failures does."""
+    square = document(curve("C", (0, 0), (0, 7), (3, 7), (3, 0)), surface("F", ["C"]), parcel("H", "F"))
+
+    def read(at, name):
+        rows = imported(spark, f"{at}/tables", name)
+        return sorted(map(str, rows.select("source_name", *(["fude_id", "area_sqm"] if name == "parcels" else ["map_name", "fude_count"])).collect()))
+
+    ends = []
+    for fail_after in (None, 0, 1, 2, 3):
+        at = tmp_path / f"in+box (1) %41 {fail_after}"
+        (at / "in" / "sub $").mkdir(parents=True)
+        (at / "in" / "a.xml").write_bytes(square)
+        (at / "in" / "sub $" / "b.xml").write_bytes(square)
+        (at / "in" / "broken.xml").write_bytes(b"<broken")
+        writes = []
+
+        def failing(self, path, *a, _original=DataFrameWriter.parquet, _after=fail_after, _writes=writes, **k):
+            if "/batch=" in path and _after is not None:
+                if len(_writes) == _after:
+                    _writes.append("failed")
+                    raise OSError("lost")
+                _writes.append(path)
+            return _original(self, path, *a, **k)
+
+        go = lambda at=at: import_new(spark, f"{at}/in", f"{at}/store", f"{at}/state", status=f"{at}/status", tables=f"{at}/tables", recursive=True)
+        if fail_after is not None:
+            with monkeypatch.context() as m, pytest.raises(Exception, match="lost"):
+                m.setattr(DataFrameWriter, "parquet", failing)
+                go()
+            assert "failed" in writes
+        go()
+        (at / "in" / "c.xml").write_bytes(HARD)
+        (at / "in" / "again.xml").write_bytes(b"<broken")
+        go()
+        fates = sorted((r.source_name, r.status, r.error is not None) for r in statuses(spark, f"{at}/status").collect())
+        ends.append((sorted((r.source_name, bytes(r.content)) for r in stored(spark, f"{at}/store").collect()), fates, read(at, "maps"), read(at, "parcels")))
+        assert len(read_directory(spark, f"{at}/in").where("source_name IN ('a.xml', 'c.xml')").collect()) == 2
+    assert ends[0][1] == [("a.xml", "imported", False), ("again.xml", "failed", True), ("broken.xml", "failed", True), ("c.xml", "imported", False), ("sub $/b.xml", "known", False)]
+    assert [n for n, _ in ends[0][0]] == ["a.xml", "c.xml"] and len(ends[0][2]) == 2 and len(ends[0][3]) == 5
+    assert all(end == ends[0] for end in ends)
+
+
 def test_layer_of_polygons(spark, tmp_path):
     spark.createDataFrame([("雲見", "POLYGON((0 0, 2 0, 2 2, 0 2, 0 0))"), (None, "POLYGON((0 0, 1 0, 1 1, 0 0))"), ("x", None)], "S_NAME string, wkt string").write.parquet(f"{tmp_path}/layer")
     rows = store.load_areas(spark, f"{tmp_path}/layer", "S_NAME").collect()
