@@ -12,6 +12,13 @@ from parcelworks.llm.hnsw import Hnsw, near_links
 from parcelworks.llm.shared import NO_ID, stash, table
 
 
+def _scaled(vectors: pd.Series) -> np.ndarray:
+    """Vectors, each times the power of two that brings its largest component between a half and one: squares neither overflow nor vanish, and
+    ordinary values keep all their digits, so their cosines stay what they are."""
+    x = np.stack(vectors.to_numpy()).astype("<f8")
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+
+
 def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a @ b.T) / np.outer(np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1)))
 
@@ -23,7 +30,7 @@ def _unit(data: bytes, rows: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _build(part: pd.DataFrame) -> pd.DataFrame:
     part = part.sort_values(["__rep", "__h1", "__h2"], kind="stable")
-    x = np.stack(part["__vec"].to_numpy()).astype("<f8")
+    x = _scaled(part["__vec"])
     graph = Hnsw(x / np.sqrt((x * x).sum(1))[:, None]).to_bytes()
     first = part.iloc[0]
     return pd.DataFrame([(first["__label"], first["__dim"], first["__shard"], len(part), part["__node"].to_numpy("<i8").tobytes(), x.tobytes(), graph)], columns=["label", "dim", "shard", "rows", "reps", "vectors", "graph"])
@@ -56,7 +63,7 @@ def _searcher(threshold: float, beam: int, audits: int):
 
 def _counter(threshold: float):
     def count(group: pd.DataFrame) -> pd.DataFrame:
-        x, n = np.stack(group["__vec"].to_numpy()).astype(float), group["__n"].to_numpy(float)
+        x, n = _scaled(group["__vec"]), group["__n"].to_numpy(float)
         own, i, j = group["__p"].to_numpy(), group["__i"].iloc[0], group["__j"].iloc[0]
         links = np.zeros(len(x))
         for low in range(0, len(x), 1024):
@@ -94,7 +101,7 @@ def link_embeddings(
     grow with the square of their number. ``audit_recall`` is what the audits of the row's label found of the links and ten
     nearest neighbours they looked for (null without a label, or without vectors).
 
-    Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and vectors with a
+    Columns of ``rows`` whose names begin with ``__`` are not read. Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and vectors with a
     null label, link with nothing: n_links 0, their own component. Vectors of other length never link. Rows of
     one id and equal vectors link with each other like any; rows of one id with other vectors share a
     component. A null id names a component only where nothing else does (null then). Extra columns are ignored.

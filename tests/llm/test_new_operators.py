@@ -241,3 +241,17 @@ def test_op12_counts_all_documents(spark, vocabulary):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     want = sorted((r.doc_id, len(r.text.encode()), n := len(library.encode(r.text, add_special_tokens=False).ids), n > 512) for r in docs)
     assert sorted(tuple(r) for r in entry.QUERIES["op12_token_counts"](spark, sf_dir).collect()) == want
+
+
+# Embedding near-dedup
+
+
+def test_very_large_and_very_small_vectors_link(spark):
+    """Parallel vectors of any size are one group; nearly opposite or orthogonal ones are none of it."""
+    from parcelworks.llm import embedding_dedup
+
+    sizes = [1.0, 1e200, 1e-200, 1.7e308, 5e-324]
+    rows = [(i + 1, [s, s], 1) for i, s in enumerate(sizes)] + [(8, [-1e200, 1e200], 1), (9, [1e300, 1e-300], 1), (10, [1e-310, 0.0], 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.link_embeddings(frame).collect()}
+    assert got == {i: (4, 1, i == 1) for i in range(1, 6)} | {8: (0, 8, True), 9: (1, 9, True), 10: (1, 9, False)}
