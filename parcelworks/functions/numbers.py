@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from parcelworks.functions.bind import let
+
 #: Fixed values.
 FULL_DIGITS, DIGITS = "０１２３４５６７８９", "0123456789"
 SUFFIXES = r"(X[(（]\p{Nd}+/\p{Nd}+[)）]|W\p{Nd}+|V\p{Nd}+|-内)+$"
@@ -16,15 +18,22 @@ def normalize_number(s: Column) -> Column:
     return F.lower(F.translate(s, FULL_DIGITS + "番号の-－ー", DIGITS))
 
 
+def whole_number(digits: Column) -> Column:
+    """A sort key (size, digits) of ASCII digits as a number of any length: without zeros in front, shorter ones come first."""
+    return let({"d": F.regexp_replace(digits, "^0+(?=[0-9])", "")}, lambda v: F.struct(F.length(v["d"]).alias("size"), v["d"].alias("digits")))
+
+
 def natural_key(s: Column) -> Column:
-    """Sort key, an array of (class, number, rest): parts that begin with digits come first, by number."""
+    """Sort key, an array of (class, number, rest): parts that begin with digits come first, by number, whatever its length."""
+
+    def part(p: Column) -> Column:
+        numeric = F.struct(F.lit(0).alias("c"), whole_number(p["d"]).alias("n"), F.substring(p["p"], F.length(p["d"]) + 1, F.length(p["p"])).alias("r"))
+        other = F.struct(F.lit(1).alias("c"), F.struct(F.lit(1).alias("size"), F.lit("0").alias("digits")).alias("n"), p["p"].alias("r"))
+        return F.when(p["d"] != "", numeric).otherwise(other)
+
     digits = lambda p: F.regexp_extract(F.translate(p, FULL_DIGITS, DIGITS), r"^([0-9]+)", 1)
-    return F.transform(
-        F.split(F.coalesce(s, F.lit("")), SEPARATORS),
-        lambda p: F.when(digits(p) != "", F.struct(F.lit(0).alias("c"), digits(p).try_cast("bigint").alias("n"), F.substring(p, F.length(digits(p)) + 1, F.length(p)).alias("r"))).otherwise(
-            F.struct(F.lit(1).alias("c"), F.lit(0).cast("bigint").alias("n"), p.alias("r"))
-        ),
-    )
+    parts = F.transform(F.split(F.coalesce(s, F.lit("")), SEPARATORS), lambda p: F.struct(p.alias("p"), digits(p).alias("d")))
+    return F.transform(parts, part)
 
 
 def strip_suffixes(s: Column) -> Column:

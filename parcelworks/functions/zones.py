@@ -116,12 +116,36 @@ def change_zone(x: Column, y: Column, old: Column, new: Column) -> Column:
     return let({"p": from_zone(x, y, old), "new": new}, lambda v: to_zone(v["p"]["longitude"], v["p"]["latitude"], v["new"]))
 
 
-def change_box(box: Column, old: Column, new: Column) -> Column:
-    """The box (min_x, ...) in another zone that holds a box's corners."""
-    corners = [change_zone(box[a], box[b], old, new) for a in ("min_x", "max_x") for b in ("min_y", "max_y")]
-
-    def ends(v: Column) -> Column:
-        x, y = F.transform(v["c"], lambda p: p["x"]), F.transform(v["c"], lambda p: p["y"])
-        return F.struct(F.array_min(x).alias("min_x"), F.array_min(y).alias("min_y"), F.array_max(x).alias("max_x"), F.array_max(y).alias("max_y"))
-
-    return let({"c": F.array(*corners)}, ends)
+def change_box(box: Column, old: Column, new: Column, points: int = 32, rounds: int = 3) -> Column:
+    """The box (min_x, ...) in another zone that holds all of a box, whose edges are bent there. The outermost points lie on the edges: of ``points`` places an edge the outermost in each direction is
+    taken, then that many between its neighbours, and so on for ``rounds``; what may still lie beyond is less than a billionth of the box's size, which is added."""
+
+    def moved(places: Column) -> Column:
+        """Points of the edges in the new zone; places 0 to 4 run round the box."""
+
+        def one(t: Column) -> Column:
+            side, f = F.floor(t) % 4, t - F.floor(t)
+            x = F.when(side == 0, box["min_x"] + f * (box["max_x"] - box["min_x"])).when(side == 1, box["max_x"]).when(side == 2, box["max_x"] - f * (box["max_x"] - box["min_x"])).otherwise(box["min_x"])
+            y = F.when(side == 0, box["min_y"]).when(side == 1, box["min_y"] + f * (box["max_y"] - box["min_y"])).when(side == 2, box["max_y"]).otherwise(box["max_y"] - f * (box["max_y"] - box["min_y"]))
+            return let({"p": change_zone(x, y, old, new)}, lambda v: F.struct(v["p"]["x"].alias("x"), v["p"]["y"].alias("y"), t.alias("t")))
+
+        return F.transform(places, one)
+
+    def outermost(found: Column) -> Column:
+        """The points of least and greatest x and y."""
+        by = lambda c, sign: F.array_min(F.transform(found, lambda p: F.struct((sign * p[c]).alias("v"), p["x"].alias("x"), p["y"].alias("y"), p["t"].alias("t"))))
+        return F.array(by("x", 1), by("x", -1), by("y", 1), by("y", -1))
+
+    best = outermost(moved(F.transform(F.sequence(F.lit(0), F.lit(4 * points - 1)), lambda i: i / F.lit(float(points)))))
+    width = 1.0 / points
+    for _ in range(rounds - 1):
+        near = lambda b: F.transform(F.sequence(F.lit(-points), F.lit(points)), lambda i: F.pmod(b["t"] + i * F.lit(width / points), F.lit(4.0)))  # noqa: E731, B023
+        best = let({"b": best}, lambda v: outermost(F.concat(moved(F.flatten(F.transform(v["b"], lambda b: near(b)))), F.transform(v["b"], lambda b: F.struct(b["x"].alias("x"), b["y"].alias("y"), b["t"].alias("t"))))))  # noqa: B023
+        width /= points
+
+    def wide(v: Column) -> Column:
+        b = v["b"]
+        pad = 1e-9 * (F.get(b, F.lit(1))["x"] - F.get(b, F.lit(0))["x"] + F.get(b, F.lit(3))["y"] - F.get(b, F.lit(2))["y"])
+        return F.struct((F.get(b, F.lit(0))["x"] - pad).alias("min_x"), (F.get(b, F.lit(2))["y"] - pad).alias("min_y"), (F.get(b, F.lit(1))["x"] + pad).alias("max_x"), (F.get(b, F.lit(3))["y"] + pad).alias("max_y"))
+
+    return let({"b": best}, wide)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelworks.functions.maps import effective_scale, estimated_area, is_arbitrary, normalize_municipality
-from parcelworks.functions.numbers import branch_of, joined_number, match_level, parent_of
+from parcelworks.functions.numbers import branch_of, joined_number, match_level, parent_of, whole_number
 from parcelworks.operators import spatial
 
 LEVELS = ("exact", "parent", "near")
@@ -208,10 +208,12 @@ def municipality_matches(names: DataFrame, references: DataFrame) -> DataFrame:
 def export_names(parcels: DataFrame, clicked: DataFrame | None = None) -> DataFrame:
     """(xml_meta_id, oaza_name, export_name): the youngest number of each set names it; a set of parcels without numbers is named by its
     district alone; ``clicked`` (xml_meta_id, oaza_name, chiban) names the sets that it holds by their number as it is."""
-    parent, branch = parent_of(F.col("chiban")), branch_of(F.col("chiban"))
-    number = lambda c, other: F.when(c.rlike(r"^[0-9]+$"), c.try_cast("bigint")).otherwise(F.lit(other).cast("bigint"))
-    young = F.struct(number(parent, 999999).alias("p"), number(branch, -1).alias("b"), F.col("chiban").alias("c"), parent.alias("parent"), branch.alias("branch"))
-    sets = parcels.groupBy("xml_meta_id", "oaza_name").agg(F.min(F.when(F.col("chiban").isNotNull(), young)).alias("y"), F.count("chiban").alias("n"))
+    fixed = lambda size, digits: F.struct(F.lit(size).alias("size"), F.lit(digits).alias("digits"))
+    number = lambda c, other: F.when(F.col(c).rlike(r"^[0-9]+$"), whole_number(F.col(c))).otherwise(other)
+    rows = parcels.select("xml_meta_id", "oaza_name", "chiban", parent_of(F.col("chiban")).alias("parent"), branch_of(F.col("chiban")).alias("branch"))
+    young = F.struct(number("parent", fixed(6, "999999")).alias("p"), number("branch", fixed(0, "")).alias("b"), F.col("chiban").alias("c"), "parent", "branch")
+    rows = rows.select("xml_meta_id", "oaza_name", "chiban", F.when(F.col("chiban").isNotNull(), young).alias("young"))
+    sets = rows.groupBy("xml_meta_id", "oaza_name").agg(F.min("young").alias("y"), F.count("chiban").alias("n"))
     many = F.concat("oaza_name", F.lit("_"), joined_number(F.col("y.parent"), F.col("y.branch")), F.lit("他"))
     name = F.when(F.col("n") == 0, F.col("oaza_name")).when(F.col("n") == 1, F.concat("oaza_name", F.lit("_"), F.col("y.c"))).otherwise(many)
     if clicked is None:

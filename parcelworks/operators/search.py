@@ -1,16 +1,20 @@
-"""Searches and suggestions on parcel numbers."""
+"""Searches, suggestions and orders of parcel numbers; an index of the numbers' n-grams."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcelworks.functions.numbers import natural_key
 from parcelworks.operators.store import ascii_lower
+from parcelworks.sources.scratch import written
+
+#: Longest gram of the index; shorter texts are looked up by grams of their own length.
+GRAM = 3
 
 
 def search_numbers(parcels: DataFrame, query: str, oaza: str | None = None, limit: int = 50) -> DataFrame:
-    """At most ``limit`` parcels whose number contains ``query``, by district, number, map and id; an empty query finds none."""
+    """At most ``limit`` parcels whose number contains ``query``, by district, number, map and id; an empty query finds none. Scans the table; ``search_index`` does not."""
     found = parcels.where(F.lit(query != "") & F.contains(ascii_lower(F.col("chiban")), ascii_lower(F.lit(query))))
     if oaza is not None:
         found = found.where(F.col("oaza_name") == oaza)
@@ -24,30 +28,101 @@ def suggestions(parcels: DataFrame, prefix: str, limit: int = 10) -> DataFrame:
     return first.orderBy("oaza_name", natural_key(F.col("chiban")), "chiban").limit(limit)
 
 
+def positions(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """``rows`` with ``n``, their place from 1 by ``order`` inside each ``group`` (the whole table if there is none); rows must differ in these columns.
+
+    No task holds a group: rows are dealt by ranges of (group, order) into partitions, counted there, and a partition's places begin after all rows of the partitions before it. A group's first place
+    is then taken off its rows. Only the window over one row a partition is a single task."""
+    ranges = [*group, *order]
+    dealt = rows.repartitionByRange(*ranges).withColumn("__part", F.spark_partition_id())
+    dealt = written(dealt, "ranges")  # a row's partition is fixed from here on
+    sizes = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
+    before = sizes.select("__part", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    placed = dealt.withColumn("__in", F.row_number().over(Window.partitionBy("__part").orderBy(*ranges))).join(before, "__part").withColumn("n", F.col("__before") + F.col("__in"))
+    if group:
+        first = placed.groupBy(*group).agg(F.min("n").alias("__first"))
+        same = [F.col(f"__p.{c}").eqNullSafe(F.col(f"__f.{c}")) for c in group]
+        on = same[0]
+        for more in same[1:]:
+            on = on & more
+        placed = placed.alias("__p").join(first.alias("__f"), on).select("__p.*", "__first").withColumn("n", F.col("n") - F.col("__first") + 1).drop("__first")
+    return placed.withColumn("n", F.col("n").cast("long")).drop("__part", "__before", "__in")
+
+
 def natural_order(parcels: DataFrame) -> DataFrame:
-    """(xml_meta_id, chiban, n): the place of each distinct number in its map, in natural order. A window holds one map."""
-    by_map = Window.partitionBy("xml_meta_id").orderBy(natural_key(F.col("chiban")), "chiban")
-    return parcels.select("xml_meta_id", "chiban").distinct().withColumn("n", F.row_number().over(by_map))
+    """(xml_meta_id, chiban, n): the place of each distinct number in its map, in natural order."""
+    numbers = parcels.select("xml_meta_id", "chiban").distinct().withColumn("__key", natural_key(F.col("chiban")))
+    return positions(numbers, ["xml_meta_id"], ["__key", "chiban"]).select("xml_meta_id", "chiban", "n")
+
+
+# An inverted index of n-grams
+
+
+def _grams(text: Column, size: Column | int) -> Column:
+    """Distinct runs of ``size`` signs of a text, none if it is shorter."""
+    n = F.lit(size) if isinstance(size, int) else size
+    count = F.length(text) - n + 1
+    return F.when(count > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), count), lambda i: F.substring(text, i, n)))).otherwise(F.array().cast("array<string>"))
+
+
+def postings(numbers: DataFrame) -> DataFrame:
+    """(gram, number) of all grams of one to ``GRAM`` signs of each row of ``numbers`` (number, lower case)."""
+    every = F.flatten(F.array(*[_grams(F.col("number"), n) for n in range(1, GRAM + 1)]))
+    return numbers.select(F.explode(every).alias("gram"), "number")
+
+
+def _bucket(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def write_number_index(parcels: DataFrame, path: str, *columns: str, buckets: int = 64) -> None:
+    """Writes an index of the parcels' numbers: ``path``/postings (gram, number) and ``path``/rows (number, chiban, ``columns``), both in folders by a hash of their first
+    column and sorted by it, so that a search reads a few row groups. A folder's rows are spread over files by the other column, so a common gram is no large file."""
+    rows = parcels.select(ascii_lower(F.col("chiban")).alias("number"), "chiban", *columns).where("number <> ''")
+    found = postings(rows.select("number").distinct())
+    for table, key, name in ((found, "gram", "postings"), (rows, "number", "rows")):
+        dealt = table.withColumn("bucket", _bucket(F.col(key), buckets))
+        # AQE splits what a common key makes large
+        dealt.hint("rebalance", "bucket").sortWithinPartitions("bucket", key).write.partitionBy("bucket").parquet(f"{path}/{name}")
+    parcels.sparkSession.range(1).select(F.lit(buckets).alias("buckets")).coalesce(1).write.parquet(f"{path}/size")
+
+
+def search_index(spark: SparkSession, path: str, text: str) -> DataFrame:
+    """Rows of an index whose number contains ``text`` (ASCII case aside); an empty text finds none. Postings of the text's grams are read, and the numbers that have all of them compared with
+    the text; rows are then read by number. No other folder, and of the folders no other row group, is touched."""
+    lower = text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    size = min(len(lower), GRAM)
+    grams = sorted({lower[i : i + size] for i in range(len(lower) - size + 1)}) if lower else []
+    buckets = spark.read.parquet(f"{path}/size").first().buckets
+    asked = [r.b for r in spark.createDataFrame([(g,) for g in grams], "gram string").select(_bucket(F.col("gram"), buckets).alias("b")).distinct().collect()]  # a few grams of one text
+    lists = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(asked) & F.col("gram").isin(grams))
+    hits = lists.groupBy("number").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") == len(grams)) & F.contains("number", F.lit(lower)))
+    hits = hits.select("number", _bucket(F.col("number"), buckets).alias("bucket"))
+    return spark.read.parquet(f"{path}/rows").join(hits, ["bucket", "number"], "left_semi").drop("bucket", "number")
 
 
-def first_hits(parcels: DataFrame, texts: DataFrame) -> DataFrame:
-    """(query, xml_meta_id, fude_id): for each query text, the first map and parcel whose number contains it. The
-    query table is joined by containment, so it should be small; Spark broadcasts it if it is."""
-    hits = parcels.join(texts, F.contains(parcels["chiban"], texts["query"]))
-    return hits.groupBy("query").agg(F.min(F.struct("xml_meta_id", "fude_id")).alias("m")).select("query", "m.xml_meta_id", "m.fude_id")
+def texts_in_numbers(numbers: DataFrame, texts: DataFrame) -> DataFrame:
+    """(text, number) of all ``texts`` (text) that ``numbers`` (number, distinct) contain. A text meets the numbers that hold the rarest of its grams, and is then compared: an equi-join,
+    whose hot grams AQE splits, and never of all numbers with all texts. Both in lower case; an empty text is in none."""
+    lists = written(postings(numbers), "postings")
+    size = F.least(F.length("text"), F.lit(GRAM))
+    grams = texts.where("text <> ''").select("text", F.explode(_grams(F.col("text"), size)).alias("gram"))
+    counts = lists.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = grams.join(counts, "gram", "left").groupBy("text").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("m"))
+    rarest = rarest.where("m.n > 0").select("text", "m.gram")  # a gram that no number has: no hit
+    return lists.join(rarest, "gram").where(F.contains("number", "text")).select("text", "number")
 
 
 def first_places(parcels: DataFrame, texts: DataFrame) -> DataFrame:
     """(query, xml_meta_id, fude_id, cx, cy, min_x, min_y, max_x, max_y): for each query text, the first map and parcel
-    whose number contains it, with the parcel's centroid and box; an empty query finds none. Each distinct number is
-    cut into all of its substrings, which are joined by equality, so neither table need be small."""
+    whose number contains it, with the parcel's centroid and box; an empty query finds none."""
     hit = F.struct("xml_meta_id", "fude_id", "x0", "y0", "w", "h")
-    listed = parcels.groupBy(ascii_lower(F.col("chiban")).alias("__number")).agg(F.min(hit).alias("m")).where("length(__number) > 0")
-    size = F.length("__number")
-    parts = F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.substring("__number", i, n)))
-    cut = listed.select("m", F.explode(F.array_distinct(F.flatten(parts))).alias("__part"))
-    hits = cut.join(texts.select("query", ascii_lower(F.col("query")).alias("__part")), "__part")
-    first = hits.groupBy("query").agg(F.min("m").alias("m")).select("query", "m.*")
+    listed = parcels.groupBy(ascii_lower(F.col("chiban")).alias("number")).agg(F.min(hit).alias("m")).where("number <> ''")
+    listed = written(listed, "numbers")
+    asked = texts.select("query", ascii_lower(F.col("query")).alias("text"))
+    found = texts_in_numbers(listed.select("number"), asked.select("text").distinct())
+    first = found.join(listed, "number").groupBy("text").agg(F.min("m").alias("m"))
+    first = asked.join(first, "text").select("query", "m.*")
     x0, y0, w, h = (F.col(c) for c in ("x0", "y0", "w", "h"))
     return first.select(
         "query", "xml_meta_id", "fude_id", (x0 + w / 2).alias("cx"), (y0 + h / 2).alias("cy"), x0.alias("min_x"), y0.alias("min_y"), (x0 + w).alias("max_x"), (y0 + h).alias("max_y")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelworks.functions.shapes import parse_wkt
+from parcelworks.functions.shapes import as_shape, parse_wkt, to_wkt
 
 
 def ascii_lower(c: Column) -> Column:
@@ -37,9 +37,9 @@ def maps_of_oaza(meta: DataFrame, parcels: DataFrame, oaza: str) -> DataFrame:
     return meta.join(parcels.where(F.col("oaza_name") == oaza), meta["id"] == parcels["xml_meta_id"], "left_semi")
 
 
-def exists_queries(parcels: DataFrame, asked: DataFrame) -> DataFrame:
-    """(chiban, oaza_name) of ``asked`` that some parcel has."""
-    return asked.join(parcels, ["chiban", "oaza_name"], "left_semi")
+def exists_queries(parcels: DataFrame, asked: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Rows of ``asked`` whose columns ``by`` some parcel has: number and district by default; ["oaza_name"] asks for districts, ["chiban"] for numbers anywhere."""
+    return asked.join(parcels, by or ["chiban", "oaza_name"], "left_semi")
 
 
 def update_by_id(rows: DataFrame, changes: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
@@ -53,6 +53,57 @@ def write_parcels(parcels: DataFrame, path: str, *partition: str) -> None:
     parcels.write.mode("append").partitionBy(*partition).parquet(path)
 
 
+def append_parcels(parcels: DataFrame, path: str, order: list[str], keys: tuple[str, ...] = ("xml_meta_id", "fude_id")) -> tuple[int, int]:
+    """Appends parcels to the Parquet folder ``path``/rows as one batch and returns how many were kept and how many dropped. A parcel whose ``keys`` are stored already, or came
+    earlier by ``order`` in the same batch, is dropped; numbers a map go to ``path``/counts, so ``append_counts`` tells what was dropped where. Writers are to run one at a time; a batch that
+    failed before its counts were written is written anew by the next call."""
+    from parcelworks.operators.match import first_wins
+    from parcelworks.sources.scratch import exists
+
+    spark, key = parcels.sparkSession, list(keys)
+    counts = append_counts(spark, path)
+    batch = 0 if (last := counts.agg(F.max("batch")).first()[0]) is None else last + 1
+    fresh = first_wins(parcels, key, order)
+    if batch and exists(spark, f"{path}/rows"):
+        fresh = fresh.join(spark.read.parquet(f"{path}/rows").where(F.col("batch") < batch).select(*key), key, "left_anti")
+    fresh.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+    kept = spark.read.schema(parcels.schema).parquet(f"{path}/rows/batch={batch}").groupBy(key[0]).agg(F.count(F.lit(1)).alias("kept"))
+    told = parcels.groupBy(key[0]).agg(F.count(F.lit(1)).alias("__n")).join(kept, key[0], "left").select(key[0], F.coalesce("kept", F.lit(0)).alias("kept"), (F.col("__n") - F.coalesce("kept", F.lit(0))).alias("dropped"))
+    told.coalesce(1).write.mode("overwrite").parquet(f"{path}/counts/batch={batch}")
+    sums = append_counts(spark, path).where(F.col("batch") == batch).agg(F.sum("kept"), F.sum("dropped")).first()
+    return sums[0] or 0, sums[1] or 0
+
+
+def append_counts(spark, path: str) -> DataFrame:
+    """(the first key, kept, dropped, batch) of all batches that ``append_parcels`` finished."""
+    from parcelworks.sources.scratch import exists
+
+    if not exists(spark, f"{path}/counts"):
+        return spark.createDataFrame([], "xml_meta_id long, kept long, dropped long, batch int")
+    return spark.read.option("basePath", f"{path}/counts").parquet(f"{path}/counts")
+
+
+def export_parcels(parcels: DataFrame, meta: DataFrame, oaza: str | None = None, map_ids: list[int] | DataFrame | None = None) -> DataFrame:
+    """Parcels with file_name and crs_type of their map and ``wkt``, their geometry as text: those of one district, and of some maps (ids, or a table with xml_meta_id),
+    where asked. A parcel without a geometry is left out. ``isEmpty()`` says whether there is anything to export."""
+    found = parcels.where("geom IS NOT NULL")
+    if oaza is not None:
+        found = found.where(F.col("oaza_name") == oaza)
+    if isinstance(map_ids, DataFrame):
+        found = found.join(map_ids.select("xml_meta_id").distinct(), "xml_meta_id", "left_semi")
+    elif map_ids is not None:
+        found = found.where(F.col("xml_meta_id").isin(list(map_ids)))
+    return with_map(found, meta, "file_name", "crs_type").withColumn("wkt", to_wkt(as_shape(found, "geom")))
+
+
+def write_export(rows: DataFrame, path: str) -> bool:
+    """Writes an export as Parquet without its nested geometry; an empty one writes nothing and says False."""
+    if rows.isEmpty():
+        return False
+    rows.drop("geom").write.parquet(path)
+    return True
+
+
 def review_queue(parcels: DataFrame, oaza: str | None = None) -> DataFrame:
     """Parcels that need a review, by reason and number, nulls first; optionally of one district."""
     found = parcels.where("needs_review = 1")

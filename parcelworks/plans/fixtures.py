@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,6 +119,25 @@ def map_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bodies.selectExpr("file_name as source_name", f"cast(concat({head}, body, '</地図>') as binary) as content")
 
 
+def _zipped(files: pd.DataFrame) -> pd.DataFrame:
+    """One archive of its map files; every third one lies in an archive inside it."""
+    outer, inner = io.BytesIO(), io.BytesIO()
+    name = files["archive"].iloc[0]
+    with zipfile.ZipFile(outer, "w", zipfile.ZIP_DEFLATED) as out:
+        with zipfile.ZipFile(inner, "w", zipfile.ZIP_DEFLATED) as within:
+            for label, content, deep in zip(files["source_name"], files["content"], files["deep"], strict=True):
+                (within if deep else out).writestr(label.removeprefix(f"{name}/"), content)
+        out.writestr("in.zip", inner.getvalue())
+    return pd.DataFrame({"archive": [name], "content": [outer.getvalue()]})
+
+
+def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(archive, content): the map files packed by the first part of their label, ten an archive."""
+    number = F.regexp_extract("source_name", "s([0-9]+)[.]xml$", 1).cast("long")
+    files = map_files(spark, sf_dir).withColumns({"archive": F.regexp_extract("source_name", "^[^/]+", 0), "deep": number % 3 == 0})
+    return files.groupBy("archive").applyInPandas(_zipped, "archive string, content binary")
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for source in SOURCES[name]:
         spark.read.parquet(f"{sf_dir}/{source}.parquet").createOrReplaceTempView(source)

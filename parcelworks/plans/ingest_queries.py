@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from parcelworks.functions.geom import polygon_box
 from parcelworks.operators import assemble
-from parcelworks.plans.fixtures import map_files
+from parcelworks.plans.fixtures import archives, map_files
 from parcelworks.plans.registry import file_query, query
-from parcelworks.sources.archives import parse_maps
+from parcelworks.sources.archives import expand_archives, parse_maps
 from parcelworks.streaming.incremental import decide
 
 _HOLED, _INDIRECT = "CAST(y0 AS BIGINT) % 5 = 0", "CAST(y0 AS BIGINT) % 2 = 0"
@@ -110,3 +110,16 @@ def _(spark, sf_dir):
 def _(xml_file):
     files = xml_file.withColumn("xml_sha256", F.sha2(F.col("content").cast("binary"), 256))
     return decide(files.where("doc_id % 3 <> 0"), files.where("doc_id % 3 = 0"))
+
+
+@file_query(
+    "s2_archive_files",
+    """SELECT split_part(file_name, '/', 1) AS archive, CASE WHEN sheet_id % 3 = 0 THEN replace(file_name, '/', '/in.zip/') ELSE file_name END AS source_name, NULL::VARCHAR AS error, count(*) AS parcels FROM sheet GROUP BY ALL
+      UNION ALL SELECT DISTINCT 'cut-' || split_part(file_name, '/', 1), NULL, 'File is not a zip file', 0 FROM sheet""",
+)
+def _(spark, sf_dir):
+    packed = archives(spark, sf_dir)
+    cut = packed.select(F.concat(F.lit("cut-"), "archive").alias("archive"), F.substring("content", 1, 100).alias("content"))  # without its directory an archive fails alone
+    files = expand_archives(packed.unionByName(cut))
+    parcels = F.regexp_count(F.col("content").cast("string"), F.lit("<筆 "))
+    return files.select("archive", "source_name", "error", F.coalesce(parcels, F.lit(0)).cast("long").alias("parcels"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from parcelworks.functions import geom, maps, numbers
 from parcelworks.operators import align, match, search, spatial, stats, store
 from parcelworks.plans.fixtures import oracle, view
+from parcelworks.sources import scratch
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -73,7 +74,7 @@ def _(parcel):
       THEN '0:' || regexp_extract(p, '^[0-9]+')::BIGINT || ':' || regexp_replace(p, '^[0-9]+', '') ELSE '1:0:' || p END), '|') AS natural_key FROM parcel""",
 )
 def _(parcel):
-    text = F.array_join(F.transform(numbers.natural_key(F.col("chiban")), lambda k: F.concat_ws(":", k["c"].cast("string"), k["n"].cast("string"), k["r"])), "|")
+    text = F.array_join(F.transform(numbers.natural_key(F.col("chiban")), lambda k: F.concat_ws(":", k["c"].cast("string"), k["n"]["digits"], k["r"])), "|")
     return parcel.select("chiban", text.alias("natural_key")).distinct()
 
 
@@ -256,6 +257,16 @@ def _(parcel, lot):
     return store.exists_queries(parcel, lot.select(F.col("parent_no").alias("chiban"), "oaza_name").distinct())
 
 
+@query("p8_districts_exist", "parcel lot", "SELECT DISTINCT oaza_name FROM lot WHERE oaza_name IN (SELECT oaza_name FROM parcel)")
+def _(parcel, lot):
+    return store.exists_queries(parcel, lot.select("oaza_name").distinct(), ["oaza_name"])
+
+
+@query("p8_numbers_anywhere", "parcel lot", "SELECT DISTINCT parent_no AS chiban FROM lot WHERE parent_no IN (SELECT chiban FROM parcel)")
+def _(parcel, lot):
+    return store.exists_queries(parcel, lot.select(F.col("parent_no").alias("chiban")).distinct(), ["chiban"])
+
+
 @query(
     "p10_update_crs",
     "meta lot",
@@ -545,11 +556,18 @@ def _(parcel):
 @query(
     "o4_first_hits",
     "parcel lot",
-    """SELECT query, r.m AS xml_meta_id, r.f AS fude_id FROM (SELECT query, min(row(xml_meta_id, fude_id)::STRUCT(m BIGINT, f VARCHAR)) AS r FROM parcel
-      JOIN (SELECT DISTINCT parent_no || '-3' AS query FROM lot WHERE lot_id % 50 = 0) ON contains(chiban, query) GROUP BY 1)""",
+    """SELECT query, r.m AS xml_meta_id, r.f AS fude_id FROM (SELECT query, min(row(xml_meta_id, fude_id)::STRUCT(m BIGINT, f VARCHAR)) AS r FROM (SELECT chiban, xml_meta_id, fude_id FROM parcel)
+      JOIN (SELECT DISTINCT parent_no || '-3' AS query FROM lot) ON contains(chiban, query) GROUP BY 1)""",
 )
 def _(parcel, lot):
-    return search.first_hits(parcel, lot.where("lot_id % 50 = 0").select(F.concat("parent_no", F.lit("-3")).alias("query")).distinct())
+    return search.first_places(parcel, lot.select(F.concat("parent_no", F.lit("-3")).alias("query")).distinct()).select("query", "xml_meta_id", "fude_id")
+
+
+@query("o1_indexed_search", "parcel", "SELECT DISTINCT oaza_name, chiban, xml_meta_id, fude_id FROM parcel WHERE contains(lower(chiban), '99w')")
+def _(parcel):
+    path = scratch.new_folder(parcel.sparkSession, "number-index")
+    search.write_number_index(parcel, path, "oaza_name", "xml_meta_id", "fude_id")
+    return search.search_index(parcel.sparkSession, path, "99W").select("oaza_name", "chiban", "xml_meta_id", "fude_id").distinct()
 
 
 @query(
@@ -630,12 +648,15 @@ def _(parcel):
 
 
 @query("o3_natural_order", "parcel", rf"""SELECT chiban, row_number() OVER (ORDER BY list_transform({_PARTS}, lambda p: CASE WHEN regexp_extract(p, '^[0-9]+') <> '' THEN row(0, regexp_extract(p, '^[0-9]+')::BIGINT, regexp_replace(p, '^[0-9]+', ''))
-      ELSE row(1, 0::BIGINT, p) END), chiban) AS n FROM (SELECT DISTINCT chiban FROM parcel WHERE xml_meta_id = 3)""")
+      ELSE row(1, 0::BIGINT, p) END), chiban) AS n FROM (SELECT DISTINCT chiban FROM parcel)""")
 def _(parcel):
-    from pyspark.sql import Window
+    return search.positions(parcel.select("chiban").distinct().withColumn("k", numbers.natural_key(F.col("chiban"))), [], ["k", "chiban"]).select("chiban", "n")
+
 
-    one = parcel.where("xml_meta_id = 3").select("chiban").distinct()
-    return one.withColumn("n", F.row_number().over(Window.orderBy(numbers.natural_key(F.col("chiban")), "chiban")))
+@query("a7_ranked_numbers", "meta parcel", rf"""SELECT oaza_name, chiban, row_number() OVER (PARTITION BY oaza_name ORDER BY list_transform({_PARTS}, lambda p: CASE WHEN regexp_extract(p, '^[0-9]+') <> '' THEN row(0, regexp_extract(p, '^[0-9]+')::BIGINT, regexp_replace(p, '^[0-9]+', ''))
+      ELSE row(1, 0::BIGINT, p) END), chiban) AS n FROM (SELECT DISTINCT oaza_name, chiban FROM parcel JOIN meta ON id = xml_meta_id WHERE oaza_name <> '' AND chiban <> '')""")
+def _(meta, parcel):
+    return search.positions(stats.numbered_index(parcel, meta), ["oaza_name"], ["order_key", "chiban"]).select("oaza_name", "chiban", "n")
 
 
 @query("o3_map_order", "parcel", rf"""SELECT xml_meta_id, chiban, row_number() OVER (PARTITION BY xml_meta_id ORDER BY list_transform({_PARTS}, lambda p: CASE WHEN regexp_extract(p, '^[0-9]+') <> '' THEN row(0, regexp_extract(p, '^[0-9]+')::BIGINT, regexp_replace(p, '^[0-9]+', ''))
@@ -646,7 +667,13 @@ def _(parcel):
 
 @query("s9_export", "meta parcel", "SELECT fude_id, chiban, x0, file_name, crs_type FROM parcel JOIN meta ON id = xml_meta_id WHERE oaza_name = '大字3' AND xml_meta_id IN (3, 25, 47)")
 def _(meta, parcel):
-    return store.with_map(parcel.where(F.col("oaza_name") == "大字3").where(F.col("xml_meta_id").isin(3, 25, 47)), meta, "file_name", "crs_type").select("fude_id", "chiban", "x0", "file_name", "crs_type")
+    return store.export_parcels(_parcel_shapes(parcel), meta, "大字3", [3, 25, 47]).select("fude_id", "chiban", "x0", "file_name", "crs_type")
+
+
+@query("s9_export_all", "meta parcel", "SELECT fude_id, x0, file_name, crs_type, 'MULTIPOLYGON' AS kind FROM parcel JOIN meta ON id = xml_meta_id WHERE w >= 10")
+def _(meta, parcel):
+    rows = _parcel_shapes(parcel).withColumn("geom", F.when(F.col("w") >= 10, F.col("geom")))  # those without a geometry stay behind
+    return store.export_parcels(rows, meta).select("fude_id", "x0", "file_name", "crs_type", F.regexp_extract("wkt", "^([A-Z]+)", 1).alias("kind"))
 
 
 @query("f11_label", "parcel", "SELECT DISTINCT chiban, w, chiban || chr(10) || format('{:,}', round(w * 1000)::BIGINT) || ' m²' AS label FROM parcel")
@@ -713,6 +740,19 @@ def _(meta, parcel):
     return stats.index_statistics(parcel, meta)
 
 
+@query(
+    "s8_append_twice",
+    "parcel",
+    """SELECT b.xml_meta_id, count(DISTINCT b.fude_id) - count(DISTINCT a.fude_id) AS kept, count(*) - count(DISTINCT b.fude_id) + count(DISTINCT a.fude_id) AS dropped
+      FROM (SELECT * FROM parcel WHERE w >= 25) b LEFT JOIN (SELECT DISTINCT xml_meta_id, fude_id FROM parcel WHERE w < 40) a USING (xml_meta_id, fude_id) GROUP BY 1""",
+)
+def _(parcel):
+    path = scratch.new_folder(parcel.sparkSession, "stored-parcels")
+    store.append_parcels(parcel.where("w < 40"), path, ["chiban", "x0", "y0"])
+    store.append_parcels(parcel.where("w >= 25"), path, ["chiban", "x0", "y0"])
+    return store.append_counts(parcel.sparkSession, path).where("batch = 1").select("xml_meta_id", "kept", "dropped")
+
+
 @query("s8_stored_rows", "parcel", "SELECT xml_meta_id, count(DISTINCT fude_id) AS kept FROM parcel GROUP BY 1")
 def _(parcel):
     return match.first_wins(parcel, ["xml_meta_id", "fude_id"], ["chiban", "x0", "y0"]).groupBy("xml_meta_id").agg(F.count(F.lit(1)).alias("kept"))

@@ -6,6 +6,7 @@ from __future__ import annotations
 import io
 import posixpath
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 from xml.parsers import expat
@@ -23,51 +24,78 @@ class _Budget:
         self.entries, self.bytes = 0, 0
 
 
-def _expand(name: str, content: bytes, budget: _Budget, on_bad_inner: str) -> Iterator[tuple[str, bytes]]:
+def _walk(name: str, content: bytes, on_bad_inner: str, bad: set[tuple[str, int]], budget: _Budget | None) -> Iterator[tuple[str, bytes]]:
+    """(label, content) of the XML files of an archive and of those in it, an entry at a time. With a ``budget`` the entries are checked: limits, names and
+    checksums; contents are then read in pieces and not given, and inner archives that are broken go to ``bad``, if they may. Without one, those in ``bad`` are passed over."""
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         for info in archive.infolist():
             path = posixpath.normpath(info.filename.replace("\\", "/"))
-            budget.entries += 1
-            if budget.entries > MAX_ENTRIES:
-                raise ValueError("too many entries")
-            if path.startswith(("/", "..")) or ":" in path.split("/")[0]:
-                raise ValueError(f"entry leaves the archive: {info.filename}")
-            if info.is_dir() or not path.lower().endswith((".xml", ".zip")):
+            label, inner = f"{name}/{path}", path.lower().endswith(".zip")
+            if budget:
+                budget.entries += 1
+                if budget.entries > MAX_ENTRIES:
+                    raise ValueError("too many entries")
+                if path.startswith(("/", "..")) or ":" in path.split("/")[0]:
+                    raise ValueError(f"entry leaves the archive: {info.filename}")
+            if info.is_dir() or not (inner or path.lower().endswith(".xml")):
                 continue
+            pieces = []
             with archive.open(info) as entry:
-                data = entry.read(MAX_BYTES - budget.bytes + 1)
-            budget.bytes += len(data)
-            if budget.bytes > MAX_BYTES:
-                raise ValueError("too large when inflated")
-            if path.lower().endswith(".xml"):
-                yield f"{name}/{path}", data
-                continue
-            try:
-                inner = list(_expand(f"{name}/{path}", data, budget, on_bad_inner))
-            except zipfile.BadZipFile:
-                if on_bad_inner == "fail":
-                    raise
-                continue
-            yield from inner
+                while piece := entry.read(1 << 20):
+                    if budget:
+                        budget.bytes += len(piece)
+                        if budget.bytes > MAX_BYTES:
+                            raise ValueError("too large when inflated")
+                    if inner or not budget:
+                        pieces.append(piece)
+            if not inner:
+                yield label, b"".join(pieces)
+            elif (label, info.header_offset) not in bad:
+                try:
+                    yield from _walk(label, b"".join(pieces), on_bad_inner, bad, budget)
+                except zipfile.BadZipFile:
+                    if on_bad_inner == "fail":
+                        raise
+                    bad.add((label, info.header_offset))
+
+
+def _expand(name: str, content: bytes, on_bad_inner: str) -> Iterator[tuple[str, bytes]]:
+    """Files of an archive, which is checked to its end before the first one is given: so none is given of an archive that fails, and no more than one
+    inflated file, and the inner archives round it, are held at a time."""
+    bad: set[tuple[str, int]] = set()
+    for _ in _walk(name, content, on_bad_inner, bad, _Budget()):
+        pass
+    yield from _walk(name, content, on_bad_inner, bad, None)
 
 
 def expand_archives(archives: DataFrame, on_bad_inner: str = "fail") -> DataFrame:
     """(archive, source_name, content, error) of the XML files in (archive, content), at any depth. An archive that
-    is broken, too large or unsafe gives one row with its error and no content."""
+    is broken, too large or unsafe gives one row with its error and no content. Archives are inflated twice, once to check them and once for their files, so that a task holds the packed archive and
+    one inflated file at a time."""
+    kinds = {"archive": pa.string(), "source_name": pa.string(), "content": pa.binary(), "error": pa.string()}
+
+    def rows(name: str, content: bytes) -> Iterator[tuple]:
+        try:
+            for label, data in _expand(name, content, on_bad_inner):
+                yield name, label, data, None
+        except (ValueError, zipfile.BadZipFile, RuntimeError, NotImplementedError, EOFError, zlib.error) as e:
+            yield name, None, None, str(e) or type(e).__name__
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    rows = [(name, s, c, None) for s, c in _expand(name, content or b"", _Budget(), on_bad_inner)]
-                except (ValueError, zipfile.BadZipFile, RuntimeError, NotImplementedError) as e:
-                    rows = [(name, None, None, str(e) or type(e).__name__)]
-                for row in rows:  # one file a batch: a batch never holds more than one large file
-                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.string(), pa.string(), pa.binary(), pa.string()), strict=True)], names=["archive", "source_name", "content", "error"])
+            for name, content in zip(batch.column(0), batch.column(1), strict=True):
+                for row in rows(name.as_py(), content.as_py() or b""):  # one file a batch
+                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds.values(), strict=True)], names=list(kinds))
 
     return archives.select("archive", "content").mapInArrow(expand, "archive string, source_name string, content binary, error string")
 
 
+def read_archives(spark: SparkSession, path: str, pattern: str = "*.zip", on_bad_inner: str = "fail") -> DataFrame:
+    """``expand_archives`` of the archives below ``path``, whose names count from there on; archives are dealt over tasks, one a partition where there are tasks for it."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    return expand_archives(files.select(relative_to(path).alias("archive"), "content"), on_bad_inner)
+
+
 def relative_to(folder: str) -> Column:
     """The column ``path`` of files below ``folder``, from there on. Both are taken literally, apart from a scheme in front."""
     bare = lambda c: F.regexp_replace(c, "^[A-Za-z][A-Za-z0-9+.-]*:/*|^/+", "")

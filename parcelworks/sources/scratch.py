@@ -28,6 +28,11 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A name of a new folder below the shared one; the innermost open ``scope`` removes it."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -11,7 +11,7 @@ from parcelworks.operators import assemble
 from parcelworks.operators.match import first_wins
 from parcelworks.operators.store import not_yet_known
 from parcelworks.sources.archives import parse_maps, relative_to
-from parcelworks.sources.scratch import scope, written
+from parcelworks.sources.scratch import exists, scope, written
 
 STORE = "source_name string, xml_sha256 string, content binary"
 STATUS = "source_name string, xml_sha256 string, status string, error string"
@@ -21,9 +21,7 @@ _OWN = "run string, batch long"
 
 def _read(spark: SparkSession, folder: str, columns: str) -> DataFrame:
     """Rows of a folder of batches; none if it does not exist yet."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    return spark.read.schema(f"{columns}, {_OWN}").option("basePath", folder).parquet(folder) if there else spark.createDataFrame([], f"{columns}, {_OWN}")
+    return spark.read.schema(f"{columns}, {_OWN}").option("basePath", folder).parquet(folder) if exists(spark, folder) else spark.createDataFrame([], f"{columns}, {_OWN}")
 
 
 def decide(files: DataFrame, known: DataFrame) -> DataFrame:

@@ -241,6 +241,15 @@ def test_zones(spark):
     assert points[-1] is None and all(abs(p.x) < 1e-6 and abs(p.y) < 1e-6 for p in points[:-1])
     box = spark.range(1).select(zones.change_box(F.struct(F.lit(0.0).alias("min_x"), F.lit(0.0).alias("min_y"), F.lit(100.0).alias("max_x"), F.lit(50.0).alias("max_y")), F.lit(8), F.lit(8)).alias("b")).first().b
     assert math.isclose(box.max_x, 100, abs_tol=1e-4) and math.isclose(box.max_y, 50, abs_tol=1e-4)
+    for low, high, old, new in (((-90_000.0, -200_000.0), (60_000.0, 150_000.0), 8, 9), ((-40_000.0, 0.0), (40_000.0, 90_000.0), 6, 6), ((10_000.0, -5_000.0), (10_400.0, -4_900.0), 9, 7)):
+        area = F.struct(*[F.lit(v).alias(n) for n, v in zip(("min_x", "min_y", "max_x", "max_y"), (*low, *high), strict=True)])
+        b = spark.range(1).select(zones.change_box(area, F.lit(old), F.lit(new)).alias("b")).first().b
+        inside_ = [(rng.uniform(low[0], high[0]), rng.uniform(low[1], high[1])) for _ in range(9000)]
+        inside_ += [(rng.choice((low[0], high[0])), rng.uniform(low[1], high[1])) for _ in range(500)] + [(rng.uniform(low[0], high[0]), rng.choice((low[1], high[1]))) for _ in range(500)]
+        moved = [r.p for r in spark.createDataFrame(inside_, "x double, y double").select(zones.change_zone(F.col("x"), F.col("y"), F.lit(old), F.lit(new)).alias("p")).collect()]
+        assert all(b.min_x <= p.x <= b.max_x and b.min_y <= p.y <= b.max_y for p in moved)
+        tight = (min(p.x for p in moved) - b.min_x, b.max_x - max(p.x for p in moved), min(p.y for p in moved) - b.min_y, b.max_y - max(p.y for p in moved))
+        assert max(tight) < 0.01 * (b.max_x - b.min_x + b.max_y - b.min_y)
 
 
 # Matching

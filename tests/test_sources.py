@@ -1,7 +1,7 @@
 import io
 import zipfile
 
-from parcelworks.sources.archives import expand_archives, parse_maps, read_directory
+from parcelworks.sources.archives import expand_archives, parse_maps, read_archives, read_directory
 from parcelworks.streaming.incremental import import_new, stored
 
 XML = """<地図 xmlns="http://www.moj.go.jp/MINJI/tizuxml" xmlns:zmn="http://www.moj.go.jp/MINJI/tizuzumen">
@@ -59,3 +59,41 @@ def test_directory_and_stream(spark, tmp_path):
     (inbox / "e.xml").write_bytes(XML + b"  ")
     go()
     assert stored(spark, f"{tmp_path}/store").count() == 2
+
+
+def test_archives_are_inflated_an_entry_at_a_time(monkeypatch):
+    """500 MB of files, some of them in an archive inside: what is held at once is one file, or the packed archives."""
+    import tracemalloc
+
+    from parcelworks.sources import archives
+
+    def packed(entries):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, data in entries:
+                z.writestr(name, data)
+        return out.getvalue()
+
+    large = b"<a>" + b" " * (20 << 20)
+    content = packed([(f"{i}.xml", large) for i in range(13)] + [("in.zip", packed([(f"{i}.xml", large) for i in range(12)]))])
+    tracemalloc.start()
+    sizes = [len(data) for _, data in archives._expand("z", content, "fail")]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sizes == [len(large)] * 25 and peak < 4 * len(large)
+    monkeypatch.setattr(archives, "MAX_BYTES", 300 << 20)
+    given = []
+    try:
+        given += [label for label, _ in archives._expand("z", content, "fail")]
+    except ValueError as e:
+        assert "too large" in str(e)
+    assert not given  # none of an archive that fails
+
+
+def test_archives_below_a_folder(spark, tmp_path):
+    (tmp_path / "in (1)" / "sub").mkdir(parents=True)
+    (tmp_path / "in (1)" / "a.zip").write_bytes(zipped(x_xml=XML))
+    (tmp_path / "in (1)" / "sub" / "b.zip").write_bytes(zipped(in_zip=zipped(y_xml=XML), bad_zip=b"no", z_xml=XML))
+    read = lambda how: {(r.archive, r.source_name) for r in read_archives(spark, f"{tmp_path}/in (1)", on_bad_inner=how).collect()}
+    assert read("skip") == {("a.zip", "a.zip/x.xml"), ("sub/b.zip", "sub/b.zip/in.zip/y.xml"), ("sub/b.zip", "sub/b.zip/z.xml")}
+    assert read("fail") == {("a.zip", "a.zip/x.xml"), ("sub/b.zip", None)}

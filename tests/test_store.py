@@ -24,6 +24,28 @@ def test_levels_of_reliability(spark):
         store.set_reliability(frame, frame, "SURE")
 
 
+def test_parcels_are_appended_once(spark, tmp_path):
+    rows = [(1, "a", "x"), (1, "a", "w"), (1, "b", "y"), (2, "a", None)]
+    frame = spark.createDataFrame(rows, "xml_meta_id long, fude_id string, chiban string")
+    assert store.append_parcels(frame, f"{tmp_path}/s", ["chiban"]) == (3, 1)
+    (tmp_path / "s" / "rows" / "batch=1").mkdir()  # a batch that failed before it was counted
+    more = spark.createDataFrame([(2, "a", "late"), (3, "c", "z")], frame.schema)
+    assert store.append_parcels(more, f"{tmp_path}/s", ["chiban"]) == (1, 1)
+    assert store.append_parcels(more, f"{tmp_path}/s", ["chiban"]) == (0, 2) and store.append_parcels(frame.limit(0), f"{tmp_path}/s", ["chiban"]) == (0, 0)
+    assert sorted((r.xml_meta_id, r.fude_id, r.chiban or "") for r in spark.read.parquet(f"{tmp_path}/s/rows").collect()) == [(1, "a", "w"), (1, "b", "y"), (2, "a", ""), (3, "c", "z")]
+    assert {(r.xml_meta_id, r.kept, r.dropped) for r in store.append_counts(spark, f"{tmp_path}/s").where("batch = 1").collect()} == {(2, 0, 1), (3, 1, 0)}
+
+
+def test_exports_need_a_geometry(spark, tmp_path):
+    meta = spark.createDataFrame([(1, "m.xml", "任意座標系")], "id long, file_name string, crs_type string")
+    shape = "array<array<struct<x:double,y:double>>>"
+    rows = spark.createDataFrame([(1, "a", "d", [[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)]]), (1, "b", "d", None), (2, "c", "d", [[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)]])], f"xml_meta_id long, fude_id string, oaza_name string, geom {shape}")
+    assert [r.fude_id for r in store.export_parcels(rows, meta, "d").collect()] == ["a"]
+    assert [r.fude_id for r in store.export_parcels(rows, meta, map_ids=meta.select(F.col("id").alias("xml_meta_id"))).collect()] == ["a"]
+    assert store.write_export(store.export_parcels(rows, meta, "d", [1]), f"{tmp_path}/out") and spark.read.parquet(f"{tmp_path}/out").first().wkt.startswith("MULTIPOLYGON(((0.0 0.0")
+    assert not store.write_export(store.export_parcels(rows, meta, "other"), f"{tmp_path}/none") and not (tmp_path / "none").exists()
+
+
 @pytest.fixture(scope="module")
 def nothing(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("empty")
