@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from parcelworks.llm import components, embedding_dedup, hnsw, line_crf, line_dedup, mixing, quality, secrets, simhash, url_filter
 from parcelworks.llm.shared import NO_ID
 from tests.compare import SMALL
-from tests.llm.test_operators import DOCS, SCHEMA, brute_print, docs, empty, labelled, prose  # noqa: F401
+from tests.llm.test_operators import DOCS, SCHEMA, brute_print, docs, empty, labelled, lower, prose  # noqa: F401
 
 SPACE = re.compile("[^\x20\x09-\x0d]+")
 
@@ -221,12 +221,21 @@ def test_own_findings_decide(spark):
 # Near duplicates
 
 
-def groups_by_hand(prints):
-    """Smallest row of the group of each, by all pairs."""
+def shingles(text, n=5):
+    words = lower(text or "").split()
+    return {" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def alike(a, b):
+    return bool(a & b) and len(a & b) >= 0.8 * len(a | b)
+
+
+def groups_by_hand(prints, sets=None):
+    """Smallest row of the group of each, by all pairs: three bits, or sets alike to 0.8."""
     name = list(range(len(prints)))
     for i, a in enumerate(prints):
         for j in range(i):
-            if (a ^ prints[j]).bit_count() <= 3:
+            if (a ^ prints[j]).bit_count() <= 3 or sets and alike(sets[i], sets[j]):
                 low, high = sorted((name[i], name[j]))
                 name = [low if x == high else x for x in name]
     return name
@@ -370,6 +379,6 @@ def test_pipeline_stages_on_hard_rows(spark):
         assert out.columns == corpus_pipeline.COLUMNS and stage(spark, frame.limit(0), SMALL).count() == 0
         assert out.count() == stage(spark, frame.repartition(7), SMALL).count()
     one = corpus_pipeline.one_of_each_group(spark, frame, SMALL).collect()
-    name = groups_by_hand([brute_print(t) for _, t, *_ in DOCS])
+    name = groups_by_hand([brute_print(t) for _, t, *_ in DOCS], [shingles(t) for _, t, *_ in DOCS])
     assert len(one) == len(set(name))
     assert corpus_pipeline.encoded(spark, frame, SMALL).count() == len(rows) and corpus_pipeline.encoded(spark, frame.limit(0), SMALL).count() == 0

@@ -255,3 +255,64 @@ def test_very_large_and_very_small_vectors_link(spark):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.link_embeddings(frame).collect()}
     assert got == {i: (4, 1, i == 1) for i in range(1, 6)} | {8: (0, 8, True), 9: (1, 9, True), 10: (1, 9, False)}
+
+
+# Near copies in the pipeline
+
+
+def edited(rng, words, share):
+    """A copy with some words replaced, taken out or put in."""
+    out = []
+    for w in words:
+        x = rng.random()
+        out += [w] if x > share else [f"new{rng.randrange(10**6)}"] if x > share / 2 else [] if x > share / 4 else [w, "more"]
+    return " ".join(out)
+
+
+def near_copy_texts():
+    rng = random.Random(21)
+    texts = [None, "", " \n ", "one", "one two three four", "One two  three four", "a b c d e", "a b c d e"]
+    for n in (8, 30, 120, 400, 3000):
+        for _ in range(6):
+            words = [f"w{rng.randrange(4000)}" for _ in range(n)]
+            texts += [" ".join(words)] + [edited(rng, words, share) for share in (0.002, 0.01, 0.02, 0.03, 0.05, 0.3)]
+    base = [f"b{i}" for i in range(300)]
+    return texts + [" ".join([*base[:k], "changed", *base[k + 1 :]]) for k in range(0, 300, 2)]  # many copies of one text
+
+
+@pytest.mark.parametrize("part_rows", [1024, 20])
+def test_near_links_join_what_all_pairs_do(spark, part_rows):
+    from parcelworks.llm import near_copies
+    from tests.llm.test_methods import alike, shingles
+
+    texts = near_copy_texts()
+    sets = [shingles(t) for t in texts]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] * 2, "node long, text string").repartition(5)
+    links = [(r.u, r.v) for r in near_copies.near_links(frame, part_rows=part_rows).collect()]
+    assert all(alike(sets[u], sets[v]) for u, v in links)
+    name = list(range(len(texts)))
+    for u, v in links:
+        low, high = sorted((name[u], name[v]))
+        name = [low if x == high else x for x in name]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if alike(sets[i], sets[j])]
+    found = sum(name[i] == name[j] for i, j in pairs)
+    assert len(pairs) > 9000 and found >= 0.99 * len(pairs)
+    few = [(i, j) for i, j in pairs if not (texts[i].startswith("b") and texts[j].startswith("b"))]
+    assert len(few) > 60 and sum(name[i] == name[j] for i, j in few) >= 0.95 * len(few)
+    assert near_copies.near_links(frame.limit(0)).count() == 0
+
+
+def test_forest_takes_the_heaviest_links():
+    from parcelworks.llm.near_copies import strongest_links
+
+    rng = np.random.default_rng(3)
+    for n in (2, 10, 60):
+        left, right = np.triu_indices(n, 1)
+        weight = rng.integers(40, 65, len(left))
+        kept = strongest_links(left, right, weight, n)
+        name, total = list(range(n)), 0
+        for w, a, b in sorted(zip(-weight, left, right, strict=True)):
+            if name[a] != name[b]:
+                total -= w
+                name = [name[a] if x == name[b] else x for x in name]
+        assert len(kept) == n - 1 and weight[kept].sum() == total
