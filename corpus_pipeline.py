@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelworks.llm import line_dedup, mixing, quality, sentencepiece_nbest, simhash
+from parcelworks.llm import line_dedup, mixing, near_copies, quality, sentencepiece_nbest, simhash
+from parcelworks.llm.components import connected_components
 from parcelworks.llm.shared import NO_ID, stash, table, word_count
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -39,12 +40,18 @@ def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each SimHash group: the smallest id (null last), then the first by hash of the text. Documents of
-    no words say nothing and are all alike, so one of them stays as well. Rows of one id, or of none, stay if
+    """One row of each group of near copies: the smallest id (null last), then the first by hash of the text. Groups are joined by links of two kinds: SimHash fingerprints within three
+    bits, and sets of five-word shingles alike to 0.8 or more. Documents of no words say nothing and are all alike, so one of them stays as well. Rows of one id, or of none, stay if
     their groups differ."""
     rows = keyed(docs)
-    groups = simhash.simhash_groups(rows, keys=("__h1", "__h2"))
-    first = groups.groupBy("__group").agg(F.min(F.struct(F.col("__id").alias("__row_id"), "__h1", "__h2")).alias("first")).select("first.*")
+    prints = stash(simhash.simhash_groups(rows, keys=("__h1", "__h2")), "pipeline-prints")
+    alike = near_copies.near_links(rows.select(F.col("__h1").alias("node"), "text"))
+    held = prints.select("__h1", "__group").distinct()
+    large = held.groupBy("__group").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    stars = held.join(large, "__group").select(F.col("__h1").alias("u"), F.xxhash64(F.lit("group"), "__group").alias("v"))  # a group is a node beside its texts
+    found = stash(connected_components(alike.unionByName(stars)), "pipeline-groups")
+    named = prints.join(found, prints["__h1"] == found["node"], "left").withColumn("__name", F.coalesce("component", "__h1"))
+    first = named.groupBy("__name").agg(F.min(F.struct(F.col("__id").alias("__row_id"), "__h1", "__h2")).alias("first")).select("first.*")
     return rows.join(first, KEY, "left_semi").dropDuplicates(KEY).select(COLUMNS)
 
 
