@@ -28,6 +28,29 @@ def suggestions(parcels: DataFrame, prefix: str, limit: int = 10) -> DataFrame:
     return first.orderBy("oaza_name", natural_key(F.col("chiban")), "chiban").limit(limit)
 
 
+def prefix_table(parcels: DataFrame, limit: int = 10) -> DataFrame:
+    """(prefix, rank, oaza_name, chiban): for every prefix of every number what ``suggestions`` gives for it. Each task cuts a prefix's rows to the first ``limit`` before the shuffle, so a common
+    prefix is no large group; the empty prefix is among them."""
+    found = parcels.where(F.col("chiban").isNotNull() & (F.col("oaza_name") != ""))
+    first = found.groupBy("chiban").agg(F.min("oaza_name").alias("oaza_name")).withColumn("__key", natural_key(F.col("chiban")))
+    prefixes = F.transform(F.sequence(F.lit(0), F.length("chiban")), lambda n: F.substring("chiban", F.lit(1), n))
+    rows = first.select(F.explode(prefixes).alias("prefix"), "oaza_name", "__key", "chiban")
+    place = F.row_number().over(Window.partitionBy("prefix").orderBy("oaza_name", "__key", "chiban"))
+    return rows.withColumn("rank", place).where(F.col("rank") <= limit).select("prefix", "rank", "oaza_name", "chiban")
+
+
+def write_prefixes(parcels: DataFrame, path: str, limit: int = 10, files: int | None = None) -> None:
+    """Writes ``prefix_table`` in ranges of prefixes, so that a suggestion reads one row group or two."""
+    table = prefix_table(parcels, limit)
+    table = table.repartitionByRange(files, "prefix") if files else table.repartitionByRange("prefix")
+    table.sortWithinPartitions("prefix", "rank").write.parquet(path)
+
+
+def suggest(spark: SparkSession, path: str, prefix: str, limit: int = 10) -> DataFrame:
+    """(oaza_name, chiban) for a prefix, in order, from what ``write_prefixes`` wrote."""
+    return spark.read.parquet(path).where(F.col("prefix") == prefix).where(F.col("rank") <= limit).orderBy("rank").select("oaza_name", "chiban")
+
+
 def positions(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """``rows`` with ``n``, their place from 1 by ``order`` inside each ``group`` (the whole table if there is none); rows must differ in these columns.
 

@@ -647,6 +647,13 @@ def _(parcel):
     return search.suggestions(parcel, "1")
 
 
+@query("o2_prefix_table", "parcel", rf"""SELECT prefix, rank::INT AS rank, oaza_name, chiban FROM (SELECT prefix, oaza_name, chiban, row_number() OVER (PARTITION BY prefix ORDER BY oaza_name, list_transform({_PARTS}, lambda p: CASE WHEN regexp_extract(p, '^[0-9]+') <> ''
+      THEN row(0, regexp_extract(p, '^[0-9]+')::BIGINT, regexp_replace(p, '^[0-9]+', '')) ELSE row(1, 0::BIGINT, p) END), chiban) AS rank FROM (SELECT chiban, oaza_name, unnest(list_transform(range(0, length(chiban) + 1), lambda n: left(chiban, n))) AS prefix
+      FROM (SELECT chiban, min(oaza_name) AS oaza_name FROM parcel WHERE oaza_name <> '' GROUP BY 1))) WHERE rank <= 10""")
+def _(parcel):
+    return search.prefix_table(parcel)
+
+
 @query("o3_natural_order", "parcel", rf"""SELECT chiban, row_number() OVER (ORDER BY list_transform({_PARTS}, lambda p: CASE WHEN regexp_extract(p, '^[0-9]+') <> '' THEN row(0, regexp_extract(p, '^[0-9]+')::BIGINT, regexp_replace(p, '^[0-9]+', ''))
       ELSE row(1, 0::BIGINT, p) END), chiban) AS n FROM (SELECT DISTINCT chiban FROM parcel)""")
 def _(parcel):

@@ -96,3 +96,13 @@ def test_texts_meet_only_numbers_with_their_rarest_gram(spark):
     rows = parcels.collect()
     want = {t: min((r.xml_meta_id, r.fude_id) for r in rows if r.chiban and t.lower() in r.chiban.lower()) for t in texts if t and any(r.chiban and t.lower() in r.chiban.lower() for r in rows)}
     assert got == want and len(want) == 10
+
+
+def test_suggestions_are_read_from_their_table(spark, tmp_path):
+    parcels = hard_parcels(spark).unionByName(hard_parcels(spark).withColumn("chiban", F.concat("chiban", F.lit("-7"))))
+    search.write_prefixes(parcels, f"{tmp_path}/prefixes", files=3)
+    for prefix in ("", "1", "1-", "12-3", "9", "道", "nothing", "a"):
+        want = [(r.oaza_name, r.chiban) for r in search.suggestions(parcels, prefix).collect()]
+        assert [(r.oaza_name, r.chiban) for r in search.suggest(spark, f"{tmp_path}/prefixes", prefix).collect()] == want, prefix
+    plan = search.prefix_table(parcels)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "EqualTo(prefix,1)" in search.suggest(spark, f"{tmp_path}/prefixes", "1")._jdf.queryExecution().executedPlan().toString()
