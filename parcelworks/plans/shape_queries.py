@@ -7,8 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelworks.functions import shapes
-from parcelworks.operators import spatial, store
+from parcelworks.functions import geom, shapes
+from parcelworks.operators import spatial, store, unions
 from parcelworks.plans.registry import query
 
 #: Fixed values: (kind, x0, y0, x1, y1, sign) of the rectangles of each kind of area, and those of the bent shape of a map.
@@ -94,3 +94,17 @@ def _(layer):
 )
 def _(layer):
     return spatial.meeting_pairs(_bent_maps(layer), _areas(layer)).select("key", F.col("admin_id").alias("area_id"))
+
+
+@query(
+    "a13_union_centres",
+    "admin",
+    """, b AS (SELECT admin_id % 2 AS key, * FROM admin), xs AS (SELECT key, min_x AS x FROM b UNION SELECT key, max_x FROM b), ys AS (SELECT key, min_y AS y FROM b UNION SELECT key, max_y FROM b),
+    xi AS (SELECT key, x, lead(x) OVER (PARTITION BY key ORDER BY x) AS x2 FROM xs), yi AS (SELECT key, y, lead(y) OVER (PARTITION BY key ORDER BY y) AS y2 FROM ys),
+    cell AS (SELECT xi.key, x, x2, y, y2 FROM xi JOIN yi USING (key) WHERE x2 IS NOT NULL AND y2 IS NOT NULL AND EXISTS (SELECT 1 FROM b WHERE b.key = xi.key AND min_x <= x AND max_x >= x2 AND min_y <= y AND max_y >= y2))
+    SELECT key, round(sum((x2 - x) * (y2 - y)), 4) AS area, round(sum((x2 - x) * (y2 - y) * (x + x2) / 2) / sum((x2 - x) * (y2 - y)), 4) AS cx, round(sum((x2 - x) * (y2 - y) * (y + y2) / 2) / sum((x2 - x) * (y2 - y)), 4) AS cy FROM cell GROUP BY 1""",
+)
+def _(admin):
+    shapes = admin.select((F.col("admin_id") % 2).cast("string").alias("key"), geom.rectangle(F.col("min_x"), F.col("min_y"), F.col("max_x"), F.col("max_y")).alias("geom"))
+    rows = unions.union_centres(shapes, cell_rows=4)
+    return rows.select(F.col("key").cast("long").alias("key"), F.round("area", 4).alias("area"), F.round("cx", 4).alias("cx"), F.round("cy", 4).alias("cy"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelworks.functions import geom, shapes, zones
-from parcelworks.operators import match, spatial, store
+from parcelworks.operators import match, spatial, store, unions
 from parcelworks.sources import scratch
 
 SHAPE = "array<array<struct<x:double,y:double>>>"
@@ -347,3 +347,26 @@ def test_scratch_tables_go_with_their_scope(spark, tmp_path, monkeypatch):
     assert kept.count() == 3
     scratch.drop(kept)
     assert not folders()
+
+
+def test_union_counts_overlaps_once(spark):
+    """Stars with holes and parts against a grid of points; squares in closed form; whatever the cells."""
+    rng = random.Random(31)
+    frames, rows = {}, []
+    for key in ("a", "b"):
+        frames[key] = []
+        for _ in range(25):
+            x, y = rng.uniform(0, 80), rng.uniform(0, 60)
+            outer = star(rng, x, y, rng.uniform(4, 15))
+            frames[key].append([outer, [(x + (px - x) * 0.4, y + (py - y) * 0.4) for px, py in outer]])
+            rows.append((key, frames[key][-1]))
+    rows += [("c", [square(0, 0, 2)]), ("c", [square(1, 1, 2)]), ("c", [square(0, 0, 2)]), ("d", [square(5, 5, 1), square(5, 5, 1)]), ("e", None), ("f", [[(0.0, 0.0), (3.0, 0.0)]])]
+    frame = spark.createDataFrame(rows, f"key string, geom {SHAPE}")
+    outs = [{r.key: (r.area, r.cx, r.cy) for r in unions.union_centres(frame, cell_rows=n).collect()} for n in (64, 3)]
+    for key, shapes_ in frames.items():
+        grid = np.array([(x + 0.5, y + 0.5) for x in range(-20, 100) for y in range(-20, 80)])
+        held = np.array([any(inside(s, x, y) for s in shapes_) for x, y in grid])
+        for out in outs:
+            assert abs(out[key][0] - held.sum()) < 0.03 * held.sum() and abs(out[key][1] - grid[held, 0].mean()) < 0.5 and abs(out[key][2] - grid[held, 1].mean()) < 0.5
+        assert all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(outs[0][key], outs[1][key], strict=True))
+    assert all(math.isclose(x, y, rel_tol=1e-12) for out in outs for x, y in zip(out["c"], (7.0, 1.5, 1.5), strict=True)) and set(outs[0]) == {"a", "b", "c"}
