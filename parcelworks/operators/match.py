@@ -196,13 +196,34 @@ def matches_in_maps(chosen: DataFrame, lots: DataFrame, parcels: DataFrame, leve
     return here.unionByName(there)
 
 
+def _suffixes(text: Column) -> Column:
+    """All ends of a text, itself and the empty one included."""
+    return F.transform(F.sequence(F.lit(0), F.length(text)), lambda n: F.substring(text, n + 1, F.length(text)))
+
+
 def municipality_matches(names: DataFrame, references: DataFrame) -> DataFrame:
     """(name, ref) of (name) and (ref, ord): the reference of the same name, else the first by ``ord`` that equals the normalized name or
-    of which one ends with the other. Both lists hold distinct names; Spark broadcasts the smaller one."""
-    key = normalize_municipality(F.col("name"))
-    fits = (F.col("name") == F.col("ref")) | key.endswith(F.col("ref")) | F.col("ref").endswith(key)
+    of which one ends with the other. The shorter one is an end of the longer, so both are joined by ends, and by the whole name."""
+    keyed = names.select("name", normalize_municipality(F.col("name")).alias("key"))
+    refs = references.select("ref", "ord")
+    found = keyed.select("name", F.explode(_suffixes(F.col("key"))).alias("ref")).join(refs, "ref")
+    found = found.unionByName(refs.select("ref", "ord", F.explode(_suffixes(F.col("ref"))).alias("key")).join(keyed, "key").select("name", "ref", "ord"))
+    found = found.unionByName(keyed.join(refs, keyed["name"] == refs["ref"]).select("name", "ref", "ord"))
     best = F.min(F.struct((F.col("name") != F.col("ref")).alias("other"), "ord", "ref"))
-    return names.join(references, fits).groupBy("name").agg(best.alias("m")).select("name", "m.ref")
+    return found.groupBy("name").agg(best.alias("m")).select("name", "m.ref")
+
+
+def lots_of_municipalities(names: DataFrame, lots: DataFrame) -> DataFrame:
+    """(municipality_name, n): the lots (municipality_name) that fit each of the distinct ``names`` by ``municipality_fits``: those whose name it contains, or have none; all of them if it is empty. Containment
+    is looked up by grams, not by comparing all names with all."""
+    from parcelworks.operators.search import texts_in_numbers
+
+    counts = lots.groupBy(F.coalesce("municipality_name", F.lit("")).alias("text")).agg(F.count(F.lit(1)).alias("k"))
+    asked = names.select("municipality_name", F.coalesce("municipality_name", F.lit("")).alias("number"))
+    held = texts_in_numbers(asked.select("number").distinct(), counts.select("text")).join(counts, "text").groupBy("number").agg(F.sum("k").alias("held"))
+    sums = counts.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("all"), F.coalesce(F.sum(F.when(F.col("text") == "", F.col("k"))), F.lit(0)).alias("free")).withColumn("one", F.lit(1))
+    told = asked.join(held, "number", "left").withColumn("one", F.lit(1)).join(sums, "one")
+    return told.select("municipality_name", F.when(F.col("number") == "", F.col("all")).otherwise(F.col("free") + F.coalesce("held", F.lit(0))).alias("n"))
 
 
 def export_names(parcels: DataFrame, clicked: DataFrame | None = None) -> DataFrame:

@@ -358,10 +358,7 @@ def _(meta, parcel, lot):
       FROM (SELECT DISTINCT municipality_name FROM meta) m""",
 )
 def _(meta, lot):
-    names = meta.select("municipality_name").distinct()
-    lots = lot.groupBy(F.col("municipality_name").alias("lot_name")).agg(F.count(F.lit(1)).alias("k"))
-    met = names.join(lots, match.municipality_fits(F.col("lot_name"), F.col("municipality_name")), "left")
-    return met.groupBy("municipality_name").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"))
+    return match.lots_of_municipalities(meta.select("municipality_name").distinct(), lot)
 
 
 def _shapes(areas: DataFrame) -> DataFrame:

@@ -370,3 +370,23 @@ def test_union_counts_overlaps_once(spark):
             assert abs(out[key][0] - held.sum()) < 0.03 * held.sum() and abs(out[key][1] - grid[held, 0].mean()) < 0.5 and abs(out[key][2] - grid[held, 1].mean()) < 0.5
         assert all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(outs[0][key], outs[1][key], strict=True))
     assert all(math.isclose(x, y, rel_tol=1e-12) for out in outs for x, y in zip(out["c"], (7.0, 1.5, 1.5), strict=True)) and set(outs[0]) == {"a", "b", "c"}
+
+
+def test_a_hot_cell_is_split(spark):
+    """Points of which nearly all lie in one cell of a large area: the join's tasks for that cell are split, and no pair is lost."""
+    low = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "128k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.shuffle.partitions": "8"}
+    old = {k: spark.conf.get(k, None) for k in low}
+    for k, v in low.items():
+        spark.conf.set(k, v)
+    try:
+        spread = spark.range(400).select((F.col("id") + 10**6).alias("key"), (F.col("id") * 70.0 + 5000).alias("x"), (F.col("id") % 20 * 80.0).alias("y"))
+        points = spark.range(40_000).select(F.col("id").alias("key"), (F.rand(1) * 10).alias("x"), (F.rand(2) * 10).alias("y")).unionByName(spread).repartition(6)
+        areas = spark.createDataFrame([(1, [square(0, 0, 60)]), *[(i, [square(5000 + 70 * i, i % 20 * 80 - 30, 60)]) for i in range(2, 300)]], f"admin_id long, geom {SHAPE}")
+        found = spatial.containing_area(points, areas)
+        rows = found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert sum(r.admin_id == 1 for r in rows) == 40_000 and len({r.key for r in rows}) == len(rows) > 40_200
+        assert "skew=true" in plan or "skewed" in plan
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -106,3 +106,19 @@ def test_suggestions_are_read_from_their_table(spark, tmp_path):
         assert [(r.oaza_name, r.chiban) for r in search.suggest(spark, f"{tmp_path}/prefixes", prefix).collect()] == want, prefix
     plan = search.prefix_table(parcels)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "EqualTo(prefix,1)" in search.suggest(spark, f"{tmp_path}/prefixes", "1")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_municipalities_by_ends_and_parts(spark):
+    names = ["静岡県賀茂郡松崎町", "賀茂郡松崎町", "松崎町", "西町", "x", "", None, "東京都港区"]
+    refs = [("松崎町", 5), ("崎町", 2), ("町", 9), ("静岡県賀茂郡西町", 3), ("港区", 1), ("x", 8), ("ax", 0)]
+    rows = match.municipality_matches(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame(refs, "ref string, ord int")).collect()
+    normal = lambda n: re.sub("^.*?県", "", re.sub("^.*?郡", "", n))
+    want = {}
+    for n in names:
+        fits = [(n != r, o, r) for r, o in refs if n == r or normal(n or "").endswith(r) or r.endswith(normal(n or ""))]
+        if fits:
+            want[n] = min(fits)[2]
+    assert {r.name: r.ref for r in rows} == want and len(rows) == len(want)
+    lots = ["松崎町", "松", "", None, "西町", "西町", "zz"]
+    got = {r.municipality_name: r.n for r in match.lots_of_municipalities(spark.createDataFrame([(n,) for n in names], "municipality_name string"), spark.createDataFrame([(n,) for n in lots], "municipality_name string")).collect()}
+    assert got == {n: sum(not n or not lot or lot in n for lot in lots) for n in names}
