@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from parcelworks.functions.numbers import natural_key
 from parcelworks.operators.store import ascii_lower
@@ -107,7 +110,8 @@ def write_number_index(parcels: DataFrame, path: str, *columns: str, buckets: in
         dealt = table.withColumn("bucket", _bucket(F.col(key), buckets))
         # AQE splits what a common key makes large
         dealt.hint("rebalance", "bucket").sortWithinPartitions("bucket", key).write.partitionBy("bucket").parquet(f"{path}/{name}")
-    parcels.sparkSession.range(1).select(F.lit(buckets).alias("buckets")).coalesce(1).write.parquet(f"{path}/size")
+    shape = rows.withColumn("bucket", F.lit(0)).schema.json()
+    parcels.sparkSession.range(1).select(F.lit(buckets).alias("buckets"), F.lit(shape).alias("shape")).coalesce(1).write.parquet(f"{path}/size")
 
 
 def search_index(spark: SparkSession, path: str, text: str) -> DataFrame:
@@ -116,12 +120,12 @@ def search_index(spark: SparkSession, path: str, text: str) -> DataFrame:
     lower = text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     size = min(len(lower), GRAM)
     grams = sorted({lower[i : i + size] for i in range(len(lower) - size + 1)}) if lower else []
-    buckets = spark.read.parquet(f"{path}/size").first().buckets
+    buckets, shape = spark.read.parquet(f"{path}/size").first()
     asked = [r.b for r in spark.createDataFrame([(g,) for g in grams], "gram string").select(_bucket(F.col("gram"), buckets).alias("b")).distinct().collect()]  # a few grams of one text
-    lists = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(asked) & F.col("gram").isin(grams))
+    lists = spark.read.schema("gram string, number string, bucket int").parquet(f"{path}/postings").where(F.col("bucket").isin(asked) & F.col("gram").isin(grams))
     hits = lists.groupBy("number").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") == len(grams)) & F.contains("number", F.lit(lower)))
     hits = hits.select("number", _bucket(F.col("number"), buckets).alias("bucket"))
-    return spark.read.parquet(f"{path}/rows").join(hits, ["bucket", "number"], "left_semi").drop("bucket", "number")
+    return spark.read.schema(StructType.fromJson(json.loads(shape))).parquet(f"{path}/rows").join(hits, ["bucket", "number"], "left_semi").drop("bucket", "number")
 
 
 def texts_in_numbers(numbers: DataFrame, texts: DataFrame) -> DataFrame:
