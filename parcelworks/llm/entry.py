@@ -24,6 +24,7 @@ QUERIES = {
 
 ORACLES = {
     "op3_line_dedup": line_dedup.OP3_SQL,
+    "op4_embedding_dedup": embedding_dedup.OP4_SQL,
     "op10_url_filter": url_filter.OP10_SQL,
     "op11_fill_in_middle": fill_in_middle.OP11_SQL,
     "op13_hard_negatives": hard_negatives.OP13_SQL,
