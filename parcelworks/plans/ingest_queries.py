@@ -10,7 +10,8 @@ from parcelworks.functions.geom import polygon_box
 from parcelworks.operators import assemble
 from parcelworks.plans.fixtures import archives, map_files
 from parcelworks.plans.registry import file_query, query
-from parcelworks.sources.archives import expand_archives, parse_maps
+from parcelworks.sources import scratch
+from parcelworks.sources.archives import expand_archives, parse_maps, read_directory
 from parcelworks.streaming.incremental import decide
 
 _HOLED, _INDIRECT = "CAST(y0 AS BIGINT) % 5 = 0", "CAST(y0 AS BIGINT) % 2 = 0"
@@ -123,3 +124,13 @@ def _(spark, sf_dir):
     files = expand_archives(packed.unionByName(cut))
     parcels = F.regexp_count(F.col("content").cast("string"), F.lit("<筆 "))
     return files.select("archive", "source_name", "error", F.coalesce(parcels, F.lit(0)).cast("long").alias("parcels"))
+
+
+@file_query("s1_files_of_a_folder", "SELECT sheet_id, 1 AS files, count(*) AS parcels FROM sheet GROUP BY 1")
+def _(spark, sf_dir):
+    folder = scratch.new_folder(spark, "map-files")
+    number = F.regexp_extract("source_name", "s([0-9]+)[.]xml$", 1).cast("long")
+    map_files(spark, sf_dir).select(number.alias("sheet_id"), F.col("content").cast("string").alias("value")).write.partitionBy("sheet_id").text(folder)
+    parcels = parse_maps(read_directory(spark, folder, "*.txt")).where("kind = 'parcel'")
+    label = F.regexp_extract("source_name", "^sheet_id=([0-9]+)/part-[^/]*$", 1).cast("long")  # the path from the folder on
+    return parcels.groupBy(label.alias("sheet_id")).agg(F.countDistinct("source_name").alias("files"), F.count(F.lit(1)).alias("parcels"))
