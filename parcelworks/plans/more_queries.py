@@ -293,7 +293,7 @@ def _(parcel):
     SELECT xml_meta_id, fude_id, oaza_name, chiban, round(w * h, 4) AS est_area, scale, x0 AS min_x FROM parcel JOIN ground ON id = xml_meta_id WHERE xml_meta_id NOT IN (SELECT xml_meta_id FROM hit_maps) OR (xml_meta_id, fude_id) IN (SELECT xml_meta_id, fude_id FROM hits)""",
 )
 def _(meta, parcel, lot):
-    hits = match.number_matches(store.with_map(parcel, meta, "municipality_name"), lot, ("exact",))
+    hits = match.best_lots(store.with_map(parcel, meta, "municipality_name"), lot, ("exact",))
     rows = match.export_table(_parcel_shapes(parcel).withColumn("area_sqm", geom.polygon_area(F.col("geom"))), meta, hits)
     return rows.select("xml_meta_id", "fude_id", "oaza_name", "chiban", F.round("est_area", 4).alias("est_area"), "scale", geom.polygon_box(F.col("geom"))["min_x"].alias("min_x"))
 

@@ -66,3 +66,13 @@ def test_polygon_with_hole(spark):
     assert one(spark, geom.polygon_area(geom.from_wkt(geom.to_wkt(shape))), s=wkt) == 96.0
     c = one(spark, geom.ring_centroid(F.get(shape, F.lit(0))), s=wkt)
     assert (c.x, c.y) == (5.0, 5.0)
+
+
+def test_a_parcel_of_two_districts_matches_a_lot_once(spark):
+    from parcelworks.operators import match
+
+    parcels = spark.createDataFrame([(1, "a", "", "5-2", "x"), (1, "a", "大字1", "5-2", "x"), (1, "b", "大字1", "5-3", None)], "xml_meta_id long, fude_id string, oaza_name string, chiban string, municipality_name string")
+    lots = spark.createDataFrame([(7, "大字1", "", "5-2", ""), (8, "大字1", "y", "5", "3")], "lot_id long, oaza_name string, municipality_name string, parent_no string, branch_no string")
+    found = sorted(tuple(r) for r in match.number_matches(parcels, lots, ("exact",)).collect())
+    assert found == [(1, "a", "5-2", 7, "exact"), (1, "b", "5-3", 8, "exact")]
+    assert sorted(tuple(r) for r in match.best_lots(parcels, lots).collect()) == found
