@@ -17,7 +17,11 @@ def rectangle(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
 
 def ring_sums(ring: Column) -> Column:
     """(a, mx, my) of a ring: twice its signed area and first moments times 6, about its first vertex; the ring
-    is closed if it is not yet."""
+    is closed if it is not yet. The ring itself is computed once, not for every vertex."""
+    return let({"ring": ring}, lambda v: _bound_ring_sums(v["ring"]))
+
+
+def _bound_ring_sums(ring: Column) -> Column:
     first = F.get(ring, F.lit(0))
     last = F.size(ring) - 1
     start = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("mx"), F.lit(0.0).alias("my"))

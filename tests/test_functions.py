@@ -76,3 +76,7 @@ def test_a_parcel_of_two_districts_matches_a_lot_once(spark):
     found = sorted(tuple(r) for r in match.number_matches(parcels, lots, ("exact",)).collect())
     assert found == [(1, "a", "5-2", 7, "exact"), (1, "b", "5-3", 8, "exact")]
     assert sorted(tuple(r) for r in match.best_lots(parcels, lots).collect()) == found
+
+
+def test_a_ring_is_computed_once(spark):
+    assert str(geom.ring_sums(F.col("zzz"))).count("zzz") == 1
