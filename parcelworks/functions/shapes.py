@@ -79,8 +79,8 @@ def parse_wkt(text: Column) -> Column:
 
     def point(text: Column) -> Column:
         numbers = F.transform(F.split(F.trim(text), " "), lambda n: n.try_cast("double"))
-        good = F.size(numbers).between(2, 4) & F.forall(numbers, lambda n: n.isNotNull() & (F.abs(n) < float("inf")))
-        return F.when(good, F.struct(F.get(numbers, F.lit(0)).alias("x"), F.get(numbers, F.lit(1)).alias("y")))
+        good = lambda v: F.size(v["n"]).between(2, 4) & F.forall(v["n"], lambda n: n.isNotNull() & (F.abs(n) < float("inf")))
+        return let({"n": numbers}, lambda v: F.when(good(v), F.struct(F.get(v["n"], F.lit(0)).alias("x"), F.get(v["n"], F.lit(1)).alias("y"))))
 
     ring = lambda r: F.transform(F.split(r, ","), point)
     part = lambda p: F.transform(F.split(p, r"\) ?, ?\("), ring)

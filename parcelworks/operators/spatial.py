@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from parcelworks.functions.geom import edges_contain, edges_distance, edges_of
 from parcelworks.functions.shapes import as_shape, is_box, shape_box
-from parcelworks.sources.scratch import written
+from parcelworks.sources.scratch import dealt, written
 
 #: Side of the cells of level 0; a level's cells are four times as wide as those of the level below.
 BASE, STEP, LOWEST, HIGHEST = 1.0, 4.0, -12, 24
@@ -73,7 +73,7 @@ def _point_box(x: Column, y: Column, reach: float = 0.0) -> Column:
 
 def _known(rows: DataFrame, key: str, name: str, flat: bool = False) -> DataFrame:
     """``key`` and what joins ask of a geometry, computed once a row: its box, whether it is that box, and its edges, as structs or as four flat arrays."""
-    shaped = rows.select(key, as_shape(rows, "geom").alias("__s"))
+    shaped = dealt(rows.select(key, as_shape(rows, "geom").alias("__s")), key)
     edges = edges_of(F.flatten("__s"))
     shaped = shaped.select(key, shape_box(F.col("__s")).alias(f"__{name}_box"), is_box(F.col("__s")).alias(f"__{name}_is_box"), edges.alias("__e"))
     ends = {"x1": lambda e: e["p"]["x"], "y1": lambda e: e["p"]["y"], "x2": lambda e: e["q"]["x"], "y2": lambda e: e["q"]["y"]}
@@ -197,7 +197,7 @@ def _edge_pairs(shapes: DataFrame, areas: DataFrame) -> DataFrame:
     both = F.col("__shape_is_box") & F.col("__area_is_box")
     hidden = {c: F.when(~F.col("__boxes"), F.col(c)) for c in ("__shape", "__area")}
     met = met.withColumn("__boxes", both).withColumns(hidden).drop("__shape_is_box", "__area_is_box")
-    return met.repartition(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "admin_id")
+    return dealt(met, "key", "admin_id")
 
 
 # Joins

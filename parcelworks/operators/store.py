@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelworks.functions.shapes import as_shape, parse_wkt, to_wkt
+from parcelworks.sources.scratch import dealt
 
 
 def ascii_lower(c: Column) -> Column:
@@ -69,7 +70,7 @@ def append_parcels(parcels: DataFrame, path: str, order: list[str], keys: tuple[
     fresh.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
     kept = spark.read.schema(parcels.schema).parquet(f"{path}/rows/batch={batch}").groupBy(key[0]).agg(F.count(F.lit(1)).alias("kept"))
     told = parcels.groupBy(key[0]).agg(F.count(F.lit(1)).alias("__n")).join(kept, key[0], "left").select(key[0], F.coalesce("kept", F.lit(0)).alias("kept"), (F.col("__n") - F.coalesce("kept", F.lit(0))).alias("dropped"))
-    told.coalesce(1).write.mode("overwrite").parquet(f"{path}/counts/batch={batch}")
+    told.write.mode("overwrite").parquet(f"{path}/counts/batch={batch}")
     sums = append_counts(spark, path).where(F.col("batch") == batch).agg(F.sum("kept"), F.sum("dropped")).first()
     return sums[0] or 0, sums[1] or 0
 
@@ -149,9 +150,9 @@ def append_new(store: DataFrame, files: DataFrame) -> DataFrame:
 
 def areas_from_wkt(rows: DataFrame, name_col: str, wkt_col: str = "wkt") -> DataFrame:
     """(admin_id, name, geom, error) of rows with a name and a polygon or several as WKT; geom is a shape (``functions.shapes``), ids are hashes of both texts, so that reads agree. A text
-    that cannot be read leaves geom null and says why; rows without a name or a text are left out."""
+    that cannot be read leaves geom null and says why; rows without a name or a text are left out. Texts are dealt over all tasks before they are read."""
     named = rows.select(F.xxhash64(name_col, wkt_col).alias("admin_id"), F.col(name_col).alias("name"), F.col(wkt_col).alias("__wkt")).where("name IS NOT NULL AND __wkt IS NOT NULL")
-    return named.select("admin_id", "name", parse_wkt(F.col("__wkt")).alias("__p")).select("admin_id", "name", "__p.geom", "__p.error")
+    return dealt(named, "admin_id").select("admin_id", "name", parse_wkt(F.col("__wkt")).alias("__p")).select("admin_id", "name", "__p.geom", "__p.error")
 
 
 def load_areas(spark, path: str, name_col: str, wkt_col: str = "wkt", kind: str = "parquet", **options: str) -> DataFrame:
