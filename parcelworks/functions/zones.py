@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from parcelworks.functions.bind import let
 
@@ -116,6 +119,68 @@ def change_zone(x: Column, y: Column, old: Column, new: Column) -> Column:
     return let({"p": from_zone(x, y, old), "new": new}, lambda v: to_zone(v["p"]["longitude"], v["p"]["latitude"], v["new"]))
 
 
+# Points of whole tables: the same series on Arrow columns. Expressions inside lambda functions take those above
+
+
+def _conformal_of(tan: np.ndarray) -> np.ndarray:
+    s = np.sinh(_E * np.arctanh(_E * tan / np.sqrt(1 + tan * tan)))
+    return tan * np.sqrt(1 + s * s) - s * np.sqrt(1 + tan * tan)
+
+
+_LONGITUDES, _MERIDIANS = np.array([float(o[1]) for o in ORIGINS]), np.array([_meridian(o[0]) for o in ORIGINS])
+
+
+def _degrees(x: np.ndarray, y: np.ndarray, zone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``from_zone`` of zones that are there."""
+    size = CENTRAL_SCALE * _RECTIFYING
+    xi, eta = y / size + _MERIDIANS[zone - 1], x / size
+    a = xi - sum(c * np.sin(2 * (j + 1) * xi) * np.cosh(2 * (j + 1) * eta) for j, c in enumerate(_BACK))
+    b = eta - sum(c * np.cos(2 * (j + 1) * xi) * np.sinh(2 * (j + 1) * eta) for j, c in enumerate(_BACK))
+    goal, flat = np.sin(a) / np.sqrt(np.sinh(b) ** 2 + np.cos(a) ** 2), 1 - _E**2
+    tan = goal
+    for _ in range(4):  # Newton on the conformal latitude
+        t = _conformal_of(tan)
+        tan = tan + (goal - t) / np.sqrt(1 + t * t) * (1 + flat * tan * tan) / (flat * np.sqrt(1 + tan * tan))
+    return np.degrees(np.arctan2(np.sinh(b), np.cos(a))) + _LONGITUDES[zone - 1], np.degrees(np.arctan(tan))
+
+
+def _metres(longitude: np.ndarray, latitude: np.ndarray, zone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``to_zone`` of zones that are there."""
+    size, away = CENTRAL_SCALE * _RECTIFYING, np.radians(longitude - _LONGITUDES[zone - 1])
+    t, cos = _conformal_of(np.tan(np.radians(latitude))), np.cos(away)
+    xi, eta = np.arctan2(t, cos), np.arcsinh(np.sin(away) / np.sqrt(t * t + cos * cos))
+    north = xi + sum(c * np.sin(2 * (j + 1) * xi) * np.cosh(2 * (j + 1) * eta) for j, c in enumerate(_TO))
+    east = eta + sum(c * np.cos(2 * (j + 1) * xi) * np.sinh(2 * (j + 1) * eta) for j, c in enumerate(_TO))
+    return size * east, size * north - size * _MERIDIANS[zone - 1]
+
+
+def _pair(*names: str) -> StructType:
+    return StructType([StructField(n, DoubleType()) for n in names])
+
+
+def _on_rows(helper, names: tuple[str, str], x: pa.Array, y: pa.Array, *zones: pa.Array) -> pa.Array:
+    """Structs of ``helper``'s two columns; null where a zone is none, with null fields where a coordinate is null."""
+    place = [v.to_numpy(zero_copy_only=False).astype(float) for v in (x, y)]
+    zones = [np.nan_to_num(z.to_numpy(zero_copy_only=False).astype(float)).astype(int) for z in zones]
+    known = np.logical_and.reduce([(z >= 1) & (z <= len(ORIGINS)) for z in zones])
+    empty = x.is_null().to_numpy(zero_copy_only=False) | y.is_null().to_numpy(zero_copy_only=False)
+    with np.errstate(all="ignore"):
+        found = helper(*place, *[np.where(known, z, 1) for z in zones])
+    return pa.StructArray.from_arrays([pa.array(v, pa.float64(), mask=empty | ~known) for v in found], names=list(names), mask=pa.array(~known))
+
+
+@F.arrow_udf(_pair("longitude", "latitude"))
+def degrees_of_rows(x: pa.Array, y: pa.Array, zone: pa.Array) -> pa.Array:
+    """``from_zone`` by the batch."""
+    return _on_rows(_degrees, ("longitude", "latitude"), x, y, zone)
+
+
+@F.arrow_udf(_pair("x", "y"))
+def zone_of_rows_changed(x: pa.Array, y: pa.Array, old: pa.Array, new: pa.Array) -> pa.Array:
+    """``change_zone`` by the batch."""
+    return _on_rows(lambda a, b, z, w: _metres(*_degrees(a, b, z), w), ("x", "y"), x, y, old, new)
+
+
 def change_box(box: Column, old: Column, new: Column, points: int = 32, rounds: int = 3) -> Column:
     """The box (min_x, ...) in another zone that holds all of a box, whose edges are bent there. The outermost points lie on the edges: of ``points`` places an edge the outermost in each direction is
     taken, then that many between its neighbours, and so on for ``rounds``; what may still lie beyond is less than a billionth of the box's size, which is added."""

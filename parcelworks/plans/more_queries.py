@@ -100,9 +100,9 @@ def _(meta, parcel, admin):
 @query("g9_zone_round_trip", "parcel", "SELECT xml_meta_id, fude_id, x0, true AS within_a_millimetre, true AS north_of_origin FROM parcel")
 def _(parcel):
     zone = (1 + F.pmod("xml_meta_id", F.lit(19))).cast("int")
-    there = zones.change_zone(F.col("x0"), F.col("y0") + 100, zone, F.lit(9))
-    moved = parcel.select("xml_meta_id", "fude_id", "x0", zone.alias("zone"), "y0", there.alias("p"), zones.from_zone(F.col("x0"), F.col("y0") + 100, zone).alias("ll"))
-    back = moved.withColumn("b", zones.change_zone(F.col("p.x"), F.col("p.y"), F.lit(9), F.col("zone")))
+    there = zones.zone_of_rows_changed(F.col("x0"), F.col("y0") + 100, zone, F.lit(9))
+    moved = parcel.select("xml_meta_id", "fude_id", "x0", zone.alias("zone"), "y0", there.alias("p"), zones.degrees_of_rows(F.col("x0"), F.col("y0") + 100, zone).alias("ll"))
+    back = moved.withColumn("b", zones.zone_of_rows_changed(F.col("p.x"), F.col("p.y"), F.lit(9), F.col("zone")))
     origin = F.get(F.array(*[F.lit(float(o[0])) for o in zones.ORIGINS]), F.col("zone") - 1)
     return back.select("xml_meta_id", "fude_id", "x0", ((F.abs(F.col("b.x") - F.col("x0")) < 0.001) & (F.abs(F.col("b.y") - 100 - F.col("y0")) < 0.001)).alias("within_a_millimetre"), (F.col("ll.latitude") > origin).alias("north_of_origin"))
 
