@@ -76,9 +76,13 @@ def positions(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
 
 
 def natural_order(parcels: DataFrame) -> DataFrame:
-    """(xml_meta_id, chiban, n): the place of each distinct number in its map, in natural order."""
-    numbers = parcels.select("xml_meta_id", "chiban").distinct().withColumn("__key", natural_key(F.col("chiban")))
-    return positions(numbers, ["xml_meta_id"], ["__key", "chiban"]).select("xml_meta_id", "chiban", "n")
+    """(xml_meta_id, chiban, n): the place of each distinct number in its map, in natural order. Keys are made of distinct numbers only and give them places over all maps, by which the
+    numbers of a map are then ordered."""
+    pairs = written(parcels.select("xml_meta_id", "chiban").distinct(), "numbers-of-maps")
+    places = positions(pairs.select("chiban").distinct().withColumn("__key", natural_key(F.col("chiban"))), [], ["__key", "chiban"])
+    places = written(places.select(F.col("chiban").alias("__chiban"), F.col("n").alias("__place")), "places-of-numbers")
+    placed = pairs.join(places, F.col("chiban").eqNullSafe(F.col("__chiban"))).select("xml_meta_id", "chiban", "__place")
+    return positions(placed, ["xml_meta_id"], ["__place"]).select("xml_meta_id", "chiban", "n")
 
 
 # An inverted index of n-grams
