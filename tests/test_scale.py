@@ -5,7 +5,7 @@ import glob
 from pyspark.sql import functions as F
 
 from parcelworks.functions import geom
-from parcelworks.operators import spatial, store
+from parcelworks.operators import match, spatial, store
 
 
 def parts_with_rows(df):
@@ -46,3 +46,27 @@ def test_counts_of_a_batch_are_not_added_up_in_one_task(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert len(glob.glob(f"{tmp_path}/s/counts/batch=0/*.parquet")) == 4
+
+
+def test_numbers_are_not_parsed_again_where_pairs_are_compared(spark):
+    parcels = spark.createDataFrame([(1, "a", "大字1", "12-3W1", ""), (1, "b", "", "19", "松崎町"), (2, "c", "大字2", "道", "")], "xml_meta_id long, fude_id string, oaza_name string, chiban string, municipality_name string")
+    lots = spark.createDataFrame([(7, "大字1", "12", "3", ""), (8, "大字9", "11", "", "松崎町"), (9, "大字1", "500", "", "")], "lot_id long, oaza_name string, parent_no string, branch_no string, municipality_name string")
+    found = match.number_matches(parcels, lots)
+    assert "regexp" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.fude_id, r.lot_id, r.level) for r in found.collect()) == [("a", 7, "exact"), ("b", 7, "near"), ("b", 8, "near")]
+
+
+def test_lots_that_have_most_pairs_are_compared_by_all_tasks(spark):
+    parcels = spark.range(0, 40).selectExpr("id as xml_meta_id", "string(id) as fude_id", "'' as oaza_name", "string(id + 10) as chiban", "'' as municipality_name")
+    lots = spark.range(0, 400, 1, 1).selectExpr("id as lot_id", "'大字1' as oaza_name", "string(10 + id % 10) as parent_no", "'' as branch_no", "'' as municipality_name")
+    found = match.number_matches(parcels, lots)
+    assert parts_with_rows(found) >= 4 and found.count() == 4000
+
+
+def test_edges_of_far_shapes_are_not_made(spark):
+    x = F.col("id").cast("double")
+    shapes = spark.range(0, 400, 1, 1).select(F.col("id").alias("key"), geom.rectangle(x, x, x + 1, x + 2).alias("geom"))
+    areas = spark.range(1).select(F.col("id").alias("admin_id"), geom.rectangle(F.lit(10), F.lit(10), F.lit(12), F.lit(12)).alias("geom"))
+    near = spatial._known(shapes, "key", "shape", True, spatial._extent(areas))
+    assert sorted(r.key for r in near.collect()) == [9, 10, 11, 12] == sorted(r.key for r in spatial.meeting_pairs(shapes, areas).collect())
+    assert spatial._known(shapes, "key", "shape", True, spatial._extent(areas.where("admin_id < 0"))).count() == 0
