@@ -1,6 +1,7 @@
 """From nested archives to parcel polygons, on files with every hard case; and the incremental import against the batch."""
 
 import io
+import re
 import zipfile
 
 import numpy as np
@@ -63,6 +64,16 @@ def test_polygons_of_hard_elements(parsed):
     assert len(rows["H4"].geom) == 1 and rows["H4"].area_sqm == 4
 
 
+def test_files_are_parsed_once_and_tasks_grow_with_elements(spark, monkeypatch):
+    fresh = parse_maps(spark.createDataFrame([("a/m.xml", HARD)], "source_name string, content binary"))
+    monkeypatch.setattr(assemble, "ELEMENTS", 4)
+    for rows, n in ((assemble.surface_polygons(fresh), 3), (assemble.curve_vertices(fresh).where("curve_id = 'C1'"), 2)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        tasks = [int(x) for x in re.findall(r"RepartitionByExpression \[[^\]]*\], ([0-9]+)", plan)]
+        assert "MapInArrow" not in plan and tasks and min(tasks) > 4  # the session's shuffles have four
+        assert rows.count() == n
+
+
 def test_counts_headers_boundaries_status(parsed):
     head = assemble.headers(parsed).collect()
     assert [(r.map_name, r.municipality_name, r.crs_type, r.municipality_code, r.transform_program, r.scale_denominator, r.point_count, r.curve_count, r.fude_count) for r in head] == [
