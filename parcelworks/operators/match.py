@@ -79,6 +79,25 @@ def _lot_keys(parent: Column, branch: Column, levels) -> Column:
     return F.array_distinct(F.array(_meeting_key(parent, branch, levels), _meeting_key(head, F.lit(""), levels)))
 
 
+def _equal() -> Column:
+    return F.col("p_joined") == F.col("q_joined")
+
+
+def _same() -> Column:
+    return F.col("p_parent") == F.col("q_parent")
+
+
+def _hit(levels, may_be_near: Column | None = None) -> Column:
+    """Whether a parcel and a lot (p_joined, p_parent; q_joined, q_parent, ``place`` of the lot's key) that meet under a key match at one of the levels: under the lot's first key, its own, they are near at least."""
+    near = ~_equal() & ~_same() & (F.col("place") == 0)
+    hits = {"exact": _equal(), "parent": ~_equal() & _same(), "near": near if may_be_near is None else near & may_be_near}
+    return reduce(Column.__or__, [hits[x] for x in LEVELS if x in levels])
+
+
+def _hit_level() -> Column:
+    return F.when(_equal(), "exact").when(_same(), "parent").otherwise("near")
+
+
 def _numbered(parcels: DataFrame) -> DataFrame:
     return parcels.withColumns({"p_parent": parent_of(F.col("chiban")), "p_branch": branch_of(F.col("chiban"))}).where("p_parent <> ''")
 
@@ -166,13 +185,10 @@ def number_matches(parcels: DataFrame, lots: DataFrame, levels=LEVELS, digits_on
     p = numbered.select("*", joined_number(F.col("p_parent"), F.col("p_branch")).alias("p_joined"), digits("p_parent").alias("p_digits"))
     met_keys = written(q.select("oaza_name", "look", "key").distinct(), "met-keys")
     p = written(p.join(ours, "municipality_name").drop("municipality_name", "p_branch").join(met_keys, ["oaza_name", "look", "key"], "left_semi"), "asking-parcels")
-    equal, same = F.col("p_joined") == F.col("q_joined"), F.col("p_parent") == F.col("q_parent")
-    hits = {"exact": equal, "parent": ~equal & same, "near": ~equal & ~same & (F.col("place") == 0) & F.col("q_digits") & F.col("p_digits")}
-    hit = reduce(Column.__or__, [hits[x] for x in LEVELS if x in levels])
 
     def met(rows: DataFrame) -> DataFrame:
-        found = rows.join(q, ["oaza_name", "look", "key"]).where(hit)
-        return found.select("xml_meta_id", "fude_id", "chiban", "lot_id", F.when(equal, "exact").when(same, "parent").otherwise("near").alias("level"))
+        found = rows.join(q, ["oaza_name", "look", "key"]).where(_hit(levels, F.col("q_digits") & F.col("p_digits")))
+        return found.select("xml_meta_id", "fude_id", "chiban", "lot_id", _hit_level().alias("level"))
 
     once, more = _once_and_more(p)
     return met(once).unionByName(met(more).distinct())
@@ -251,31 +267,33 @@ def matches_in_maps(chosen: DataFrame, lots: DataFrame, parcels: DataFrame, leve
     where there is none, in the one of the other maps with a parcel of the selected district that has the best level (the smallest id on
     ties). ``chosen``: lot_id, xml_meta_id, oaza_name (the selected district). Lots without a parent match nothing.
 
-    Lots without a match in their map, which so holds none of their keys, are not spread over the district's maps: of a district and key the smallest map is kept, and only the best one is asked."""
-    p = _numbered(parcels).select("xml_meta_id", "fude_id", "chiban", "p_parent", "p_branch").distinct()
-    p = p.withColumn("key", F.explode(_keys(F.col("p_parent"), F.col("p_branch"), levels)))
-    q = lot_numbers(lots).select("lot_id", F.col("parent_no").alias("q_parent"), F.col("branch_no").alias("q_branch")).where("q_parent <> ''").join(chosen, "lot_id")
-
-    def met(rows: DataFrame) -> DataFrame:
-        level = match_level(F.col("p_parent"), F.col("p_branch"), F.col("q_parent"), F.col("q_branch"))
-        found = rows.withColumn("key", F.explode(_keys(F.col("q_parent"), F.col("q_branch"), levels))).join(p, ["xml_meta_id", "key"]).withColumn("level", level)
-        own = F.when(F.col("level") == "exact", "=").when(F.col("level") == "parent", "^").otherwise("~")
-        return found.where(F.col("key").startswith(own)).select("lot_id", "xml_meta_id", "fude_id", "chiban", "level")
-
-    here = met(q).withColumn("other_map", F.lit(False))
-    keys = p.select("xml_meta_id", "key").distinct()
-    maps = parcels.where("oaza_name <> ''").select("oaza_name", F.col("xml_meta_id").alias("other")).distinct()
-    rest = q.join(here.select("lot_id").distinct(), "lot_id", "left_anti")
+    Parcels of maps that are not asked go first, and a parcel is one row, under the key of the widest level. Lots without a match in their map, which so holds none of their keys, are not spread over the
+    district's maps: of a district and number, then of a district and key, the smallest map is kept, and only the best one is asked."""
+    q = lot_numbers(lots).select("lot_id", F.col("parent_no").alias("q_parent"), F.col("branch_no").alias("q_branch")).where("q_parent <> ''").join(chosen.select("lot_id", "xml_meta_id", "oaza_name"), "lot_id")
+    q = written(dealt(q.distinct(), "lot_id"), "asking-lots")
+
+    def met(rows: DataFrame, maps: DataFrame) -> DataFrame:
+        p = written(parcels.select("xml_meta_id", "fude_id", "chiban").join(written(maps.distinct(), "asked-maps"), "xml_meta_id", "left_semi"), "parcels-of-asked-maps")
+        p = _numbered(p.distinct()).select("xml_meta_id", "fude_id", "chiban", "p_parent", joined_number(F.col("p_parent"), F.col("p_branch")).alias("p_joined"), _meeting_key(F.col("p_parent"), F.col("p_branch"), levels).alias("key"))
+        keyed = rows.select("lot_id", "xml_meta_id", "q_parent", joined_number(F.col("q_parent"), F.col("q_branch")).alias("q_joined"), F.posexplode(_lot_keys(F.col("q_parent"), F.col("q_branch"), levels)).alias("place", "key"))
+        found = keyed.join(p, ["xml_meta_id", "key"]).where(_hit(levels))
+        return found.select("lot_id", "xml_meta_id", "fude_id", "chiban", _hit_level().alias("level"))
+
+    here = written(met(q, q.select("xml_meta_id")), "matches-in-chosen-maps").withColumn("other_map", F.lit(False))
+    rest = written(q.join(here.select("lot_id").distinct(), "lot_id", "left_anti"), "lots-without-a-match")
+    maps = parcels.where("oaza_name <> ''").select("oaza_name", "xml_meta_id").join(rest.select("oaza_name").distinct(), "oaza_name", "left_semi")
+    maps = written(maps.distinct(), "maps-of-districts")
     if not _nested(levels):
-        asked = rest.join(maps, "oaza_name").where("other <> xml_meta_id").select("lot_id", "q_parent", "q_branch", F.col("other").alias("xml_meta_id"))
-        every = met(asked)
+        asked = rest.withColumnRenamed("xml_meta_id", "own").join(maps, "oaza_name").where("own <> xml_meta_id").select("lot_id", "q_parent", "q_branch", "xml_meta_id")
+        every = written(met(asked, maps.select("xml_meta_id")), "matches-in-other-maps")
         best = every.groupBy("lot_id").agg(F.min(F.struct(priority(F.col("level")).alias("p"), "xml_meta_id")).alias("m")).select("lot_id", "m.xml_meta_id")
         return here.unionByName(every.join(best, ["lot_id", "xml_meta_id"]).select("lot_id", "xml_meta_id", "fude_id", "chiban", "level", F.lit(True).alias("other_map")))
-    least = keys.join(maps.withColumnRenamed("other", "xml_meta_id"), "xml_meta_id").groupBy("oaza_name", "key").agg(F.min("xml_meta_id").alias("other"))
-    asked = rest.withColumn("key", F.explode(_keys(F.col("q_parent"), F.col("q_branch"), levels))).join(least, ["oaza_name", "key"])
-    best = asked.groupBy("lot_id", "q_parent", "q_branch").agg(F.min(F.struct(_place(F.col("key")).alias("p"), "other")).alias("m"))
-    there = met(best.select("lot_id", "q_parent", "q_branch", F.col("m.other").alias("xml_meta_id"))).withColumn("other_map", F.lit(True))
-    return here.unionByName(there)
+    asked = written(rest.withColumn("key", F.explode(_keys(F.col("q_parent"), F.col("q_branch"), levels))).select("lot_id", "q_parent", "q_branch", "oaza_name", "key"), "asked-keys")
+    held = written(parcels.select("xml_meta_id", "chiban").join(maps, "xml_meta_id").groupBy("oaza_name", "chiban").agg(F.min("xml_meta_id").alias("xml_meta_id")), "numbers-of-districts")
+    held = _numbered(held).select("oaza_name", "xml_meta_id", F.explode(_keys(F.col("p_parent"), F.col("p_branch"), levels)).alias("key")).groupBy("oaza_name", "key").agg(F.min("xml_meta_id").alias("other"))
+    best = asked.join(held, ["oaza_name", "key"]).groupBy("lot_id", "q_parent", "q_branch").agg(F.min(F.struct(_place(F.col("key")).alias("p"), "other")).alias("m"))
+    best = written(best.select("lot_id", "q_parent", "q_branch", F.col("m.other").alias("xml_meta_id")), "lots-in-other-maps")
+    return here.unionByName(met(best, best.select("xml_meta_id")).withColumn("other_map", F.lit(True)))
 
 
 def _suffixes(text: Column) -> Column:

@@ -70,3 +70,51 @@ def test_edges_of_far_shapes_are_not_made(spark):
     near = spatial._known(shapes, "key", "shape", True, spatial._extent(areas))
     assert sorted(r.key for r in near.collect()) == [9, 10, 11, 12] == sorted(r.key for r in spatial.meeting_pairs(shapes, areas).collect())
     assert spatial._known(shapes, "key", "shape", True, spatial._extent(areas.where("admin_id < 0"))).count() == 0
+
+
+def stored_rows(monkeypatch, module):
+    """Numbers of the rows that ``module`` writes from now on, by the table's name."""
+    rows, write = {}, module.written
+
+    def written(df, name):
+        out = write(df, name)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(module, "written", written)
+    return rows
+
+
+def test_parcels_of_maps_that_are_not_asked_get_no_keys(spark, monkeypatch):
+    rows = stored_rows(monkeypatch, match)
+    parcels = spark.range(0, 4000).selectExpr("id % 400 as xml_meta_id", "string(id) as fude_id", "concat('大字', id % 2) as oaza_name", "string(100 + id % 400) as chiban")
+    lots = spark.createDataFrame([(1, "103", ""), (2, "107", ""), (3, "250", ""), (4, "250", ""), (5, "", "")], "lot_id long, parent_no string, branch_no string")
+    chosen = spark.createDataFrame([(1, 3, "大字1"), (2, 3, "大字1"), (3, 3, "大字0"), (4, 3, "大字7"), (5, 3, "大字1")], "lot_id long, xml_meta_id long, oaza_name string")
+    found = sorted({(r.lot_id, r.xml_meta_id, r.level, r.other_map) for r in match.matches_in_maps(chosen, lots, parcels).collect()})
+    assert found == [(1, 3, "exact", False), (2, 3, "near", False), (3, 150, "exact", True)]
+    assert rows["parcels-of-asked-maps"] == [10, 10] and rows["numbers-of-districts"] == [200]
+
+
+def test_matches_in_maps_are_those_of_all_pairs(spark):
+    numbers = ["1", "2", "12", "12-3", "13-3-1", "13", "道", "-3", "129", ""]
+    parcels = [(m, f"{m}.{n}", f"大字{(m + n) % 2}", c) for m in (1, 2, 3) for n, c in enumerate(numbers) if (m + n) % 3]
+    lots = [(i, p, b) for i, (p, b) in enumerate([("1", ""), ("12", "3"), ("12-3", ""), ("13-3", "1"), ("13", "9"), ("11", "3"), ("5", ""), ("-3", ""), ("128", ""), ("777", ""), ("", "3")])]
+    chosen = [(i, 1 + i % 3, f"大字{i % 2}") for i, *_ in lots]
+
+    def level(c, p, b):
+        parent, _, branch = c.partition("-")
+        if not parent or not p:
+            return None
+        joined = lambda x, y: f"{x}-{y}" if y else x
+        return "exact" if joined(parent, branch) == joined(p, b) else "parent" if parent == p else "near" if len(parent) == len(p) and parent[:-1] == p[:-1] else None
+
+    frames = [spark.createDataFrame(r, s) for r, s in ((chosen, "lot_id long, xml_meta_id long, oaza_name string"), (lots, "lot_id long, parent_no string, branch_no string"), (parcels, "xml_meta_id long, fude_id string, oaza_name string, chiban string"))]
+    for levels in (("exact",), ("exact", "parent"), ("exact", "parent", "near"), ("near",), ("exact", "near")):
+        want = set()
+        for (i, p, b), (_, own, district) in zip(lots, chosen, strict=True):
+            met = [(match.LEVELS.index(s), m, f, c, s) for m, f, _, c in parcels if (s := level(c, p, b)) in levels]
+            here = [x for x in met if x[1] == own]
+            maps = {m for m, _, o, _ in parcels if o == district and m != own}
+            there = [x for x in met if x[1] in maps]
+            want |= {(i, m, f, c, s, not here) for _, m, f, c, s in (here or [x for x in there if x[1] == min(there)[1]])}
+        assert {tuple(r) for r in match.matches_in_maps(*frames, levels).collect()} == want
