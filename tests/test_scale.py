@@ -2,10 +2,12 @@
 
 import glob
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from parcelworks.functions import geom
-from parcelworks.operators import match, spatial, store
+from parcelworks.operators import assemble, match, spatial, store
 
 
 def parts_with_rows(df):
@@ -118,3 +120,33 @@ def test_matches_in_maps_are_those_of_all_pairs(spark):
             there = [x for x in met if x[1] in maps]
             want |= {(i, m, f, c, s, not here) for _, m, f, c, s in (here or [x for x in there if x[1] == min(there)[1]])}
         assert {tuple(r) for r in match.matches_in_maps(*frames, levels).collect()} == want
+
+
+def test_hulls_of_maps_need_neither_a_second_parse_nor_references(spark, monkeypatch):
+    rows = stored_rows(monkeypatch, assemble)
+    point = lambda f, i, seq, x, y: (f, "point", i, seq, 0, 0, "", float(x), float(y))
+    vertex = lambda f, i, seq, n, x, y, ref="": (f, "vertex", i, seq, 0, n, ref, x, y)
+    parsed = []
+    for n in range(300):
+        f = f"f{n}"
+        parsed += [point(f, "p", 1, 50, 50), point(f, "p", 2, 0, 0), point(f, "q", 3, n + 1, 0), point(f, "r", 4, 0, n + 1)]  # of points of one id the last counts
+        parsed += [(f, "curve", "c", 5, 0, -1, "", None, None), vertex(f, "c", 5, 0, 99.0, 99.0), (f, "curve", "c", 6, 0, -1, "", None, None)]  # and of curves, even without a vertex
+        parsed += [(f, "curve", "d", 7, 0, -1, "", None, None), vertex(f, "d", 7, 0, None, None, "q"), vertex(f, "d", 7, 1, -1.0, -1.0), vertex(f, "d", 7, 2, None, None, "none")]
+    frame = spark.createDataFrame(parsed, "source_name string, kind string, id string, doc_seq long, ring_no int, seq int, ref string, x double, y double").repartition(16)
+    hulls = assemble.map_hulls(frame, swap_xy=False)
+    plan = hulls._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "LogicalRDD" not in plan and rows == {"elements": [300 * 9]}
+    got = {r.source_name: {(p.x, p.y) for p in r.geom[0]} for r in hulls.collect()}
+    assert got == {f"f{n}": {(-1.0, -1.0), (n + 1.0, 0.0), (0.0, n + 1.0)} for n in range(300)}
+
+
+def test_few_points_of_many_keys_are_not_cut_down(monkeypatch):
+    calls = []
+    cut = assemble.hull_points
+    monkeypatch.setattr(assemble, "hull_points", lambda xy: calls.append(len(xy)) or cut(xy))
+    few = pd.DataFrame({"key": [f"k{n % 900}" for n in range(2700)], "x": np.arange(2700.0), "y": np.arange(2700.0) % 7})
+    many = pd.DataFrame({"key": "m", "x": np.arange(400.0) % 20, "y": np.arange(400.0) // 20})
+    (out,) = assemble._partial(iter([pd.concat([few, many]).sample(frac=1, random_state=1)]))
+    assert calls == [400]
+    assert sorted(map(tuple, out[out["key"] != "m"].to_numpy())) == sorted(map(tuple, few.to_numpy()))
+    assert sorted(map(tuple, out.loc[out["key"] == "m", ["x", "y"]].to_numpy())) == [(0, 0), (0, 19), (19, 0), (19, 19)]
