@@ -152,9 +152,9 @@ def _looking_lots(names: DataFrame, lots: DataFrame, areas: DataFrame | None, lo
     return written(named.select("oaza_name", "b"), "districts"), q.join(looks, "lot_municipality").drop("lot_municipality")
 
 
-def _stored_numbers(parcels: DataFrame, levels) -> DataFrame:
-    """Parcels that have a parent, with their numbers and ``_meeting_key``, written: as columns of a join, numbers would be parsed again in each filter, key and level that asks for them."""
-    rows = parcels.select("xml_meta_id", "fude_id", "chiban", _text("oaza_name"), _text("municipality_name"), parent_of(F.col("chiban")).alias("p_parent"), branch_of(F.col("chiban")).alias("p_branch"))
+def _stored_numbers(parcels: DataFrame, levels, *columns: Column) -> DataFrame:
+    """Parcels that have a parent, with ``columns``, their numbers and ``_meeting_key``, written: as columns of a join, numbers would be parsed again in each filter, key and level that asks for them."""
+    rows = parcels.select("xml_meta_id", "fude_id", "chiban", *columns, parent_of(F.col("chiban")).alias("p_parent"), branch_of(F.col("chiban")).alias("p_branch"))
     rows = rows.withColumn("key", _meeting_key(F.col("p_parent"), F.col("p_branch"), levels))
     return written(rows, "numbered-parcels").where("p_parent <> ''")
 
@@ -175,7 +175,7 @@ def number_matches(parcels: DataFrame, lots: DataFrame, levels=LEVELS, digits_on
     Equi-join on (district, municipality, key of the widest level): a parcel is one row, and lots stand under every district and municipality that looks for them, so that what meets but
     does not match is rare. Parcels whose key no lot has go first, and lots are dealt over all tasks, since a small table of them may have most of the pairs; a pair is compared by columns made once a row: two numbers are near if they meet under the first key of the lot, its own. Pairs are compared for repeats only where a parcel stands in several districts. The near
     key of one-character parents is hot: AQE splits it, but its pairs grow with the square of a district."""
-    numbered = _stored_numbers(parcels, levels)
+    numbered = _stored_numbers(parcels, levels, _text("oaza_name"), _text("municipality_name"))
     ours, theirs = _looks(numbered, lots)
     named, q = _looking_lots(numbered.select("oaza_name").distinct(), lots, areas, theirs)
     digits = lambda c: F.col(c).rlike(r"^\p{Nd}+$") if digits_only else F.lit(True)
@@ -200,7 +200,7 @@ def best_lots(parcels: DataFrame, lots: DataFrame, levels=LEVELS, areas: DataFra
     level is asked for without those before it, the pairs are needed."""
     if not _nested(levels):
         return best_matches(number_matches(parcels, lots, levels, areas=areas))
-    numbered = _stored_numbers(parcels, levels)
+    numbered = _stored_numbers(parcels, levels, _text("oaza_name"), _text("municipality_name"))
     ours, theirs = _looks(numbered, lots)
     named, q = _looking_lots(numbered.select("oaza_name").distinct(), lots, areas, theirs)
     keys = _keys(F.col("q_parent"), F.col("q_branch"), levels)
@@ -208,13 +208,13 @@ def best_lots(parcels: DataFrame, lots: DataFrame, levels=LEVELS, areas: DataFra
     meets = [_meeting_key(head, F.lit(""), levels) if n == 0 and len(set(levels)) > 1 else F.element_at(keys, -1) for n in range(len(set(levels)))]
     q = q.select("lot_id", "b", "look", F.explode(F.arrays_zip(keys.alias("key"), F.array(*meets).alias("meet"))).alias("k")).select("lot_id", "b", "look", "k.*")
     least = q.groupBy("b", "look", "meet", "key").agg(F.min("lot_id").alias("lot_id")).join(named, "b").groupBy("oaza_name", "look", "meet", "key").agg(F.min("lot_id").alias("lot_id"))
-    least = least.groupBy("oaza_name", "look", "meet").agg(F.map_from_entries(F.collect_list(F.struct("key", "lot_id"))).alias("least"))
+    least = least.withColumn("m", F.struct(_place(F.col("key")).alias("p"), "lot_id"))
+    least = least.groupBy("oaza_name", "look", "meet").agg(F.map_from_entries(F.collect_list(F.struct("key", "m"))).alias("least"))
 
     def met(rows: DataFrame) -> DataFrame:
         p = rows.withColumnRenamed("key", "meet").join(least, ["oaza_name", "look", "meet"])
-        asked = _keys(F.col("p_parent"), F.col("p_branch"), levels)
-        hits = F.array_compact(F.transform(asked, lambda k, n: F.when(F.map_contains_key("least", k), F.struct(n.alias("p"), F.try_element_at("least", k).alias("lot_id")))))
-        return p.select("xml_meta_id", "fude_id", "chiban", F.get(hits, F.lit(0)).alias("m")).where("m IS NOT NULL")
+        found = F.coalesce(*[F.try_element_at("least", k) for k in _key_list(F.col("p_parent"), F.col("p_branch"), levels)])
+        return p.select("xml_meta_id", "fude_id", "chiban", found.alias("m")).where("m IS NOT NULL")
 
     once, more = _once_and_more(numbered.join(ours, "municipality_name").drop("municipality_name"))
     found = met(once).unionByName(met(more).groupBy("xml_meta_id", "fude_id", "chiban").agg(F.min("m").alias("m")))
@@ -240,16 +240,26 @@ def _shown(pivot: Column, level: Column, near: bool) -> Column:
 
 
 def mutual_matches(best: DataFrame, parcels: DataFrame, lots: DataFrame, near: bool = False) -> DataFrame:
-    """(xml_meta_id, lot_id, fude_id, chiban, level): parcels of the same map that match the best lot of a parcel."""
+    """(xml_meta_id, lot_id, fude_id, chiban, level): parcels of the same map that match the best lot of a parcel.
+
+    A parcel and a pivot meet under one key and show one level, so pairs are compared for repeats only where a parcel, or a lot with other numbers, is there more than once."""
     levels = LEVELS if near else ("exact", "parent")
-    q = lot_numbers(lots).select("lot_id", F.col("parent_no").alias("q_parent"), F.col("branch_no").alias("q_branch"))
-    pivots = best.where("level <> 'near'").select("xml_meta_id", "lot_id", F.col("level").alias("pivot")).distinct().join(q, "lot_id")
-    pivots = pivots.withColumn("key", F.explode(_lot_keys(F.col("q_parent"), F.col("q_branch"), levels)))
-    p = _numbered(parcels).select("xml_meta_id", "fude_id", "chiban", "p_parent", "p_branch")
-    p = p.withColumn("key", _meeting_key(F.col("p_parent"), F.col("p_branch"), levels))
-    level = match_level(F.col("q_parent"), F.col("q_branch"), F.col("p_parent"), F.col("p_branch"))
-    met = p.join(pivots, ["xml_meta_id", "key"]).withColumn("level", _shown(F.col("pivot"), level, near)).where("level IS NOT NULL")
-    return met.select("xml_meta_id", "lot_id", "fude_id", "chiban", "level").distinct()
+    q = written(lot_numbers(lots).select("lot_id", F.col("parent_no").alias("q_parent"), F.col("branch_no").alias("q_branch")).distinct(), "numbers-of-lots")
+    several = written(q.groupBy("lot_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("lot_id"), "lots-of-several-numbers")
+    keyed = q.select("lot_id", "q_parent", joined_number(F.col("q_parent"), F.col("q_branch")).alias("q_joined"), F.posexplode(_lot_keys(F.col("q_parent"), F.col("q_branch"), levels)).alias("place", "key"))
+    pivots = best.where("level <> 'near'").select("xml_meta_id", "lot_id", F.col("level").alias("pivot")).repartition("lot_id").distinct()
+    pivots = written(pivots.join(keyed, "lot_id"), "keys-of-pivots")
+    p = _stored_numbers(parcels, levels).withColumn("p_joined", joined_number(F.col("p_parent"), F.col("p_branch"))).drop("p_branch")
+
+    def met(rows: DataFrame, asked: DataFrame) -> DataFrame:
+        found = rows.join(asked, ["xml_meta_id", "key"]).where(_hit(levels)).withColumn("level", _shown(F.col("pivot"), _hit_level(), near)).where("level IS NOT NULL")
+        return found.select("xml_meta_id", "lot_id", "fude_id", "chiban", "level")
+
+    once, more = _once_and_more(p)
+    if several.isEmpty():
+        return met(once, pivots).unionByName(met(more, pivots).distinct())
+    lone, other = pivots.join(several, "lot_id", "left_anti"), pivots.join(several, "lot_id", "left_semi")
+    return met(once, lone).unionByName(met(more, lone).unionByName(met(p, other)).distinct())
 
 
 def mutual_lots(best: DataFrame, parcels: DataFrame, lots: DataFrame, near: bool = False, areas: DataFrame | None = None) -> DataFrame:

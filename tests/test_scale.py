@@ -150,3 +150,20 @@ def test_few_points_of_many_keys_are_not_cut_down(monkeypatch):
     assert calls == [400]
     assert sorted(map(tuple, out[out["key"] != "m"].to_numpy())) == sorted(map(tuple, few.to_numpy()))
     assert sorted(map(tuple, out.loc[out["key"] == "m", ["x", "y"]].to_numpy())) == [(0, 0), (0, 19), (19, 0), (19, 19)]
+
+
+def test_mutual_pairs_of_single_parcels_are_not_compared_for_repeats(spark):
+    parcels = [(1, "a", "12"), (1, "b", "12-3"), (1, "c", "13"), (1, "d", "50"), (1, "d", "50"), (1, "e", "51W1"), (1, "f", "道"), (1, "g", ""), (2, "a", "12"), (2, "b", "19")]
+    lots = [(5, "12", ""), (6, "50", "8"), (6, "50", "8"), (7, "12", "3")]
+    best = [(1, "a", "12", 5, "exact"), (1, "b", "12-3", 5, "parent"), (1, "c", "13", 5, "near"), (1, "d", "50", 6, "parent"), (2, "b", "19", 5, "near"), (2, "a", "12", 5, "exact")]
+    frames = [spark.createDataFrame(r, c) for r, c in ((best, "xml_meta_id long, fude_id string, chiban string, lot_id long, level string"), (parcels, "xml_meta_id long, fude_id string, chiban string"), (lots, "lot_id long, parent_no string, branch_no string"))]
+    found = match.mutual_matches(*frames, near=True)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Union") < plan.index("Aggregate") and "regexp" not in plan  # only one side of the union is made distinct
+    want = [(1, 5, "a", "12", "exact"), (1, 5, "a", "12", "parent"), (1, 5, "b", "12-3", "parent"), (1, 5, "c", "13", "near"), (2, 5, "a", "12", "exact"), (2, 5, "b", "19", "near")]
+    assert sorted(tuple(r) for r in found.collect()) == want
+    # a lot of several numbers shows a pair once
+    twice = spark.createDataFrame([*lots, (5, "13", ""), (5, "18", "2")], "lot_id long, parent_no string, branch_no string")
+    got = sorted(tuple(r) for r in match.mutual_matches(frames[0], frames[1], twice, near=True).collect())
+    more = [(1, 5, "a", "12", "near"), (1, 5, "b", "12-3", "near"), (1, 5, "c", "13", "exact"), (1, 5, "c", "13", "parent"), (2, 5, "a", "12", "near")]
+    assert got == sorted(want + more)
