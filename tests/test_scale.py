@@ -167,3 +167,17 @@ def test_mutual_pairs_of_single_parcels_are_not_compared_for_repeats(spark):
     got = sorted(tuple(r) for r in match.mutual_matches(frames[0], frames[1], twice, near=True).collect())
     more = [(1, 5, "a", "12", "near"), (1, 5, "b", "12-3", "near"), (1, 5, "c", "13", "exact"), (1, 5, "c", "13", "parent"), (2, 5, "a", "12", "near")]
     assert got == sorted(want + more)
+
+
+def test_parcels_are_compared_with_numbers_and_not_with_lots(spark, monkeypatch):
+    rows = stored_rows(monkeypatch, match)
+    monkeypatch.setattr(match, "LOTS", 100)
+    parcels = spark.createDataFrame([(1, "a", "大字1", "12", ""), (1, "b", "大字1", "12-3", ""), (2, "c", "", "17", ""), (2, "c", "大字1", "17", "")], "xml_meta_id long, fude_id string, oaza_name string, chiban string, municipality_name string")
+    lots = spark.range(0, 360).selectExpr("id as lot_id", "'大字1' as oaza_name", "string(if(id < 300, 12, 13)) as parent_no", "if(id < 300, '', '3') as branch_no", "'' as municipality_name")
+    odd = spark.createDataFrame([(0, "大字1", "12", "", ""), (None, "大字1", "13", "3", "")], "lot_id long, oaza_name string, parent_no string, branch_no string, municipality_name string")
+    found = match.number_matches(parcels, lots.union(odd))
+    assert "numbers-of-many-lots" in rows and 4 * 4 <= rows["lots-of-numbers"][0] <= 4 * 5  # in the district and in all, for maps with and without a municipality
+    got = sorted((r.fude_id, -1 if r.lot_id is None else r.lot_id, r.level) for r in found.collect())
+    low, high = range(300), [-1, *range(300, 360)]
+    want = [("a", i, "exact") for i in low] + [("b", i, "parent") for i in low] + [("c", i, "near") for i in low] + [(f, i, "near") for f in "abc" for i in high]
+    assert got == sorted(want)
